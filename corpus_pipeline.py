@@ -1,23 +1,56 @@
-"""The corpus pipeline: stages that each apply one operator of conceptlink.llm to documents."""
+"""The corpus pipeline: five stages over documents, each one operator of conceptlink.llm."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptlink.llm import suffix_dedup
+from conceptlink.llm import decontam, packing, quality, simhash, suffix_dedup
 from conceptlink.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+REST = COLUMNS[1:]
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (predicted 0) go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score_quality(docs, labels, keep=REST).where("predicted = 1").select(*COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document with the smallest id stays; of its repeated rows one."""
+    linked = simhash.link_near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    first = docs.join(linked, docs["doc_id"].eqNullSafe(linked["doc_id"]), "left_semi")
+    return first.dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every passage of 400 bytes or more that occurs elsewhere too; no row is dropped."""
     done = suffix_dedup.remove_repeated(docs, keep=("lang", "source"))
     return done.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
-STAGES = [("suffix-array dedup", repeated_passages)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.find_contamination(docs, items, keep=REST).where("not contaminated").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of what is left and its place in a training sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", keep_one_of_each),
+    ("suffix-array dedup", cut_repeated),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+#: Stages that learn or tokenise have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
