@@ -14,6 +14,7 @@ groups need to hang together, never all pairs.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +23,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, arrow_bytes, lowered, materialize, portions, text_or_empty, word_spans
+from .common import SPACED_WORD, arrow_bytes, lowered, materialize, mix, portions, text_or_empty, word_spans
 
 #: (bits a segment, groups of segments) of each grid, from coarse to fine.
 GRIDS = ((2, 6), (1, 8), (1, 16))
 PAIRS_OF_BITS = 0x5555555555555555
 
 
-def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
-    """64-bit SimHashes of the rows' ``words``-word shingles (see ``link_near_duplicates``)."""
+def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int, width: int = 1) -> np.ndarray:
+    """SimHashes of 64 x ``width`` bits of the rows' ``words``-word shingles, as rows of 64-bit numbers.
+
+    The first number comes from the shingles' XXH64 itself, the others from mixtures of it.
+    """
     body = lowered(body)
     start, end, row = word_spans(body, offsets, SPACED_WORD)
     n_rows = len(offsets) - 1
-    out = np.zeros(n_rows, np.uint64)
+    out = np.zeros((n_rows, width), np.uint64)
     counts = np.bincount(row, minlength=n_rows)
     if not len(start):
         return out
@@ -55,27 +59,32 @@ def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarra
     data, digest = flat.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[a:b], 42) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, total)
     have = np.flatnonzero(shingles)
-    bits = np.zeros((len(have), 64), np.int64)
     cut = np.concatenate(([0], np.cumsum(shingles[have])))
-    for a in range(0, len(have), 256):
-        b = min(a + 256, len(have))
-        part = np.unpackbits(hashes[cut[a] : cut[b]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        bits[a:b] = np.add.reduceat(part, cut[a:b] - cut[a], axis=0, dtype=np.int64)
-    over = 2 * bits > shingles[have][:, None]
-    out[have] = np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64)
+    for k in range(width):
+        mixed = mix(hashes + np.uint64(k)) if k else hashes
+        for a in range(0, len(have), 256):
+            b = min(a + 256, len(have))
+            part = np.unpackbits(mixed[cut[a] : cut[b]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            bits = np.add.reduceat(part, cut[a:b] - cut[a], axis=0, dtype=np.int64)
+            over = np.packbits(2 * bits > shingles[have[a:b]][:, None], axis=1)
+            out[have[a:b], k] = over.view(">u8").ravel()
     return out
 
 
-def _fingerprinted(words: int):
+def _fingerprinted(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = arrow_bytes(batch.column("_text"))
-            got = [
-                fingerprints(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+            got = [np.zeros((0, width), np.uint64)] + [
+                fingerprints(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, width)
                 for lo, hi in portions(offsets, 1 << 21)
             ]
-            found = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64))], names=["_id", "_fp"])
+            found = np.concatenate(got)
+            if width == 1:
+                last = pa.array(found.ravel().view(np.int64))
+            else:
+                last = pa.array([row.tobytes() for row in found.astype("<u8")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), last], names=["_id", "_fp"])
 
     return run
 
@@ -101,9 +110,15 @@ def _cells(prints: DataFrame, width: int, groups: int, radius: int) -> DataFrame
     return prints.select("fp", F.explode(F.array(*cells)).alias("at")).select("at.grid", "at.cell", "fp")
 
 
-def popcounts(prints: np.ndarray, segments: int = 8) -> np.ndarray:
-    """Bit counts of the fingerprint's segments, one row per fingerprint."""
-    return np.bitwise_count(prints.astype(">u8").view(np.uint8).reshape(len(prints), 8)).astype(np.int8)[:, :segments]
+def popcounts(prints: np.ndarray) -> np.ndarray:
+    """Bit counts of eight segments of each fingerprint (rows of 64-bit numbers)."""
+    n, width = prints.shape
+    counts = np.bitwise_count(np.ascontiguousarray(prints).view(np.uint8).reshape(n, 8, width))
+    return counts.sum(axis=2).astype(np.int16)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def links_within(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -119,7 +134,7 @@ def links_within(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         a, b = np.nonzero(manhattan <= radius)
         a, keep = a + lo, b > a + lo
         a, b = a[keep], b[keep]
-        near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
+        near = differing(prints[a], prints[b]) <= radius
         a, b = a[near], b[near]
         cut = np.searchsorted(a, np.arange(rows.start, rows.stop + 1))
         for i in range(rows.start, rows.stop):
@@ -132,24 +147,29 @@ def links_within(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _verified(radius: int):
+def _verified(radius: int, width: int):
     """Links within cells; small cells of one size are compared together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prints")
-            values = lists.flatten().to_numpy().view(np.uint64)
+            flat = lists.flatten()
+            if width == 1:
+                values = flat.to_numpy().view(np.uint64).reshape(-1, 1)
+            else:
+                values = np.frombuffer(b"".join(flat.to_pylist()), "<u8").reshape(-1, width)
             at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             sizes = np.diff(at)
-            left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            none = np.zeros((0, width), np.uint64)
+            left, right = [none], [none]
             for size in np.unique(sizes):
                 cells = np.flatnonzero(sizes == size)
                 if size <= 8:
                     table = values[at[cells][:, None] + np.arange(size)[None, :]]
-                    vectors = popcounts(table.ravel()).reshape(len(cells), size, -1)
+                    vectors = popcounts(table.reshape(-1, width)).reshape(len(cells), size, -1)
                     for i, j in itertools.combinations(range(size), 2):
                         near = np.abs(vectors[:, i] - vectors[:, j]).sum(axis=1) <= radius
-                        near[near] = np.bitwise_count(table[near, i] ^ table[near, j]) <= radius
+                        near[near] = differing(table[near, i], table[near, j]) <= radius
                         left.append(table[near, i])
                         right.append(table[near, j])
                 else:
@@ -158,8 +178,14 @@ def _verified(radius: int):
                         pairs = np.array(links_within(cell, radius), np.int64).reshape(-1, 2)
                         left.append(cell[pairs[:, 0]])
                         right.append(cell[pairs[:, 1]])
-            a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            a, b = np.concatenate(left), np.concatenate(right)
+            if width == 1:
+                a, b = a.ravel().view(np.int64), b.ravel().view(np.int64)
+                columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+            else:
+                pairs = [sorted((x.tobytes(), y.tobytes())) for x, y in zip(a, b, strict=True)]
+                columns = [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
     return run
 
@@ -173,7 +199,7 @@ def near_links(prints: DataFrame, radius: int = 3, cell_limit: int = 4096) -> Da
         counted = materialize(cells.groupBy("grid", "cell").count().where("count > 1"), "cells")
         small = counted if finest else counted.where(F.col("count") <= cell_limit)
         lists = cells.join(small.drop("count"), ["grid", "cell"]).groupBy("grid", "cell")
-        found = lists.agg(F.collect_list("fp").alias("prints")).select("prints").mapInArrow(_verified(radius), "a long, b long")
+        found = lists.agg(F.collect_list("fp").alias("prints")).select("prints").mapInArrow(_verified(radius, 1), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if finest:
             break
@@ -208,23 +234,87 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def link_near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, cell_limit: int = 4096
+#: Wide fingerprints: their number of 64-bit parts, and (samples, bits a sample) of each grid.
+WIDE, SAMPLES = 4, ((64, 20), (128, 40), (256, 60))
+
+
+def sampled_cells(prints: np.ndarray, level: int) -> np.ndarray:
+    """Cell numbers of wide fingerprints in the sub-spaces of ``level``: samples of single-bit segments."""
+    samples, size = SAMPLES[level]
+    rng = np.random.default_rng(100 + level)
+    bits = np.unpackbits(np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    out = np.zeros((len(prints), samples), np.uint64)
+    for k in range(samples):
+        for at in rng.choice(bits.shape[1], size, replace=False):
+            out[:, k] = (out[:, k] << np.uint64(1)) | bits[:, at]
+        out[:, k] = mix(out[:, k] + (np.uint64(k) << np.uint64(40)))
+    return out
+
+
+def _sampled(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = SAMPLES[level][0]
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(-1, WIDE)
+            cells = pa.array(sampled_cells(prints, level).ravel().view(np.int64))
+            at = pa.array(np.arange(0, len(cells) + 1, samples, dtype=np.int32)[: batch.num_rows + 1])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.ListArray.from_arrays(at, cells)], names=["fp", "cells"])
+
+    return run
+
+
+def wide_links(prints: DataFrame, radius: int, cell_limit: int = 2048) -> DataFrame:
+    """Links (a, b) between distinct wide fingerprints at ``radius`` bits at most.
+
+    Cells are samples of bits, so a pair is found with a probability that grows with its closeness
+    (SAMPLES); crowded cells go to longer samples, in the last grid they are cut into blocks.
+    """
+    links = None
+    for level in range(len(SAMPLES)):
+        cells = prints.mapInArrow(_sampled(level), "fp binary, cells array<long>").select(F.explode("cells").alias("cell"), "fp")
+        counted = materialize(cells.groupBy("cell").count().where("count > 1"), "cells")
+        last = level == len(SAMPLES) - 1
+        small = counted if last else counted.where(F.col("count") <= cell_limit)
+        blocks = F.ceil(F.col("count") / cell_limit)
+        lists = cells.join(small, "cell").groupBy("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"))
+        found = lists.agg(F.collect_list("fp").alias("prints")).select("prints").mapInArrow(_verified(radius, WIDE), "a binary, b binary")
+        links = found if links is None else links.unionByName(found)
+        crowded = counted.where(F.col("count") > cell_limit).select("cell")
+        if last or crowded.isEmpty():
+            break
+        prints = materialize(cells.join(crowded, "cell", "left_semi").select("fp").distinct(), "crowded")
+    return materialize(links.distinct(), "links")
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits of a wide fingerprint in which shingle sets of this Jaccard similarity differ on average."""
+    return round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def link_similar(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, cell_limit: int = 2048
 ) -> DataFrame:
-    """One row per input row: id, fingerprint (hex), component_id and n_links.
+    """Like ``link_near_duplicates``, for shingle similarity in place of a few differing bits.
 
-    Words are runs without white space, A-Z lower-cased; a bit of the fingerprint is set if it is
-    set in over half of the XXH64 values of the ``words``-word shingles (fewer words: the whole
-    sequence).  Fingerprints at ``radius`` bits at most are linked; component_id is the smallest id
-    reachable, n_links the number of verified links that the fingerprint keeps to others.  Null and
-    empty texts have fingerprint zero and are linked like any other; repeated rows stay; null ids
-    never become a component_id unless all ids there are null; an empty table gives an empty table.
+    Fingerprints have 256 bits; two are linked if the similarity that their distance stands for is
+    ``similarity`` or more, with a margin of half the estimate's deviation.  Rows (id, component_id,
+    n_links); nulls, ties, repeated rows and empty tables as there.
     """
+    bits = wide_radius(similarity)
+    radius = bits + round(0.5 * math.sqrt(bits * (1 - bits / (64 * WIDE))))
+    prints, distinct = _distinct_prints(df, id_col, text_col, words, WIDE)
+    return _named(prints, distinct, wide_links(distinct.select("fp"), radius, cell_limit), id_col)
+
+
+def _distinct_prints(df: DataFrame, id_col: str, text_col: str, words: int, width: int) -> tuple[DataFrame, DataFrame]:
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    kind = dict(source.dtypes)["_id"]
-    prints = materialize(source.mapInArrow(_fingerprinted(words), f"_id {kind}, _fp long"), "prints")
-    distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least")), "distinct")
-    links = near_links(distinct.select("fp"), radius, cell_limit)
+    kind, print_kind = dict(source.dtypes)["_id"], "long" if width == 1 else "binary"
+    prints = materialize(source.mapInArrow(_fingerprinted(words, width), f"_id {kind}, _fp {print_kind}"), "prints")
+    return prints, materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least")), "distinct")
+
+
+def _named(prints: DataFrame, distinct: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """Every row with the smallest id of its component and the number of its fingerprint's links."""
     roots = components(links)
     roots = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
@@ -234,6 +324,21 @@ def link_near_duplicates(
     named = named.join(degree, "fp", "left").select(
         F.col("fp").alias("_fp"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    return prints.join(named, "_fp").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
-    )
+    return prints.join(named, "_fp").select(F.col("_id").alias(id_col), "_fp", "component_id", "n_links")
+
+
+def link_near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, cell_limit: int = 4096
+) -> DataFrame:
+    """One row per input row: id, fingerprint (hex), component_id and n_links.
+
+    Words are runs without white space, A-Z lower-cased; a bit of the fingerprint is set if it is
+    set in over half of the XXH64 values of the ``words``-word shingles (fewer words: the whole
+    sequence).  Fingerprints at ``radius`` bits at most are linked; component_id is the smallest id
+    reachable, n_links the number of verified links that the fingerprint keeps to others.  Null and
+    empty texts have fingerprint zero and are linked like any other; repeated rows stay; null ids
+    never become a component_id unless all ids there are null; an empty table gives an empty table.
+    """
+    prints, distinct = _distinct_prints(df, id_col, text_col, words, 1)
+    named = _named(prints, distinct, near_links(distinct.select("fp"), radius, cell_limit), id_col)
+    return named.select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")

@@ -75,10 +75,11 @@ def test_crowded_cells_lose_no_link(spark, limit):
 
 def test_manhattan_distance_is_a_lower_bound_and_links_span():
     rng = np.random.default_rng(1)
-    a, b = (rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(2))
-    bound = np.abs(simhash.popcounts(a) - simhash.popcounts(b)).sum(axis=1)
-    assert (bound <= np.bitwise_count(a ^ b)).all()
-    chain = np.array([(1 << k) - 1 for k in range(40)], np.uint64)
+    for width in (1, 4):
+        a, b = (rng.integers(0, 2**64, (500, width), dtype=np.uint64) for _ in range(2))
+        bound = np.abs(simhash.popcounts(a) - simhash.popcounts(b)).sum(axis=1)
+        assert (bound <= simhash.differing(a, b)).all() and (bound > 0).any()
+    chain = np.array([(1 << k) - 1 for k in range(40)], np.uint64).reshape(-1, 1)
     assert len(simhash.links_within(chain, 3)) == 39
 
 
@@ -88,3 +89,31 @@ def test_empty_repeated_and_null_ids(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "q r s t u v")]
     got = simhash.link_near_duplicates(spark.createDataFrame(rows, schema)).collect()
     assert sorted(str(r.component_id) for r in got) == ["4", "4", "4", "None"]
+
+
+@pytest.mark.parametrize("limit", [2048, 4])
+def test_similar_texts_are_linked_and_others_are_not(spark, limit):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, group = [], {}
+    for g in range(30):
+        base = fresh(rng.randint(80, 400))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(max(1, len(copy) // 150)):  # a similarity of about 0.93
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    for _ in range(40):  # half of the text is shared: a similarity of about 0.33
+        base = rng.choice(rows)[1].split()
+        group[len(rows)] = -len(rows)
+        rows.append((len(rows), " ".join(base[: len(base) // 2] + fresh(len(base) // 2))))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "one two")]
+    got = {r.doc_id: r.component_id for r in simhash.link_similar(spark.createDataFrame(rows, "doc_id long, text string"), cell_limit=limit).collect()}
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    wrong = [i for i, g in group.items() if got[i] != first[g]]
+    assert len(wrong) <= 1
+    assert got[len(rows) - 2] == len(rows) - 3 and got[len(rows) - 1] == len(rows) - 1
