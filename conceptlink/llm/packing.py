@@ -12,7 +12,11 @@ range up in the plan.
 
 from __future__ import annotations
 
+import functools
+import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +27,10 @@ from pyspark.sql.window import Window
 
 from .common import materialize, text_or_empty
 
-#: Words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers, in each of two generations.
+REMEMBERED = 600_000
+#: Marks that may end a stretch of letters.
+MARKS = string.punctuation
 ROWS_A_BUCKET = 100_000
 
 
@@ -138,11 +144,30 @@ def pack_histogram(counts: np.ndarray, capacity: int) -> Plan:
     return plan
 
 
+class Remembered(dict):
+    """Ids of text pieces; of two generations the older is dropped when the younger is full."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of texts, with the ids of words remembered.
+    """Token ids of texts, with the ids of recurring pieces remembered.
 
     The byte-level pattern of the vocabulary always cuts before a space that a visible character
-    follows, so the stretches between such places are encoded alone.
+    follows, and between a letter and the marks at the end of such a stretch; so these pieces can be
+    encoded alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -150,44 +175,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def stretches(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
+        self.known = Remembered(self.tokenizer.encode)
+
+    def pieces(self, text: str) -> list[str]:
+        first, *parts = text.split(" ")
+        out = [first] if first else []
+        for p in parts:
+            if not p or p[0].isspace():
+                out.append(out.pop() + " " + p if out else " " + p)
+                continue
+            p = " " + p
+            head = p.rstrip(MARKS)
+            if len(head) < len(p) and head[-1].isalpha():
+                out.append(head)
+                p = p[len(head) :]
+            out.append(p)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [self.stretches(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({s for c in cut for s in c if s not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[s] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[s] for s in c]) for c in cut]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that what one task remembers serves the next."""
+    return Encoder(path)
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("_id"), batch.column("_text").to_pylist()
             for lo in range(0, len(texts), 64):
                 out = {c: [] for c in ("at", "piece", "start", "length", "ids_crc32")}
-                for k, data in enumerate(encoder.encode(texts[lo : lo + 64]), lo):
-                    data += end
+                for k, text in enumerate(texts[lo : lo + 64], lo):
+                    data = encoder.encode(text) + end
                     n = len(data) // 4
                     first = n % capacity or capacity
                     cuts = [0, *range(first, n + 1, capacity)]
