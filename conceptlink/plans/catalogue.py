@@ -377,7 +377,7 @@ def extract_validate_condition(spark, d):
 
 @query(
     """SELECT event_id, concat_ws(';', CASE WHEN event_id % 4 = 1 THEN 'days_supply: not a plain integer' END, CASE WHEN event_id % 3 = 0 THEN 'quantity: below 0' END,
-CASE WHEN event_id % 4 = 2 THEN 'days_supply: below 1' END) AS violations, CASE WHEN event_id % 3 = 0 THEN -1.5 ELSE 2.5 END AS quantity,
+CASE WHEN event_id % 4 = 2 THEN 'days_supply: below 1' END) AS violations, CAST(CASE WHEN event_id % 3 = 0 THEN -1.5 ELSE 2.5 END AS DOUBLE) AS quantity,
 CAST(CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 0 END AS BIGINT) AS days_supply FROM events"""
 )
 def extract_validate_drug(spark, d):
