@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +41,14 @@ def materialize(df: DataFrame, note: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on at most about ``most`` bytes go to a Python worker at once; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    if jvm.byteStringAsBytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -144,8 +151,3 @@ def first_of_next(offsets: np.ndarray) -> np.ndarray:
 
 def lowered(body: np.ndarray) -> np.ndarray:
     return np.frombuffer(body.tobytes().translate(LOWER_BYTES), np.uint8)
-
-
-def crc_of_id(value) -> int:
-    """crc32 of an id written as text; null counts as the empty text."""
-    return zlib.crc32(b"" if value is None else str(value).encode())

@@ -5,10 +5,11 @@ own, all others are classed by a hash of their last three bytes; the end of a te
 The class model is log-linear in n-gram and skip features of the three preceding classes, hashed into
 ``ROWS`` weight rows.  It is trained on all training documents by synchronous rounds: tasks add up
 observed and expected feature counts (the two halves of the gradient) in whole numbers, the driver
-makes a scaled gradient step on the fixed-size table.  Within a class tokens have add-one
-probabilities from the counts of the whole training corpus, one share being left to unseen tokens.
+makes a scaled gradient step on the fixed-size table.  Within a class tokens have discounted relative
+frequencies from the counts of the whole training corpus; what the discount takes away, set by the
+numbers of tokens seen once and twice, is the share of unseen tokens, which count as one per class.
 
-Texts are tokenised once, into chunks of about 16 MB that hold each distinct token once and the
+Texts are tokenised once, into chunks of about 8 MB that hold each distinct token once and the
 sequence as local numbers.  Only the chunks' distinct tokens are shuffled, to be counted and to bring
 the counts back; no vocabulary is ever broadcast or gathered.
 """
@@ -24,14 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, PrefixHash, arrow_bytes, lowered, materialize, mix, portions, text_or_empty, word_spans
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, text_or_empty, word_spans
+from .quality import add_blocks
 
 FREQUENT, ENDINGS = 31, 32
 CLASSES = FREQUENT + ENDINGS + 1
 END = CLASSES - 1
-ROWS, SEED, PORTION, CHUNK = 1 << 13, 41, 1 << 21, 1 << 24
-ROUNDS, SHARE = 3, 64
-BLOCK_ROWS = 512
+ROWS, SEED, PORTION, CHUNK = 1 << 13, 41, 1 << 21, 1 << 23
+ROUNDS, SHARE = 5, 64
+BLOCK_ROWS = 64
+#: Observations that a shorter history counts for where a longer one is estimated.
+SMOOTHING = 10
 #: Feature templates: which of the three preceding classes they look at.
 TEMPLATES = ((), (0,), (1,), (2,), (0, 1))
 
@@ -66,35 +70,46 @@ def log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def in_planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**31, all low bytes first, then the higher ones."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         body, offsets = arrow_bytes(batch.column("_text"))
-        body = lowered(body)
         held = batch.column("_held").to_numpy(zero_copy_only=False)
         for lo, hi in portions(offsets, CHUNK):
             hashes, endings, counts = [], [], []
             base = offsets[lo : hi + 1]
             for a, b in portions(base, PORTION):
                 at = base[a : b + 1]
-                text = body[at[0] : at[-1]]
+                text = lowered(body[at[0] : at[-1]])
                 start, end, row = word_spans(text, at - at[0], SPACED_WORD)
                 hashed = PrefixHash(text, SEED)
                 hashes.append(hashed.of(start, end))
                 endings.append(hashed.of(np.maximum(start, end - 3), end) % np.uint64(ENDINGS))
                 counts.append(np.bincount(row, minlength=b - a))
             every, ending, count = np.concatenate(hashes), np.concatenate(endings), np.concatenate(counts)
-            distinct, first, local = np.unique(every, return_index=True, return_inverse=True)
-            trained = np.repeat(~held[lo:hi], count)
-            seen = np.bincount(local[trained], minlength=len(distinct))
+            distinct, first, local, often = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent tokens have small numbers, which pack well
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            local, distinct, first = place[local], distinct[order], first[order]
+            seen = np.bincount(local[np.repeat(~held[lo:hi], count)], minlength=len(distinct))
             ids = batch.column("_id").slice(lo, hi - lo)
             whole = lambda values, n=len(ids): pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
             many = pa.array([0, len(distinct)], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << 32 | number], pa.int64()), whole(ids), whole(batch.column("_held").slice(lo, hi - lo)),
-                    whole(pa.array(count, pa.int32())), pa.array([squeeze(local.astype("<i4").tobytes())], pa.binary()),
+                    whole(pa.array(count, pa.int32())), pa.array([squeeze(in_planes(local))], pa.binary()),
                     pa.ListArray.from_arrays(many, pa.array(distinct.view(np.int64))),
                     pa.ListArray.from_arrays(many, pa.array(ending[first], pa.int16())),
                     pa.ListArray.from_arrays(many, pa.array(seen, pa.int32())),
@@ -118,7 +133,7 @@ def classes_of(words: np.ndarray, endings: np.ndarray, frequent: np.ndarray) ->
 def with_ends(local: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sequence with -1 after each text, and the places of those."""
     ends = np.cumsum(sizes + 1) - 1
-    out = np.full(len(local) + len(sizes), -1, np.int64)
+    out = np.full(len(local) + len(sizes), -1, np.int32)
     inside = np.ones(len(out), bool)
     inside[ends] = False
     out[inside] = local
@@ -127,18 +142,19 @@ def with_ends(local: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def sequence_of(row: dict, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Local numbers (-1: end), classes and packed contexts of a chunk's tokens, and the ends' places."""
-    local = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"].as_py()), "<i4")
+    local = from_planes(zstandard.decompress(row["tokens"].as_py()))
     sizes = row["sizes"].values.to_numpy().astype(np.int64)
     sequence, ends = with_ends(local, sizes)
-    word_class = np.append(classes_of(row["words"].values.to_numpy(), row["endings"].values.to_numpy(), frequent), END)
+    word_class = np.append(classes_of(row["words"].values.to_numpy(), row["endings"].values.to_numpy(), frequent), END).astype(np.int32)
     kinds = word_class[sequence]
     begin = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else np.zeros(0, np.int64)
-    age = np.arange(len(kinds)) - np.repeat(begin, sizes + 1)
-    context = np.zeros(len(kinds), np.int64)
+    context = np.zeros(len(kinds), np.int32)
     for back in (1, 2, 3):
-        before = np.full(len(kinds), END, np.int64)
+        before = np.full(len(kinds), END, np.int32)
         before[back:] = kinds[:-back]
-        before[age < back] = END
+        for late in range(back):  # nothing is seen across the beginning of a text
+            early = begin + late
+            before[early[early < np.append(begin[1:], len(kinds))]] = END
         context = context * CLASSES + before
     return sequence, kinds, context, ends
 
@@ -155,7 +171,7 @@ def _counted(frequent: np.ndarray):
                 trained = np.repeat(~row["held"].values.to_numpy(zero_copy_only=False), sizes)
                 keys, times = np.unique((context * CLASSES + kinds)[trained], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys.astype("<i8").tobytes()], pa.binary()), pa.array([times.astype("<i8").tobytes()], pa.binary())],
+                    [pa.array([keys.astype("<i4").tobytes()], pa.binary()), pa.array([times.astype("<i4").tobytes()], pa.binary())],
                     names=["keys", "times"],
                 )
 
@@ -189,7 +205,7 @@ def _summed(weights):
         total = np.zeros((ROWS, CLASSES), np.int64)
         for batch in batches:
             for keys, times in zip(batch.column("keys"), batch.column("times"), strict=True):
-                total += feature_sums(table, [(np.frombuffer(keys.as_buffer(), "<i8"), np.frombuffer(times.as_buffer(), "<i8"))])
+                total += feature_sums(table, [(np.frombuffer(keys.as_buffer(), "<i4"), np.frombuffer(times.as_buffer(), "<i4"))])
         blocks = total.reshape(ROWS // BLOCK_ROWS, -1)
         for k in np.flatnonzero(blocks.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays(
@@ -200,23 +216,12 @@ def _summed(weights):
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-            values = np.frombuffer(zstandard.decompress(sums.as_py()), "<i8")
-            totals[block] = totals[block] + values if block in totals else values
-    if totals:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["block", "sums"]
-        )
-
-
 def gathered(grams: DataFrame, weights) -> np.ndarray:
     """The sums of all tasks: ROWS x CLASSES numbers at any corpus size."""
     schema = "block int, sums binary"
     total = np.zeros((ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES), np.int64)
-    for r in grams.mapInArrow(_summed(weights), schema).repartition(12, "block").mapInArrow(_added, schema).collect():
+    tasks = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for r in grams.mapInArrow(_summed(weights), schema).repartition(tasks, "block").mapInArrow(add_blocks, schema).collect():
         total[r.block] += np.frombuffer(r.sums, "<i8")
     return total.reshape(ROWS, CLASSES) / SHARE
 
@@ -226,10 +231,10 @@ def train(grams: DataFrame, rounds: int) -> np.ndarray:
     spark, seen = grams.sparkSession, gathered(grams, None)
     weights = np.zeros((ROWS, CLASSES), np.float32)
     rows = feature_rows()
-    prior = (seen[rows[0][0]] + 1) / (seen[rows[0][0]] + 1).sum()
-    pair = np.unique(rows[-1])
-    smooth = 50 * prior
-    weights[pair] = np.log((seen[pair] + smooth) / (seen[pair] + smooth).sum(axis=1, keepdims=True))
+    share = lambda counts, base: (counts + SMOOTHING * base) / (counts + SMOOTHING * base).sum(axis=1, keepdims=True)
+    prior = (seen[rows[0]] + 1) / (seen[rows[0]] + 1).sum()
+    after_one = share(seen[rows[1]], prior)
+    weights[rows[-1]] = np.log(share(seen[rows[-1]], np.repeat(after_one, CLASSES, axis=0)))
     for _ in range(rounds):
         expected = gathered(grams, spark.sparkContext.broadcast(weights))
         step = (seen - expected) / (0.5 * (seen + expected) + 20) / (len(TEMPLATES) - 1)
@@ -237,7 +242,7 @@ def train(grams: DataFrame, rounds: int) -> np.ndarray:
     return weights
 
 
-def _scored(model, ids_type: pa.DataType):
+def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
@@ -252,7 +257,9 @@ def _scored(model, ids_type: pa.DataType):
                 known[-1] = m["ends"]
                 word_class = np.append(classes_of(words.to_numpy(), row["endings"].values.to_numpy(), m["frequent"]), END)
                 own = (word_class < FREQUENT) | (word_class == END)
-                inner = np.where(own, 0.0, np.log10((known + 1) / (m["tokens"][word_class] + m["types"][word_class] + 1)))
+                n_class, discount = np.maximum(m["tokens"][word_class], 1), m["discount"]
+                unseen = np.where(m["types"][word_class] > 0, discount * m["types"][word_class] / n_class, 1.0)
+                inner = np.where(own, 0.0, np.log10(np.where(known > 0, (known - discount) / n_class, unseen)))
                 base = np.log10((known + 1) / (m["n"] + m["v"] + 1))
                 distinct, at = np.unique(context, return_inverse=True)
                 outer = np.empty(len(sequence))
@@ -285,6 +292,7 @@ def score_texts(
     to learn from all counts are zero; an empty table stays empty.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     source = df.select(F.col(id_col).alias("_id"), fold.alias("_held"), text_or_empty(text_col).alias("_text"))
     kind = dict(source.dtypes)["_id"]
@@ -298,6 +306,7 @@ def score_texts(
     frequent = np.array([r.word for r in top], np.int64)
     totals = vocabulary.where(~F.col("word").isin([int(x) for x in frequent])) if top else vocabulary
     totals = totals.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    once, twice = vocabulary.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = chunks.select(F.sum(F.size(F.filter("held", lambda x: ~x))).alias("n")).first().n or 0
     tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in totals:
@@ -307,10 +316,11 @@ def score_texts(
     model = spark.sparkContext.broadcast(
         {
             "frequent": frequent, "weights": weights, "tokens": tokens, "types": types, "ends": int(ends),
+            "discount": min(0.95, max(0.05, once / max(1, once + 2 * twice))),
             "n": int(tokens.sum() + sum(r.c for r in top) + ends), "v": int(types.sum() + len(top) + (ends > 0)),
         }
     )
     counts = distinct.select("chunk", "at", "word").join(vocabulary.select("word", "c"), "word").groupBy("chunk")
     counts = counts.agg(F.collect_list(F.struct("at", "c")).alias("counts"))
     schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.join(counts, "chunk", "left").mapInArrow(_scored(model, None), schema).withColumnRenamed("_id", id_col)
+    return chunks.drop("seen").join(counts, "chunk", "left").mapInArrow(_scored(model), schema).withColumnRenamed("_id", id_col)

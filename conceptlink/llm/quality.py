@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, materialize, mix, portions, text_or_empty, word_spans
+from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, mix, portions, word_spans
 
-BUCKETS, DIMS, NONZERO, REACH, BLOCK = 1 << 14, 64, 4, 2, 512
+BUCKETS, DIMS, NONZERO, REACH, BLOCK = 1 << 14, 64, 4, 2, 64
 MARK = SPACED_WORD & ~ALNUM_WORD
-PORTION, SEED = 1 << 21, 31
+PORTION, SEED = 1 << 19, 31
 MAX_LABELS = 20_000
 
 
@@ -65,7 +66,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     some = np.flatnonzero(table.any(axis=1))
     for k in some.tolist():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k], pa.int32()), pa.array([table[k].astype("<i8").tobytes()], pa.binary())], names=["block", "sums"]
+            [pa.array([k], pa.int32()), pa.array([zstandard.compress(table[k].astype("<i8").tobytes(), 1)], pa.binary())], names=["block", "sums"]
         )
 
 
@@ -74,8 +75,8 @@ def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-            values = np.frombuffer(sums.as_buffer(), "<i8")
-            totals[block] = totals[block] + values if block in totals else values.copy()
+            values = np.frombuffer(zstandard.decompress(sums.as_py()), "<i8")
+            totals[block] = totals[block] + values if block in totals else values
     if totals:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["block", "sums"]
@@ -85,7 +86,8 @@ def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """The table of word vectors from all texts in column _text; rows of length one or zero."""
     schema = "block int, sums binary"
-    sums = texts.mapInArrow(_context_sums, schema).repartition(12, "block").mapInArrow(add_blocks, schema)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = texts.mapInArrow(_context_sums, schema).repartition(tasks, "block").mapInArrow(add_blocks, schema)
     table = np.zeros((BUCKETS // BLOCK, BLOCK * DIMS), np.int64)
     for r in sums.collect():  # BUCKETS x DIMS numbers at most
         table[r.block] += np.frombuffer(r.sums, "<i8")
@@ -213,10 +215,13 @@ def score_quality(
     empty table stays empty.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     fold = lambda c: F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
-    carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate((id_col, *keep))]
-    names = [f"_c{i}" for i in range(len(carried))]
-    docs = df.select(*carried, fold(F.col(id_col)).alias("held_out"), text_or_empty(text_col).alias("_text"))
+    # the text goes to the workers once, also where it is kept
+    named = {f"_c{i}": c for i, c in enumerate((id_col, *(c for c in keep if c != text_col)))}
+    carried = [F.col(c).alias(n) for n, c in named.items()]
+    docs = df.select(*carried, fold(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
+    named |= {"_text": text_col} if text_col in keep else {}
     vectors = spark.sparkContext.broadcast(word_vectors(docs.select("_text")))
     known = labels.select(F.col(id_col).alias("_c0"), F.col(label_col).cast("double").alias("_label")).dropna()
     known = known.where(~fold(F.col("_c0"))).groupBy("_c0").agg(F.max("_label").alias("_label"))
@@ -230,8 +235,8 @@ def score_quality(
     if not len(rows):
         features = np.zeros((0, FEATURES))
     network = Network(features if len(rows) else np.zeros((1, FEATURES)), np.array([r._label for r in rows]))
-    columns = [*names, "held_out"]
+    columns = [*named, "held_out"]
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", _last double"
     done = docs.mapInArrow(_featured(vectors, columns, network), schema).withColumnRenamed("_last", "score")
     done = done.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return done.withColumnsRenamed(dict(zip(names, (id_col, *keep), strict=True)))
+    return done.withColumnsRenamed(named)
