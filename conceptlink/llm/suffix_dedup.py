@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import PrefixHash, arrow_bytes, materialize, portions, row_key, text_or_empty
+from .common import PrefixHash, arrow_bytes, bound_batches, materialize, portions, row_key, text_or_empty
 
 GRAM, PORTION, SEED_CORE, SEED_BLOCK = 32, 1 << 21, 11, 12
 BLOCK_SCHEMA = "_k1 long, _k2 long, first int, n_windows int, left int, core long, block long"
@@ -245,7 +245,8 @@ def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 409
         .where("n > 1")
         .select("core", (F.col("least") != F.col("most")).alias("mixed"))
     )
-    found = materialize(blocks.join(cores, "core"), "shared")
+    # written first, so that both sides of the join are plain exchanges and a hot core can be split
+    found = materialize(blocks.join(materialize(cores, "cores"), "core"), "shared")
     last = (F.col("first") + F.col("n_windows") - 1).alias("hi")
     run_of = lambda df: df.select("_k1", "_k2", F.col("first").alias("lo"), last)
     runs = [run_of(found.where(~F.col("mixed")))]
@@ -338,6 +339,7 @@ def remove_repeated(
     that repeat another repeat all its strings, an empty table gives an empty table; other columns
     play no part, whatever their names.
     """
+    bound_batches(df.sparkSession)
     carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate((id_col, *keep))]
     docs = df.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("_text"), *carried)
     runs = repeated_windows(docs.select("_k1", "_k2", "_text"), length, bucket_limit)
