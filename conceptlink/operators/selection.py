@@ -43,8 +43,7 @@ def apply_verdicts(queries: DataFrame, candidates: DataFrame, verdicts: DataFram
     """
     given = verdicts.where(F.col("expression_id").isNotNull()).select("query_id", "expression_id")
     hits = candidates.join(given, ["query_id", "expression_id"], "left_semi").groupBy("query_id")
-    others = [c for c in SELECTED]
-    best = hits.agg(F.min(F.struct(F.col("rank").alias("result_list_index"), *others)).alias("_best"))
+    best = hits.agg(F.min(F.struct(F.col("rank").alias("result_list_index"), *SELECTED)).alias("_best"))
     return _one_row_per_query(queries, best.select("query_id", "_best.*"))
 
 
