@@ -253,7 +253,7 @@ def payload_of(text: bytes) -> bytes:
 
 
 def store_payload(payload: bytes, rows_a_page: int = 2048) -> bytes:
-    """Gray pages of 24 pixels a row, 24 rows a unit; deflate with the horizontal predictor."""
+    """Gray pages of 24 pixels a row, 24 rows a unit; deflate without prediction, which text does not gain from."""
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, 24, 1)
     rows_a_page -= rows_a_page % 24
     return encode_pages([pixels[k : k + rows_a_page] for k in range(0, len(pixels), rows_a_page)], predictor=1, rows_a_strip=rows_a_page)
