@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, PrefixHash, arrow_bytes, lowered, materialize, portions, row_key, text_or_empty, word_spans
+from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, portions, row_key, word_spans
 
 SEED_TERM = 21
 PORTION = 1 << 22
@@ -129,7 +129,7 @@ def index_portion(body: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tu
     return PositionalIndex(tokens, bounds, len(phrases.terms)), counts
 
 
-def _matched(phrases_of, near: int | None):
+def _matched(phrases_of, near: int | None, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = phrases_of()
         for batch in batches:
@@ -164,7 +164,6 @@ def _matched(phrases_of, near: int | None):
                     columns["near_items"].append(sorted({phrases.items[k] for k in close[d]}))
             span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
             names = pa.list_(pa.string())
-            kept = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept)]
                 + [pa.array(columns["n_words"], pa.int64()), pa.array(columns["spans"], span)]
@@ -198,9 +197,13 @@ def find_contamination(
     words is one window; one without words has none.  Null texts have no words; null item ids count
     as the empty name; repeated rows are judged alike; an empty benchmark hits nothing.
     """
-    carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate((id_col, *keep))]
-    names = [f"_c{i}" for i in range(len(carried))]
-    base = docs.select(*row_key(id_col, text_col), *carried, text_or_empty(text_col).alias("_text"))
+    bound_batches(docs.sparkSession)
+    # the text goes to the workers once, also where it is kept
+    named = {f"_c{i}": c for i, c in enumerate((id_col, *(c for c in keep if c != text_col)))}
+    carried = [F.col(c).alias(n) for n, c in named.items()]
+    base = docs.select(*row_key(id_col, text_col), *carried, F.col(text_col).cast("string").alias("_text"))
+    named |= {"_text": text_col} if text_col in keep else {}
+    names = list(named)
     test = items.select(F.col(item_id_col).cast("string").alias("name"), F.col(item_text_col).cast("string").alias("text"))
     blocks = item_blocks(test, broadcast_bytes)
     merged = None
@@ -214,9 +217,9 @@ def find_contamination(
             return cached[0]
 
         types = dict(base.dtypes)
-        columns = [c for c in base.columns if c != "_text"]
+        columns = [c for c in base.columns if c != "_text" or c in names]
         schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", " + HIT_SCHEMA
-        part = base.mapInArrow(_matched(phrases_of, near), schema)
+        part = base.mapInArrow(_matched(phrases_of, near, columns), schema)
         merged = part if merged is None else merged.unionByName(part)
     if len(blocks) > 1:
         merged = _merged_blocks(merged, names, len(blocks))
@@ -225,7 +228,7 @@ def find_contamination(
         *names, "n_words", "spans", "items", "near_items", spans.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
     )
-    return done.withColumn("contaminated", F.col("n_hit") > 0).withColumnsRenamed(dict(zip(names, (id_col, *keep), strict=True)))
+    return done.withColumn("contaminated", F.col("n_hit") > 0).withColumnsRenamed(named)
 
 
 def item_blocks(test: DataFrame, most: int) -> list[list[tuple[str, str]]]:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_or_empty
+from .common import bound_batches, materialize, text_or_empty
 
 #: Pieces whose ids a worker remembers, in each of two generations.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Marks that may end a stretch of letters.
 MARKS = string.punctuation
 ROWS_A_BUCKET = 100_000
@@ -278,6 +278,7 @@ def pack_documents(
     a first piece that may be shorter.  Null texts count as empty (one token), repeated rows are
     packed each, null ids stay null, an empty table gives an empty table; other columns are ignored.
     """
+    bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     kind = dict(source.dtypes)["_id"]
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long"

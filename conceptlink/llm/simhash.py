@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, arrow_bytes, lowered, materialize, mix, portions, text_or_empty, word_spans
+from .common import SPACED_WORD, arrow_bytes, bound_batches, lowered, materialize, mix, portions, text_or_empty, word_spans
 
 #: (bits a segment, groups of segments) of each grid, from coarse to fine.
 GRIDS = ((2, 6), (1, 8), (1, 16))
@@ -307,6 +307,7 @@ def link_similar(
 
 
 def _distinct_prints(df: DataFrame, id_col: str, text_col: str, words: int, width: int) -> tuple[DataFrame, DataFrame]:
+    bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     kind, print_kind = dict(source.dtypes)["_id"], "long" if width == 1 else "binary"
     prints = materialize(source.mapInArrow(_fingerprinted(words, width), f"_id {kind}, _fp {print_kind}"), "prints")

@@ -26,7 +26,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     linked = simhash.link_similar(docs, words=5, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     first = docs.join(linked, docs["doc_id"].eqNullSafe(linked["doc_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return first.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
