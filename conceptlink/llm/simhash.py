@@ -30,18 +30,14 @@ GRIDS = ((2, 6), (1, 8), (1, 16))
 PAIRS_OF_BITS = 0x5555555555555555
 
 
-def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int, width: int = 1) -> np.ndarray:
-    """SimHashes of 64 x ``width`` bits of the rows' ``words``-word shingles, as rows of 64-bit numbers.
-
-    The first number comes from the shingles' XXH64 itself, the others from mixtures of it.
-    """
+def shingle_hashes(body: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the rows' ``words``-word shingles (fewer words: of the whole sequence), and their number by row."""
     body = lowered(body)
     start, end, row = word_spans(body, offsets, SPACED_WORD)
     n_rows = len(offsets) - 1
-    out = np.zeros((n_rows, width), np.uint64)
     counts = np.bincount(row, minlength=n_rows)
     if not len(start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(n_rows, np.int64)
     # single spaces between words, so that a shingle is one slice
     sizes = end - start
     at = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -57,8 +53,18 @@ def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int, width: int =
     last = begin + np.minimum(words, counts[owner]) - 1
     lo, hi = at[begin], at[last] + sizes[last]
     data, digest = flat.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(data[a:b], 42) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, total)
+    return np.fromiter((digest(data[a:b], 42) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, total), shingles
+
+
+def fingerprints(hashes: np.ndarray, shingles: np.ndarray, width: int = 1) -> np.ndarray:
+    """SimHashes of 64 x ``width`` bits of the rows' shingles, as rows of 64-bit numbers.
+
+    The first number comes from the shingles' XXH64 itself, the others from mixtures of it.
+    """
+    out = np.zeros((len(shingles), width), np.uint64)
     have = np.flatnonzero(shingles)
+    if not len(have):
+        return out
     cut = np.concatenate(([0], np.cumsum(shingles[have])))
     for k in range(width):
         mixed = mix(hashes + np.uint64(k)) if k else hashes
@@ -71,19 +77,18 @@ def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int, width: int =
     return out
 
 
-def _fingerprinted(words: int, width: int):
+def _hashed(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingle hashes and their number by row, for portions of the rows."""
+    body, offsets = arrow_bytes(column)
+    for lo, hi in portions(offsets, 1 << 21):
+        yield shingle_hashes(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+
+
+def _fingerprinted(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, offsets = arrow_bytes(batch.column("_text"))
-            got = [np.zeros((0, width), np.uint64)] + [
-                fingerprints(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, width)
-                for lo, hi in portions(offsets, 1 << 21)
-            ]
-            found = np.concatenate(got)
-            if width == 1:
-                last = pa.array(found.ravel().view(np.int64))
-            else:
-                last = pa.array([row.tobytes() for row in found.astype("<u8")], pa.binary())
+            got = [np.zeros((0, 1), np.uint64)] + [fingerprints(*x) for x in _hashed(batch.column("_text"), words)]
+            last = pa.array(np.concatenate(got).ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), last], names=["_id", "_fp"])
 
     return run
@@ -147,8 +152,11 @@ def links_within(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _verified(radius: int, width: int):
-    """Links within cells; small cells of one size are compared together."""
+def _verified(radius: int, width: int, row: int = 1):
+    """Links within cells; small cells of one size are compared together.
+
+    The fingerprint is the first ``width`` of a row's ``row`` numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,25 +165,25 @@ def _verified(radius: int, width: int):
             if width == 1:
                 values = flat.to_numpy().view(np.uint64).reshape(-1, 1)
             else:
-                values = np.frombuffer(b"".join(flat.to_pylist()), "<u8").reshape(-1, width)
+                values = np.frombuffer(b"".join(flat.to_pylist()), "<u8").reshape(-1, row)
             at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             sizes = np.diff(at)
-            none = np.zeros((0, width), np.uint64)
+            none = np.zeros((0, row), np.uint64)
             left, right = [none], [none]
             for size in np.unique(sizes):
                 cells = np.flatnonzero(sizes == size)
                 if size <= 8:
                     table = values[at[cells][:, None] + np.arange(size)[None, :]]
-                    vectors = popcounts(table.reshape(-1, width)).reshape(len(cells), size, -1)
+                    vectors = popcounts(table[..., :width].reshape(-1, width)).reshape(len(cells), size, -1)
                     for i, j in itertools.combinations(range(size), 2):
                         near = np.abs(vectors[:, i] - vectors[:, j]).sum(axis=1) <= radius
-                        near[near] = differing(table[near, i], table[near, j]) <= radius
+                        near[near] = differing(table[near, i, :width], table[near, j, :width]) <= radius
                         left.append(table[near, i])
                         right.append(table[near, j])
                 else:
                     for c in cells:
                         cell = values[at[c] : at[c + 1]]
-                        pairs = np.array(links_within(cell, radius), np.int64).reshape(-1, 2)
+                        pairs = np.array(links_within(cell[:, :width], radius), np.int64).reshape(-1, 2)
                         left.append(cell[pairs[:, 0]])
                         right.append(cell[pairs[:, 1]])
             a, b = np.concatenate(left), np.concatenate(right)
@@ -234,56 +242,51 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-#: Wide fingerprints: their number of 64-bit parts, and (samples, bits a sample) of each grid.
-WIDE, SAMPLES = 4, ((64, 20), (128, 40), (256, 60))
+#: 64-bit parts of a wide fingerprint; behind them a node has two more that tell shingle sets apart.
+WIDE, NODE = 4, 6
 
 
-def sampled_cells(prints: np.ndarray, level: int) -> np.ndarray:
-    """Cell numbers of wide fingerprints in the sub-spaces of ``level``: samples of single-bit segments."""
-    samples, size = SAMPLES[level]
-    rng = np.random.default_rng(100 + level)
-    bits = np.unpackbits(np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    out = np.zeros((len(prints), samples), np.uint64)
-    for k in range(samples):
-        for at in rng.choice(bits.shape[1], size, replace=False):
-            out[:, k] = (out[:, k] << np.uint64(1)) | bits[:, at]
-        out[:, k] = mix(out[:, k] + (np.uint64(k) << np.uint64(40)))
-    return out
+def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row's node (wide fingerprint, 128-bit digest of its set) and the sorted set of its shingle hashes."""
+    for hashes, shingles in _hashed(column, words):
+        cut = np.concatenate(([0], np.cumsum(shingles)))
+        sets = [np.unique(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        # the fingerprint is the set's, so that a repeated passage does not move it
+        prints = fingerprints(np.concatenate([hashes[:0], *sets]), np.array([len(x) for x in sets], np.int64), WIDE)
+        for fp, found in zip(prints, sets, strict=True):
+            yield np.concatenate((fp, np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<u8"))), found
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """Two sets of at least this Jaccard similarity share one of so many least elements of each."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def _sampled(level: int):
+def _with_prefix(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = SAMPLES[level][0]
         for batch in batches:
-            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(-1, WIDE)
-            cells = pa.array(sampled_cells(prints, level).ravel().view(np.int64))
-            at = pa.array(np.arange(0, len(cells) + 1, samples, dtype=np.int32)[: batch.num_rows + 1])
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.ListArray.from_arrays(at, cells)], names=["fp", "cells"])
+            nodes, least = [], [np.zeros(0, np.uint64)]
+            for node, found in shingle_sets(batch.column("_text"), words):
+                nodes.append(node.tobytes())
+                least.append(found[: prefix_length(len(found), similarity)])
+            at = np.cumsum([len(x) for x in least])
+            cells = pa.array(np.concatenate(least).view(np.int64))
+            cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), cells)
+            columns = [batch.column("_id"), pa.array(nodes, pa.binary()), cells]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_fp", "cells"])
 
     return run
 
 
-def wide_links(prints: DataFrame, radius: int, cell_limit: int = 2048) -> DataFrame:
-    """Links (a, b) between distinct wide fingerprints at ``radius`` bits at most.
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between distinct nodes ``fp`` with a cell in common and ``radius`` bits apart at most.
 
-    Cells are samples of bits, so a pair is found with a probability that grows with its closeness
-    (SAMPLES); crowded cells go to longer samples, in the last grid they are cut into blocks.
+    ``cells`` are the shingles of the prefix, so no pair of the wanted similarity is without one.
     """
-    links = None
-    for level in range(len(SAMPLES)):
-        cells = prints.mapInArrow(_sampled(level), "fp binary, cells array<long>").select(F.explode("cells").alias("cell"), "fp")
-        counted = materialize(cells.groupBy("cell").count().where("count > 1"), "cells")
-        last = level == len(SAMPLES) - 1
-        small = counted if last else counted.where(F.col("count") <= cell_limit)
-        blocks = F.ceil(F.col("count") / cell_limit)
-        lists = cells.join(small, "cell").groupBy("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"))
-        found = lists.agg(F.collect_list("fp").alias("prints")).select("prints").mapInArrow(_verified(radius, WIDE), "a binary, b binary")
-        links = found if links is None else links.unionByName(found)
-        crowded = counted.where(F.col("count") > cell_limit).select("cell")
-        if last or crowded.isEmpty():
-            break
-        prints = materialize(cells.join(crowded, "cell", "left_semi").select("fp").distinct(), "crowded")
-    return materialize(links.distinct(), "links")
+    cells = nodes.select(F.explode("cells").alias("cell"), "fp")
+    lists = cells.groupBy("cell").agg(F.collect_list("fp").alias("prints")).where(F.size("prints") > 1)
+    found = lists.select("prints").mapInArrow(_verified(radius, WIDE, NODE), "a binary, b binary")
+    return materialize(found.distinct(), "links")
 
 
 def wide_radius(similarity: float) -> int:
@@ -302,15 +305,20 @@ def link_similar(
     """
     bits = wide_radius(similarity)
     radius = bits + round(0.5 * math.sqrt(bits * (1 - bits / (64 * WIDE))))
-    prints, distinct = _distinct_prints(df, id_col, text_col, words, WIDE)
-    return _named(prints, distinct, wide_links(distinct.select("fp"), radius, cell_limit), id_col)
+    bound_batches(df.sparkSession)
+    source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    kind = dict(source.dtypes)["_id"]
+    run, schema = _with_prefix(words, similarity), f"_id {kind}, _fp binary, cells array<long>"
+    prints = materialize(source.mapInArrow(run, schema), "prints")
+    distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least"), F.first("cells").alias("cells")), "distinct")
+    return _named(prints.drop("cells"), distinct.drop("cells"), wide_links(distinct, radius), id_col)
 
 
-def _distinct_prints(df: DataFrame, id_col: str, text_col: str, words: int, width: int) -> tuple[DataFrame, DataFrame]:
+def _distinct_prints(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
     bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    kind, print_kind = dict(source.dtypes)["_id"], "long" if width == 1 else "binary"
-    prints = materialize(source.mapInArrow(_fingerprinted(words, width), f"_id {kind}, _fp {print_kind}"), "prints")
+    kind = dict(source.dtypes)["_id"]
+    prints = materialize(source.mapInArrow(_fingerprinted(words), f"_id {kind}, _fp long"), "prints")
     return prints, materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least")), "distinct")
 
 
@@ -340,6 +348,6 @@ def link_near_duplicates(
     empty texts have fingerprint zero and are linked like any other; repeated rows stay; null ids
     never become a component_id unless all ids there are null; an empty table gives an empty table.
     """
-    prints, distinct = _distinct_prints(df, id_col, text_col, words, 1)
+    prints, distinct = _distinct_prints(df, id_col, text_col, words)
     named = _named(prints, distinct, near_links(distinct.select("fp"), radius, cell_limit), id_col)
     return named.select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")

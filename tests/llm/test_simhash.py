@@ -117,3 +117,18 @@ def test_similar_texts_are_linked_and_others_are_not(spark, limit):
     wrong = [i for i, g in group.items() if got[i] != first[g]]
     assert len(wrong) <= 1
     assert got[len(rows) - 2] == len(rows) - 3 and got[len(rows) - 1] == len(rows) - 1
+
+
+def test_crowded_cells_lose_no_similar_pair(spark):
+    """Pairs at about 0.9 whose cells all count as crowded are found like any other."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        copy = list(base)
+        for at in rng.sample(range(300), 3):
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    got = simhash.link_similar(spark.createDataFrame(rows, "doc_id long, text string"), cell_limit=1).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
