@@ -278,13 +278,27 @@ def _with_prefix(words: int, similarity: float):
     return run
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+def block_pairs(members: DataFrame, key: str, by: str, blocks, *columns: str) -> DataFrame:
+    """(key, i, j, block, columns): each of a key's ``blocks`` blocks, dealt by ``by``, together with each other one.
+
+    All members of a key meet, but no group (key, i, j) has more than two blocks of them.
+    """
+    dealt = members.select(key, *columns, blocks.alias("_n"), F.pmod(F.xxhash64(by), blocks).alias("block"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o")).where("_n = 1 or block != _o")
+    return dealt.select(key, F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", *columns)
+
+
+def wide_links(nodes: DataFrame, radius: int, cell_limit: int = 2048) -> DataFrame:
     """Links (a, b) between distinct nodes ``fp`` with a cell in common and ``radius`` bits apart at most.
 
-    ``cells`` are the shingles of the prefix, so no pair of the wanted similarity is without one.
+    ``cells`` are the shingles of the prefix, so no pair of the wanted similarity is without one.  A cell
+    of more than ``cell_limit`` nodes is cut into blocks and every pair of its blocks is compared.
     """
     cells = nodes.select(F.explode("cells").alias("cell"), "fp")
-    lists = cells.groupBy("cell").agg(F.collect_list("fp").alias("prints")).where(F.size("prints") > 1)
+    crowded = materialize(cells.groupBy("cell").count().where(F.col("count") > cell_limit), "crowded")
+    blocks = F.coalesce(F.ceil(F.col("count") / cell_limit), F.lit(1))
+    lists = block_pairs(cells.join(crowded, "cell", "left"), "cell", "fp", blocks, "fp").groupBy("cell", "i", "j")
+    lists = lists.agg(F.collect_list("fp").alias("prints")).where(F.size("prints") > 1)
     found = lists.select("prints").mapInArrow(_verified(radius, WIDE, NODE), "a binary, b binary")
     return materialize(found.distinct(), "links")
 
@@ -311,7 +325,7 @@ def link_similar(
     run, schema = _with_prefix(words, similarity), f"_id {kind}, _fp binary, cells array<long>"
     prints = materialize(source.mapInArrow(run, schema), "prints")
     distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least"), F.first("cells").alias("cells")), "distinct")
-    return _named(prints.drop("cells"), distinct.drop("cells"), wide_links(distinct, radius), id_col)
+    return _named(prints.drop("cells"), distinct.drop("cells"), wide_links(distinct, radius, cell_limit), id_col)
 
 
 def _distinct_prints(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:

@@ -132,3 +132,12 @@ def test_crowded_cells_lose_no_similar_pair(spark):
         rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
     got = simhash.link_similar(spark.createDataFrame(rows, "doc_id long, text string"), cell_limit=1).collect()
     assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
+def test_all_blocks_of_a_crowded_cell_meet(spark):
+    rng = np.random.default_rng(6)
+    nodes = rng.integers(0, 2**64, (40, simhash.NODE), dtype=np.uint64)
+    nodes[1::2, : simhash.WIDE] = nodes[::2, : simhash.WIDE] ^ np.uint64(1)
+    df = spark.createDataFrame([(x.tobytes(), [7]) for x in nodes], "fp binary, cells array<long>")
+    got = {(bytes(r.a), bytes(r.b)) for r in simhash.wide_links(df, 10, 3).collect()}
+    assert got == {tuple(sorted((nodes[k].tobytes(), nodes[k + 1].tobytes()))) for k in range(0, 40, 2)}
