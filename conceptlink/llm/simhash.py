@@ -272,8 +272,8 @@ def _with_prefix(words: int, similarity: float):
             at = np.cumsum([len(x) for x in least])
             cells = pa.array(np.concatenate(least).view(np.int64))
             cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), cells)
-            columns = [batch.column("_id"), pa.array(nodes, pa.binary()), cells]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_fp", "cells"])
+            columns = [batch.column("_id"), batch.column("_key"), pa.array(nodes, pa.binary()), cells]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "_fp", "cells"])
 
     return run
 
@@ -308,24 +308,100 @@ def wide_radius(similarity: float) -> int:
     return round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def similar_within(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of sorted sets whose Jaccard similarity is ``similarity`` or more, which tie together all such pairs."""
+    sizes = np.array([len(x) for x in sets])
+    n, flat, owner = len(sets), np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    if n == 2:
+        common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))], [0, 0]])
+    else:
+        values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times > 1  # what one set alone has is in no intersection
+        place = np.cumsum(shared) - 1
+        keep = shared[column]
+        row, column = owner[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common, step = np.zeros((n, n), np.float32), max(256, (1 << 23) // n)
+        for lo in range(0, int(shared.sum()), step):
+            a, b = np.searchsorted(column, (lo, lo + step))
+            part = np.zeros((n, min(step, int(shared.sum()) - lo)), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            common += part @ part.T
+    near = np.triu(common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6, 1)
+    label, links = np.arange(n), []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        if label[i] != label[j]:
+            links.append((i, j))
+            label[label == label[j]] = label[i]
+    return links
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(node.tobytes(), found.tobytes()) for node, found in shingle_sets(batch.column("_text"), words)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.binary()) for k in (0, 1)], names=["node", "set"])
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = []
+            for members in batch.column("members"):
+                members = members.as_py()
+                sets = [np.frombuffer(m["set"], np.uint64) for m in members]
+                for i, j in similar_within(sets, similarity):
+                    pairs.append(sorted((members[i]["node"], members[j]["node"])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def similar_links(groups: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = 512, most_bytes: int = 4 << 20) -> DataFrame:
+    """Links (a, b) between nodes of one group (node, root) that are similar by their whole shingle sets.
+
+    ``texts`` (_text) has a text of each node.  Groups of over ``most`` members or ``most_bytes``
+    are cut into blocks and every pair of blocks is compared, so that no task's work grows with a group.
+    """
+    sets = materialize(texts.mapInArrow(_sets(words), "node binary, set binary").dropDuplicates(["node"]), "sets")
+    members = groups.join(sets, "node")
+    sizes = members.groupBy("root").agg(F.count("*").alias("_c"), F.sum(F.octet_length("set")).alias("_b"))
+    large = materialize(sizes.where((F.col("_c") > most) | (F.col("_b") > most_bytes)), "large")
+    blocks = F.coalesce(F.greatest(F.ceil(F.col("_c") / most), F.ceil(F.col("_b") / most_bytes)), F.lit(1))
+    lists = block_pairs(members.join(large, "root", "left"), "root", "node", blocks, "node", "set").groupBy("root", "i", "j")
+    lists = lists.agg(F.collect_list(F.struct("node", "set")).alias("members")).where(F.size("members") > 1)
+    return materialize(lists.select("members").mapInArrow(_similar(similarity), "a binary, b binary").distinct(), "similar")
+
+
 def link_similar(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, cell_limit: int = 2048
 ) -> DataFrame:
-    """Like ``link_near_duplicates``, for shingle similarity in place of a few differing bits.
+    """Like ``link_near_duplicates``, for Jaccard similarity of shingle sets in place of a few differing bits.
 
-    Fingerprints have 256 bits; two are linked if the similarity that their distance stands for is
-    ``similarity`` or more, with a margin of half the estimate's deviation.  Rows (id, component_id,
-    n_links); nulls, ties, repeated rows and empty tables as there.
+    Candidates share a cell and their 256-bit fingerprints differ by the similarity's mean and six
+    deviations at most (sets of few shingles stray further than the law has it).  Within what candidates
+    connect, all pairs are compared by their whole shingle sets, and those of ``similarity`` or more are
+    linked.  Rows (id, component_id, n_links); nulls, ties, repeated rows and empty tables as there.
     """
     bits = wide_radius(similarity)
-    radius = bits + round(0.5 * math.sqrt(bits * (1 - bits / (64 * WIDE))))
+    radius = bits + round(6 * math.sqrt(bits * (1 - bits / (64 * WIDE))))
     bound_batches(df.sparkSession)
-    source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.xxhash64(text_or_empty(text_col)).alias("_key"))
     kind = dict(source.dtypes)["_id"]
-    run, schema = _with_prefix(words, similarity), f"_id {kind}, _fp binary, cells array<long>"
+    run, schema = _with_prefix(words, similarity), f"_id {kind}, _key long, _fp binary, cells array<long>"
     prints = materialize(source.mapInArrow(run, schema), "prints")
-    distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least"), F.first("cells").alias("cells")), "distinct")
-    return _named(prints.drop("cells"), distinct.drop("cells"), wide_links(distinct, radius, cell_limit), id_col)
+    least = [F.min("_id").alias("least"), F.min("_key").alias("key"), F.first("cells").alias("cells")]
+    distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(*least), "distinct")
+    groups = components(wide_links(distinct, radius, cell_limit))  # without the roots themselves
+    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    # one text of each node by its hash; where hashes collide the sets' own nodes tell the texts apart
+    wanted = groups.join(distinct, groups["node"] == distinct["fp"]).select("key").distinct()
+    texts = source.join(wanted, source["_key"] == wanted["key"], "left_semi").select("_text").distinct()
+    links = similar_links(groups, texts, words, similarity)
+    return _named(prints.select("_id", "_fp"), distinct.select("fp", "least"), links, id_col)
 
 
 def _distinct_prints(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar texts the document with the smallest id stays; of its repeated rows one.
 
-    Five-word shingles at a similarity of 0.8 or more, as 256-bit SimHashes tell it.
+    Five-word shingles at a Jaccard similarity of 0.8 or more.
     """
     linked = simhash.link_similar(docs, words=5, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     first = docs.join(linked, docs["doc_id"].eqNullSafe(linked["doc_id"]), "left_semi")

@@ -141,3 +141,36 @@ def test_all_blocks_of_a_crowded_cell_meet(spark):
     df = spark.createDataFrame([(x.tobytes(), [7]) for x in nodes], "fp binary, cells array<long>")
     got = {(bytes(r.a), bytes(r.b)) for r in simhash.wide_links(df, 10, 3).collect()}
     assert got == {tuple(sorted((nodes[k].tobytes(), nodes[k + 1].tobytes()))) for k in range(0, 40, 2)}
+
+
+@pytest.mark.parametrize("limit", [2048, 3])
+def test_similar_texts_around_the_threshold_equal_brute_force(spark, limit):
+    rng = random.Random(limit)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    texts = []
+    for g in range(80):
+        base = [rng.choice(words) for _ in range(rng.choice([8, 13, 40, 150, 400]) if g else 150)]
+        for _ in range(2 if g else 40):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), round(len(copy) * rng.uniform(0.002, 0.016))):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join([*copy, *(rng.choice(words) for _ in range(rng.choice([0, 1, len(copy) // 12])))]))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.link_similar(rows, cell_limit=limit).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    assert 20 < len(set(label)) < len(texts) - 40
+
+
+def test_blocks_of_a_group_are_all_compared(spark):
+    words = [" ".join(f"w{i // 2}x{k}" for k in range(30)) + f" {i}" for i in range(20)]
+    df = spark.createDataFrame([(w,) for w in words], "_text string")
+    nodes = [r.node for r in df.mapInArrow(simhash._sets(5), "node binary, set binary").collect()]
+    groups = spark.createDataFrame([(n, nodes[0]) for n in nodes], "node binary, root binary")
+    assert simhash.similar_links(groups, df, 5, 0.8, most=3).count() == 10
