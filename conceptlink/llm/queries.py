@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_extract, lm_score, media_tiff, packing, quality, sharding, simhash, suffix_dedup, url_filter
+from .common import shared_dir
 
 #: Rules of op7: host, path, verdict (fixed values of its contract).
 URL_RULES = [
@@ -41,12 +44,19 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit("")).cast("binary")
+    text = F.coalesce("text", F.lit(""))
     records = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+        "doc_id", text.alias("text"), (F.octet_length(text) + 8).cast("long").alias("size")
     )
-    done = sharding.shuffle_into_shards(records, shards=24)
-    return done.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    path = f"{shared_dir(spark).rstrip('/')}/conceptlink-shards-{uuid.uuid4().hex}"
+    sharding.write_shards(sharding.shuffle_into_shards(records, shards=24), path)
+    schema = "doc_id {}, text string, slot long, grown_shard int, shard int".format(dict(records.dtypes)["doc_id"])
+    done = spark.read.schema(schema).parquet(path)  # everything else is told from what was written
+    text = F.col("text").cast("binary")
+    return done.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", "slot", "grown_shard",
+    )
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conceptlink.llm import html_extract, media_tiff, sharding, url_filter
+from conceptlink.llm import html_extract, media_tiff, queries, sharding, url_filter
 
 # ---------------------------------------------------------------- sharding
 
@@ -46,6 +46,18 @@ def test_shards_are_gapless_stable_and_grow(spark, bucket_bytes):
     assert sharding.shuffle_into_shards(df.limit(0), shards=6).count() == 0
 
 
+def test_sharding_query_writes_whole_records(spark, monkeypatch):
+    written = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path: (write(df, path), written.append(path)))
+    got = {r.doc_id: r for r in queries.op5_sharding(spark, "/root/testdata/sf0.001").collect()}
+    shards = {r.doc_id: r for r in spark.read.parquet(written[0]).collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        text = (r.text or "").encode()
+        assert shards[r.doc_id].text.encode() == text and shards[r.doc_id].shard == got[r.doc_id].shard
+        assert (got[r.doc_id].size, got[r.doc_id].text_crc32) == (len(text) + 8, zlib.crc32(text))
+
+
 # ---------------------------------------------------------------- media
 
 
