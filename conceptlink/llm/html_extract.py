@@ -28,7 +28,7 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label|itemprop)\s*
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 # HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas select button".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th "

@@ -199,6 +199,16 @@ def test_broken_and_odd_pages(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_only_raw_elements_hide_text():
+    body = "This is the first paragraph of the story, and it is long enough. " * 3
+    model = html_extract.trained()
+    for odd in ("<svg width=1 />", "<button>", "<object data=x>", "<select>", "<math/>", "<canvas>"):
+        page = f"<article><p>{body}</p>{odd}<p>Then more: {body}</p></article>"
+        assert html_extract.extract_batch([page], model) == [f"{body.strip()}\nThen more: {body.strip()}"], odd
+    page = f"<article><p>{body}<math><mi>x</mi><mo>+</mo><mn>1</mn></math></p></article>"
+    assert html_extract.extract_batch([page], model)[0].endswith("x+1")
+
+
 def test_nothing_below_a_dropped_element_is_kept():
     tree = html_extract.Tree("<div><nav><p>a</p><div><p>b</p></div></nav><p>c</p></div>")
     rng = np.random.default_rng(0)
