@@ -20,24 +20,32 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, mix, portions, word_spans
+from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, mix, portions
 
 BUCKETS, DIMS, NONZERO, REACH, BLOCK = 1 << 14, 64, 4, 2, 64
-MARK = SPACED_WORD & ~ALNUM_WORD
-PORTION, SEED = 1 << 19, 31
+#: 1 for the bytes of words, 2 for those of marks, 0 for white space.
+KIND = np.where(ALNUM_WORD, 1, np.where(SPACED_WORD, 2, 0)).astype(np.uint8)
+PORTION, SEED = 1 << 22, 31
 MAX_LABELS = 20_000
 
 
 def tokens_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and row of each word or mark, in order, and whether it is a word in capitals."""
-    hashed = PrefixHash(body, SEED)
-    spans = [word_spans(body, offsets, kind) for kind in (ALNUM_WORD, MARK)]
-    start, end, row = (np.concatenate(x) for x in zip(*spans, strict=True))
-    order = np.argsort(start, kind="stable")
-    start, end, row = start[order], end[order], row[order]
-    upper = np.concatenate(([0], np.cumsum((body >= 65) & (body <= 90))))
+    if not len(body):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    kind = KIND[body]
+    edge = np.ones(len(body), bool)
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+    edge[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], len(body))
+    token = kind[start] > 0
+    start, end = start[token], end[token]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    upper = np.zeros(len(body) + 1, np.int32)
+    np.cumsum((body >= 65) & (body <= 90), out=upper[1:])
     capitals = (end - start > 1) & (upper[end] - upper[start] == end - start)
-    return (hashed.of(start, end) % np.uint64(BUCKETS)).astype(np.int64), row, capitals
+    return (PrefixHash(body, SEED).of(start, end) % np.uint64(BUCKETS)).astype(np.int64), row, capitals
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +67,8 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 a, b = bucket[:-shift][near], bucket[shift:][near]
                 for word, other in ((a, b), (b, a)):
                     for k in range(NONZERO):
-                        cell = word * DIMS + places[other, k]
-                        sign = signs[other, k]
-                        total += np.bincount(cell[sign > 0], minlength=len(total)) - np.bincount(cell[sign < 0], minlength=len(total))
+                        cells = np.bincount(word * DIMS + places[other, k], signs[other, k], len(total))
+                        total += cells.astype(np.int64)
     table = total.reshape(-1, BLOCK * DIMS)
     some = np.flatnonzero(table.any(axis=1))
     for k in some.tolist():
@@ -109,14 +116,19 @@ def pooled(body: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
         return out
     counts = np.bincount(row, minlength=n)
     have = np.flatnonzero(counts)
-    first = np.concatenate(([0], np.cumsum(counts[have])[:-1]))
     size = counts[have][:, None]
-    each = vectors[bucket]
-    mean = np.add.reduceat(each, first, axis=0, dtype=np.float64) / size
-    square = np.add.reduceat(np.square(each), first, axis=0, dtype=np.float64) / size
+    pairs, often = np.unique(row * BUCKETS + bucket, return_counts=True)
+    owner, bucket_of = np.divmod(pairs, BUCKETS)
+    cut = np.searchsorted(owner, np.append(have, n))
+    sums = np.empty((len(have), 2 * DIMS))
+    for k, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        each, times = vectors[bucket_of[lo:hi]], often[lo:hi].astype(np.float32)
+        sums[k, :DIMS] = times @ each
+        sums[k, DIMS:] = times @ np.square(each)
+    mean, square = sums[:, :DIMS] / size, sums[:, DIMS:] / size
     out[have, :DIMS] = mean
     out[have, DIMS : 2 * DIMS] = np.sqrt(np.maximum(square - mean**2, 0))
-    kinds = np.bincount(np.unique(row * BUCKETS + bucket) // BUCKETS, minlength=n)[have]
+    kinds = np.bincount(owner, minlength=n)[have]
     size = size[:, 0]
     same = np.bincount(row[1:][(row[1:] == row[:-1]) & (bucket[1:] == bucket[:-1])], minlength=n)[have]
     out[have, -6] = np.log1p(size)
@@ -208,8 +220,9 @@ def score_quality(
     """One row per input row: id, ``keep`` columns, held_out, score and predicted.
 
     Rows with crc32(id as text) mod ``folds`` = ``held_fold`` are held out: their labels are never
-    read.  Of the other labels the ``max_labels`` with the smallest hashes of the id are used; ids
-    with several labels take the highest, null labels count for nothing.  Word vectors come from all
+    read.  Of the other labels the ``max_labels`` with the smallest hashes of the id are used, where ids
+    repeat the rows with the smallest hashes of the text; ids with several labels take the highest,
+    null labels count for nothing.  Word vectors come from all
     texts.  Null and empty texts have zero features and get a score like any other; without labels
     of both kinds the score is their mean (0.5 without any); repeated rows are scored each; an
     empty table stays empty.
@@ -230,7 +243,8 @@ def score_quality(
     sample = docs.select("_c0", "_text").join(F.broadcast(known), "_c0")  # max_labels rows at most
     sample = sample.select(F.xxhash64("_text").alias("_order"), "_label", "_text")
     sample = sample.mapInArrow(_featured(vectors, ["_order", "_label"]), "_order long, _label double, _last binary")
-    rows = sorted(sample.limit(4 * max_labels).collect(), key=lambda r: (r._order, r._label))
+    sample = sample.orderBy("_order", "_label", "_last").limit(max_labels)  # also where ids repeat
+    rows = sorted(sample.collect(), key=lambda r: (r._order, r._label, r._last))
     features = np.array([np.frombuffer(r._last, "<f4") for r in rows], np.float64).reshape(-1, FEATURES)
     if not len(rows):
         features = np.zeros((0, FEATURES))
