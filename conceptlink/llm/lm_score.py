@@ -1,17 +1,24 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class).  Frequent tokens are classes of their
-own, all others are classed by a hash of their last three bytes; the end of a text is a class too.
-The class model is log-linear in n-gram and skip features of the three preceding classes, hashed into
-``ROWS`` weight rows.  It is trained on all training documents by synchronous rounds: tasks add up
-observed and expected feature counts (the two halves of the gradient) in whole numbers, the driver
-makes a scaled gradient step on the fixed-size table.  Within a class tokens have discounted relative
-frequencies from the counts of the whole training corpus; what the discount takes away, set by the
-numbers of tokens seen once and twice, is the share of unseen tokens, which count as one per class.
-
-Texts are tokenised once, into chunks of about 8 MB that hold each distinct token once and the
-sequence as local numbers.  Only the chunks' distinct tokens are shuffled, to be counted and to bring
-the counts back; no vocabulary is ever broadcast or gathered.
+P(token | history) = P(class | history) * P(member | class, history) * P(token | class and member).
+A class has ``MEMBERS`` members.  The ``FREQUENT`` commonest tokens are members of their own, all others
+are dealt to the remaining members by a hash of their last three bytes; the end of a text is a member
+too.  Both softmaxes are log-linear in n-gram and skip features of the preceding words themselves (the
+first, second and third word back, the last two together; for members each together with the class),
+hashed into a weight table of fixed size.  Within a member tokens have discounted relative frequencies
+from the counts of the whole training corpus; what the discount takes away, set by the numbers of
+tokens seen once and twice, is the share of unseen tokens, which count as one per member.
+
+Training is synchronous: tasks add up observed and expected feature counts (the two halves of the
+gradient) in whole numbers, the driver makes a scaled gradient step on the table.  The first step is
+the one from the uniform model, whose expected counts need no pass.  Each further round takes another
+part of the training documents, so that every token is evaluated once.  Expected counts are estimated
+without bias by a draw per token from each of the model's softmaxes, seeded by the token's history
+and place: the same texts give the same model, however they are dealt to tasks.
+
+Texts are tokenised once, into chunks of about 4 MB that hold each distinct token once and the sequence
+as local numbers.  Only the chunks' distinct tokens travel to be counted, packed by ranges of hashes, and
+their counts travel back; no vocabulary is ever broadcast or gathered.
 """
 
 from __future__ import annotations
@@ -28,60 +35,46 @@ from pyspark.sql import functions as F
 from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, text_or_empty, word_spans
 from .quality import add_blocks
 
-FREQUENT, ENDINGS = 31, 32
-CLASSES = FREQUENT + ENDINGS + 1
-END = CLASSES - 1
-ROWS, SEED, PORTION, CHUNK = 1 << 13, 41, 1 << 21, 1 << 23
-ROUNDS, SHARE = 5, 64
-BLOCK_ROWS = 64
-#: Observations that a shorter history counts for where a longer one is estimated.
-SMOOTHING = 10
-#: Feature templates: which of the three preceding classes they look at.
-TEMPLATES = ((), (0,), (1,), (2,), (0, 1))
-
-
-def feature_rows() -> list[np.ndarray]:
-    """For each template the weight row of each combination of its classes."""
-    out = []
-    for k, template in enumerate(TEMPLATES):
-        n = CLASSES ** len(template)
-        out.append((mix(np.arange(n, dtype=np.uint64) + np.uint64(k << 32)) % np.uint64(ROWS)).astype(np.int64))
-    return out
-
-
-def context_rows(contexts: np.ndarray) -> np.ndarray:
-    """The weight rows, one per template, of packed contexts."""
-    parts = contexts // CLASSES**2, contexts // CLASSES % CLASSES, contexts % CLASSES
-    out = []
-    for template, rows in zip(TEMPLATES, feature_rows(), strict=True):
-        at = np.zeros(len(contexts), np.int64)
-        for p in template:
-            at = at * CLASSES + parts[p]
-        out.append(rows[at])
-    return np.stack(out)
+CLASSES, MEMBERS, FREQUENT = 64, 64, 2048
+#: The end's number; numbers from FREQUENT to END - 1 are those of hashed endings.
+END = CLASSES * MEMBERS - 1
+ENDINGS = END - FREQUENT
+CLASS_BITS, MEMBER_BITS = 13, 14
+#: First rows of the class features, of the members' constants and of the members' features; row 0 is the classes' constant.
+CLASS_ROWS, CONSTANT_ROWS, MEMBER_ROWS = 64, 64 + (1 << CLASS_BITS), 128 + (1 << CLASS_BITS)
+ROWS, BLOCK_ROWS = MEMBER_ROWS + (1 << MEMBER_BITS), 64
+SEED, PORTION, CHUNK, SLICE = 41, 1 << 21, 1 << 22, 1 << 12
+ROUNDS = 4
+#: Distinct tokens of chunks that one task counts at once.
+COUNTED = 250_000
+#: Observations that the prior counts for in the first step, and the damping of the further ones.
+SMOOTHING, DAMPING = 10, 10
+#: Share of a step that each of the features of one history takes.
+STEP = 0.25
+#: Odd multipliers of the hashed features, and the word that stands before a text.
+FACTORS = mix(np.arange(1, 13, dtype=np.uint64)) | np.uint64(1)
+START, END_WORD = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
-def log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of all classes in each context."""
-    logits = np.zeros((len(contexts), CLASSES), np.float32)
-    for rows in context_rows(contexts):
-        logits += weights[rows]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def in_planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as compressed bytes, all low bytes first, then the higher ones."""
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(planes[: 8 if planes[4:].any() else 4].tobytes(), 1)
 
 
-def in_planes(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2**31, all low bytes first, then the higher ones."""
-    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def from_planes(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, count)
+    wide = np.ascontiguousarray(planes.T)
+    return wide.view("<i8" if len(planes) == 8 else "<i4").ravel().astype(np.int64)
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+CHUNK_SCHEMA = "chunk long, ids array<{}>, held array<boolean>, parts array<tinyint>, sizes array<int>, n int, tokens binary, words binary, endings binary, seen binary"
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number = TaskContext.get().partitionId(), 0
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         body, offsets = arrow_bytes(batch.column("_text"))
         held = batch.column("_held").to_numpy(zero_copy_only=False)
@@ -94,7 +87,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, end, row = word_spans(text, at - at[0], SPACED_WORD)
                 hashed = PrefixHash(text, SEED)
                 hashes.append(hashed.of(start, end))
-                endings.append(hashed.of(np.maximum(start, end - 3), end) % np.uint64(ENDINGS))
+                endings.append((hashed.of(np.maximum(start, end - 3), end) % np.uint64(ENDINGS)).astype(np.int16))
                 counts.append(np.bincount(row, minlength=b - a))
             every, ending, count = np.concatenate(hashes), np.concatenate(endings), np.concatenate(counts)
             distinct, first, local, often = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
@@ -103,176 +96,338 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place[order] = np.arange(len(order), dtype=np.int32)
             local, distinct, first = place[local], distinct[order], first[order]
             seen = np.bincount(local[np.repeat(~held[lo:hi], count)], minlength=len(distinct))
-            ids = batch.column("_id").slice(lo, hi - lo)
-            whole = lambda values, n=len(ids): pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
-            many = pa.array([0, len(distinct)], pa.int32())
+            whole = lambda c, lo=lo, n=hi - lo: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c.slice(lo, n))
+            sizes = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.array(count, pa.int32()))
+            values = (in_planes(local), distinct.tobytes(), ending[first].astype("<i2").tobytes(), in_planes(seen))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part << 32 | number], pa.int64()), whole(ids), whole(batch.column("_held").slice(lo, hi - lo)),
-                    whole(pa.array(count, pa.int32())), pa.array([squeeze(in_planes(local))], pa.binary()),
-                    pa.ListArray.from_arrays(many, pa.array(distinct.view(np.int64))),
-                    pa.ListArray.from_arrays(many, pa.array(ending[first], pa.int16())),
-                    pa.ListArray.from_arrays(many, pa.array(seen, pa.int32())),
-                ],
-                names=["chunk", "ids", "held", "sizes", "tokens", "words", "endings", "seen"],
+                [pa.array([task << 32 | number], pa.int64()), *(whole(batch.column(c)) for c in ("_id", "_held", "_part"))]
+                + [sizes, pa.array([len(distinct)], pa.int32())] + [pa.array([v], pa.binary()) for v in values],
+                names=["chunk", "ids", "held", "parts", "sizes", "n", "tokens", "words", "endings", "seen"],
             )
             number += 1
 
 
-def classes_of(words: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Class of each distinct token; ``frequent`` holds the hashes of the classes of their own."""
-    out = FREQUENT + endings.astype(np.int64)
-    if len(frequent):
-        order = np.argsort(frequent)
-        at = np.minimum(np.searchsorted(frequent[order], words), len(frequent) - 1)
-        own = frequent[order][at] == words
-        out[own] = order[at][own]
-    return out
+# ---------------------------------------------------------------- counting
+
 
+def ranged(words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of tokens by range of hashes, and where each of the ``ranges`` begins in it."""
+    of = ((words >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(ranges + 1, dtype=np.uint64))
 
-def with_ends(local: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence with -1 after each text, and the places of those."""
-    ends = np.cumsum(sizes + 1) - 1
-    out = np.full(len(local) + len(sizes), -1, np.int32)
-    inside = np.ones(len(out), bool)
-    inside[ends] = False
-    out[inside] = local
-    return out, ends
-
-
-def sequence_of(row: dict, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Local numbers (-1: end), classes and packed contexts of a chunk's tokens, and the ends' places."""
-    local = from_planes(zstandard.decompress(row["tokens"].as_py()))
-    sizes = row["sizes"].values.to_numpy().astype(np.int64)
-    sequence, ends = with_ends(local, sizes)
-    word_class = np.append(classes_of(row["words"].values.to_numpy(), row["endings"].values.to_numpy(), frequent), END).astype(np.int32)
-    kinds = word_class[sequence]
-    begin = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else np.zeros(0, np.int64)
-    context = np.zeros(len(kinds), np.int32)
-    for back in (1, 2, 3):
-        before = np.full(len(kinds), END, np.int32)
-        before[back:] = kinds[:-back]
-        for late in range(back):  # nothing is seen across the beginning of a text
-            early = begin + late
-            before[early[early < np.append(begin[1:], len(kinds))]] = END
-        context = context * CLASSES + before
-    return sequence, kinds, context, ends
-
-
-def _counted(frequent: np.ndarray):
-    """Per chunk: distinct (context, class) of the training texts and how often they occur."""
+
+def _dealt(ranges: int):
+    """Each chunk's distinct tokens, one row per range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                _, kinds, context, ends = sequence_of(row, frequent)
-                sizes = np.diff(np.concatenate(([-1], ends)))
-                trained = np.repeat(~row["held"].values.to_numpy(zero_copy_only=False), sizes)
-                keys, times = np.unique((context * CLASSES + kinds)[trained], return_counts=True)
+            for row in batch.to_pylist():
+                words, endings = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["endings"], "<i2")
+                order, cut = ranged(words, ranges)
+                words, endings, seen = words[order], endings[order], from_planes(row["seen"], row["n"])[order]
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                pieces = [slice(cut[k], cut[k + 1]) for k in some]
+                columns = ([words[p].tobytes() for p in pieces], [endings[p].tobytes() for p in pieces], [in_planes(seen[p]) for p in pieces])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys.astype("<i4").tobytes()], pa.binary()), pa.array([times.astype("<i4").tobytes()], pa.binary())],
-                    names=["keys", "times"],
+                    [pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64())] + [pa.array(c, pa.binary()) for c in columns],
+                    names=["range", "chunk", "words", "endings", "seen"],
                 )
 
     return run
 
 
-def feature_sums(weights: np.ndarray | None, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Observed (without weights) or expected counts of (weight row, class), ``SHARE`` to the unit."""
-    total = np.zeros((ROWS, CLASSES))
-    for keys, times in grams:
-        context, kind = keys // CLASSES, keys % CLASSES
-        distinct, at = np.unique(context, return_inverse=True)
-        if weights is None:
-            for rows in context_rows(context):
-                total += np.bincount(rows * CLASSES + kind, times, ROWS * CLASSES).reshape(ROWS, CLASSES)
-            continue
-        weight = np.bincount(at, times)
-        for lo in range(0, len(distinct), 8192):
-            some = distinct[lo : lo + 8192]
-            expected = np.exp(log_softmax(weights, some)) * weight[lo : lo + 8192, None]
-            for rows in context_rows(some):
-                order = np.argsort(rows, kind="stable")
-                cut = np.flatnonzero(np.diff(rows[order], prepend=-1))
-                total[rows[order][cut]] += np.add.reduceat(expected[order], cut, axis=0, dtype=np.float64)
-    return np.rint(total * SHARE).astype(np.int64)
-
-
-def _summed(weights):
+def merged_stats(parts: list[dict]) -> dict:
+    """Sums of counts, and the commonest tokens of all parts (of equals the smaller hashes)."""
+    top = np.concatenate([p["top"] for p in parts], axis=1)
+    order = np.lexsort((top[0], -top[1]))[:FREQUENT]
+    return {"top": top[:, order], "tokens": sum(p["tokens"] for p in parts), "types": sum(p["types"] for p in parts), "few": sum(p["few"] for p in parts)}
+
+
+def packed_stats(stats: dict) -> bytes:
+    return zstandard.compress(np.concatenate([stats[k].astype("<i8").ravel() for k in ("tokens", "types", "few", "top")]).tobytes(), 1)
+
+
+def unpacked_stats(data: bytes) -> dict:
+    flat = np.frombuffer(zstandard.decompress(data), "<i8")
+    return {"tokens": flat[:ENDINGS], "types": flat[ENDINGS : 2 * ENDINGS], "few": flat[2 * ENDINGS : 2 * ENDINGS + 2], "top": flat[2 * ENDINGS + 2 :].reshape(3, -1)}
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The corpus counts of each row's tokens, in their order, and a row (chunk -1) of what the tokens add up to."""
+    rows = [r for batch in batches for r in batch.to_pylist()]  # about COUNTED tokens
+    if not rows:
+        return
+    words, endings = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("words", np.uint64), ("endings", "<i2")))
+    sizes = [len(r["words"]) // 8 for r in rows]
+    seen = np.concatenate([from_planes(r["seen"], n) for r, n in zip(rows, sizes, strict=True)])
+    distinct, first, local = np.unique(words, return_index=True, return_inverse=True)
+    total = np.bincount(local, seen, len(distinct)).astype(np.int64)
+    counts, at = total[local], np.concatenate(([0], np.cumsum(sizes)))
+    for lo in range(0, len(rows), 256):
+        some = range(lo, min(lo + 256, len(rows)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows[k]["chunk"] for k in some], pa.int64()), pa.array([rows[k]["range"] for k in some], pa.int32())]
+            + [pa.array([in_planes(counts[at[k] : at[k + 1]]) for k in some], pa.binary())],
+            names=["chunk", "range", "counts"],
+        )
+    known = total > 0
+    distinct, kind, total = distinct[known], endings[first][known], total[known]
+    order = np.lexsort((distinct, -total))[:FREQUENT]
+    stats = {
+        "tokens": np.bincount(kind, total, ENDINGS).astype(np.int64), "types": np.bincount(kind, minlength=ENDINGS),
+        "few": np.array([(total == 1).sum(), (total == 2).sum()]), "top": np.stack((distinct[order].view(np.int64), total[order], kind[order].astype(np.int64))),
+    }
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([-1], pa.int64()), pa.array([0], pa.int32()), pa.array([packed_stats(stats)], pa.binary())], names=["chunk", "range", "counts"]
+    )
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        for data in batch.column("counts").to_pylist():
+            held = merged_stats([unpacked_stats(data)] + ([held] if held else []))
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([packed_stats(held)], pa.binary())], names=["counts"])
+
+
+def count_tokens(chunks: DataFrame) -> tuple[DataFrame, dict, int]:
+    """(chunk, range, counts) of all chunks, the totals, and the number of ranges of hashes."""
+    spark = chunks.sparkSession
+    ranges = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // COUNTED))
+    tasks = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = chunks.select("chunk", "n", "words", "endings", "seen").mapInArrow(
+        _dealt(ranges), "range int, chunk long, words binary, endings binary, seen binary"
+    )
+    counted = materialize(dealt.repartition(tasks, "range").mapInArrow(_counted, "chunk long, range int, counts binary"), "counted")
+    stats = counted.where("chunk = -1").select("counts")
+    while tasks > 64:  # at most 64 rows of fixed size come to the driver
+        tasks = -(-tasks // 64)
+        stats = materialize(stats.repartition(tasks).mapInArrow(_merged, "counts binary"), "stats")
+    found = [unpacked_stats(r.counts) for r in stats.collect()]
+    none = {"top": np.zeros((3, 0), np.int64), "tokens": np.zeros(ENDINGS, np.int64), "types": np.zeros(ENDINGS, np.int64), "few": np.zeros(2, np.int64)}
+    return counted.where("chunk >= 0"), merged_stats([none, *found]), ranges
+
+
+# ---------------------------------------------------------------- the model
+
+
+def numbers_of(words: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Class and member (class * MEMBERS + member) of each distinct token, and last of the end."""
+    out = np.append(FREQUENT + endings.astype(np.int64), END)
+    if len(frequent):
+        order = np.argsort(frequent)
+        at = np.minimum(np.searchsorted(frequent[order], words), len(frequent) - 1)
+        own = np.flatnonzero(frequent[order][at] == words)
+        out[own] = order[at][own]
+    return out
+
+
+class Sequence:
+    """Of some of a chunk's texts: the tokens' local numbers (the last is the end), their words, places and histories."""
+
+    def __init__(self, row: dict, keep: np.ndarray | None = None) -> None:
+        self.words = np.frombuffer(row["words"], np.uint64)
+        sizes = np.array(row["sizes"], np.int64)
+        local = from_planes(row["tokens"], int(sizes.sum()))
+        if keep is not None:
+            local, sizes = local[np.repeat(keep, sizes)], sizes[keep]
+        ends = np.cumsum(sizes + 1) - 1
+        self.local = np.full(len(local) + len(sizes), len(self.words), np.int64)
+        inside = np.ones(len(self.local), bool)
+        inside[ends] = False
+        self.local[inside] = local
+        self.begin = ends - sizes
+        self.word = np.append(self.words, END_WORD)[self.local]
+        self.place = np.arange(len(self.local)) - np.repeat(self.begin, sizes + 1)
+        self.history = []
+        for back in (1, 2, 3):
+            before = np.full(len(self.local), START)
+            before[back:] = self.word[:-back]
+            before[self.place < back] = START  # nothing is seen across the beginning of a text
+            self.history.append(before)
+
+    def __len__(self) -> int:
+        return len(self.local)
+
+
+def feature_rows(history: list[np.ndarray], classes: np.ndarray | None) -> list[np.ndarray]:
+    """Weight rows of the class softmax (without ``classes``) or of the softmax over members."""
+    one, two, three = history
+    k = FACTORS
+    if classes is None:
+        shift, first = np.uint64(64 - CLASS_BITS), np.uint64(CLASS_ROWS)
+        constant = np.zeros(len(one), np.int64)
+        hashed = [one * k[0], two * k[1], three * k[2], one * k[3] + two * k[4]]
+    else:
+        shift, first = np.uint64(64 - MEMBER_BITS), np.uint64(MEMBER_ROWS)
+        constant = CONSTANT_ROWS + classes
+        salt = classes.astype(np.uint64) * k[5]
+        hashed = [one * k[6] + salt, two * k[7] + salt, three * k[8] + salt, one * k[9] + two * k[10] + salt]
+    return [constant, *((mix(h) >> shift) + first for h in hashed)]
+
+
+def likelihoods(weights: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all choices and the logarithm of the sum of their exponentials."""
+    logits = weights[rows[0]]
+    part = np.empty_like(logits)
+    for r in rows[1:]:
+        logits += np.take(weights, r.astype(np.int64), axis=0, out=part, mode="clip")
+    np.clip(logits, -40, 40, out=logits)
+    return logits, np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))
+
+
+UP_TO = np.triu(np.ones((CLASSES, CLASSES), np.float32))
+
+
+def drawn(logits: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """One choice of each row by its probabilities; ``u`` from 0 to 1."""
+    cumulated = np.exp(logits) @ UP_TO
+    below = cumulated <= (u * cumulated[:, -1])[:, None]
+    return np.minimum(np.bitwise_count(np.packbits(below, axis=1).view(np.uint64).ravel()).astype(np.int64), logits.shape[1] - 1)
+
+
+def both_softmaxes(history: list[np.ndarray], numbers: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Feature rows and true choice, for classes and for members."""
+    classes, members = numbers // MEMBERS, numbers % MEMBERS
+    yield feature_rows(history, None), classes
+    yield feature_rows(history, classes), members
+
+
+def feature_counts(sequence: Sequence, numbers: np.ndarray, weights: np.ndarray | None, seen: np.ndarray, expected: np.ndarray) -> None:
+    """Adds to flat tables of ROWS x CLASSES numbers: observed counts and a draw of the model per token.
+
+    Without weights ``expected`` gets how often a member feature met each class.
+    """
+    for lo in range(0, len(sequence), SLICE):
+        some = slice(lo, lo + SLICE)
+        history = [h[some] for h in sequence.history]
+        place = mix(sequence.word[some] * FACTORS[11] + history[0] * FACTORS[0] + history[1] * FACTORS[1] + sequence.place[some].astype(np.uint64))
+        given = None
+        for rows, true in both_softmaxes(history, numbers[sequence.local[some]]):
+            logits = None if weights is None else likelihoods(weights, rows)[0]
+            at = [r.astype(np.int64) * CLASSES for r in rows]
+            for r in at:
+                np.add.at(seen, r + true, 1)
+            if logits is not None:
+                draw = drawn(logits, (place >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24))
+                for r in at:
+                    np.add.at(expected, r + draw, 1)
+            elif given is not None:
+                for r in at[1:]:
+                    np.add.at(expected, r + given, 1)
+            place, given = mix(place), true
+
+
+def _summed(frequent: np.ndarray, part: int | None, weights):
+    """Blocks of observed and, with weights, expected counts over the training texts of one part (or all)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if weights is None else weights.value
-        total = np.zeros((ROWS, CLASSES), np.int64)
+        seen, expected = (np.zeros(ROWS * CLASSES, np.int64) for _ in range(2))
         for batch in batches:
-            for keys, times in zip(batch.column("keys"), batch.column("times"), strict=True):
-                total += feature_sums(table, [(np.frombuffer(keys.as_buffer(), "<i4"), np.frombuffer(times.as_buffer(), "<i4"))])
-        blocks = total.reshape(ROWS // BLOCK_ROWS, -1)
+            for row in batch.to_pylist():
+                keep = ~np.array(row["held"], bool)
+                if part is not None:
+                    keep &= np.array(row["parts"]) == part
+                if keep.any():
+                    sequence = Sequence(row, keep)
+                    feature_counts(sequence, numbers_of(sequence.words, np.frombuffer(row["endings"], "<i2"), frequent), table, seen, expected)
+        blocks = np.concatenate((seen, expected)).reshape(-1, BLOCK_ROWS * CLASSES)
         for k in np.flatnonzero(blocks.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([zstandard.compress(blocks[k].astype("<i8").tobytes(), 1)], pa.binary())],
-                names=["block", "sums"],
-            )
+            data = np.ascontiguousarray(blocks[k].astype("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(data.tobytes(), 1)], pa.binary())], names=["block", "sums"])
 
     return run
 
 
-def gathered(grams: DataFrame, weights) -> np.ndarray:
-    """The sums of all tasks: ROWS x CLASSES numbers at any corpus size."""
+def gathered(chunks: DataFrame, frequent: np.ndarray, part: int | None, weights) -> tuple[np.ndarray, np.ndarray]:
+    """Observed and expected counts of all tasks: ROWS x CLASSES numbers each, at any corpus size."""
     schema = "block int, sums binary"
-    total = np.zeros((ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES), np.int64)
-    tasks = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for r in grams.mapInArrow(_summed(weights), schema).repartition(tasks, "block").mapInArrow(add_blocks, schema).collect():
+    total = np.zeros((2 * ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES), np.int64)
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = chunks.select("held", "parts", "sizes", "tokens", "words", "endings").mapInArrow(_summed(frequent, part, weights), schema)
+    for r in sums.repartition(tasks, "block").mapInArrow(add_blocks, schema).collect():
         total[r.block] += np.frombuffer(r.sums, "<i8")
-    return total.reshape(ROWS, CLASSES) / SHARE
+    seen, expected = total.reshape(2, ROWS, CLASSES).astype(np.float64)
+    return seen, expected
+
 
+def first_step(seen: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Constants by relative frequency, and the features' step from the model that has only those.
 
-def train(grams: DataFrame, rounds: int) -> np.ndarray:
-    """Weights after ``rounds`` gradient rounds; they start from smoothed n-gram probabilities."""
-    spark, seen = grams.sparkSession, gathered(grams, None)
+    ``met`` tells how often a member feature met each class: what the constants alone expect of it.
+    """
     weights = np.zeros((ROWS, CLASSES), np.float32)
-    rows = feature_rows()
-    share = lambda counts, base: (counts + SMOOTHING * base) / (counts + SMOOTHING * base).sum(axis=1, keepdims=True)
-    prior = (seen[rows[0]] + 1) / (seen[rows[0]] + 1).sum()
-    after_one = share(seen[rows[1]], prior)
-    weights[rows[-1]] = np.log(share(seen[rows[-1]], np.repeat(after_one, CLASSES, axis=0)))
-    for _ in range(rounds):
-        expected = gathered(grams, spark.sparkContext.broadcast(weights))
-        step = (seen - expected) / (0.5 * (seen + expected) + 20) / (len(TEMPLATES) - 1)
-        weights = (weights + step).astype(np.float32)
+    features, members = slice(CLASS_ROWS, CONSTANT_ROWS), slice(MEMBER_ROWS, ROWS)
+    prior = (seen[0] + 0.5) / (seen[0] + 0.5).sum()
+    inner = seen[CONSTANT_ROWS:MEMBER_ROWS] + 0.5
+    inner /= inner.sum(axis=1, keepdims=True)
+    weights[0], weights[CONSTANT_ROWS:MEMBER_ROWS] = np.log(prior), np.log(inner)
+    expected = seen[features].sum(axis=1, keepdims=True) * prior, met[members] @ inner
+    for rows, e in zip((features, members), expected, strict=True):
+        n = np.maximum(e.sum(axis=1, keepdims=True), 1e-9)
+        weights[rows] = np.where(e > 0, STEP * np.log((seen[rows] + SMOOTHING * e / n + 1e-9) / (e + SMOOTHING * e / n + 1e-9)), 0)
+    return weights
+
+
+def stepped(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """A gradient step, scaled by the counts that a weight has."""
+    return (weights + (seen - expected) / (0.5 * (seen + expected) + DAMPING) * STEP).astype(np.float32)
+
+
+def train(chunks: DataFrame, frequent: np.ndarray, rounds: int) -> np.ndarray:
+    """The weights after the first step and ``rounds`` rounds over the parts of the training texts."""
+    context = chunks.sparkSession.sparkContext
+    weights = first_step(*gathered(chunks, frequent, None, None))
+    for k in range(rounds):
+        shared = context.broadcast(weights)
+        weights = stepped(weights, *gathered(chunks, frequent, k, shared))
+        shared.unpersist()
     return weights
 
 
-def _scored(model):
+def scores_of(sequence: Sequence, model: dict, endings: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probabilities of the tokens, by add-one frequencies and by the model; ``known`` are the distinct tokens' counts."""
+    known = np.append(known, model["ends"])
+    numbers = numbers_of(sequence.words, endings, model["frequent"])
+    own = (numbers < FREQUENT) | (numbers == END)
+    group = np.where(own, 0, numbers - FREQUENT)
+    tokens, types = model["tokens"][group], model["types"][group]
+    n, discount = np.maximum(tokens, 1), model["discount"]
+    unseen = np.where(types > 0, discount * types / n, 1.0)
+    inner = np.where(own, 0.0, np.log10(np.where(known > 0, (known - discount) / n, unseen)))
+    base = np.log10((known + 1) / (model["n"] + model["v"] + 1))
+    score = inner[sequence.local]
+    for lo in range(0, len(sequence), SLICE):
+        some = slice(lo, lo + SLICE)
+        for rows, true in both_softmaxes([h[some] for h in sequence.history], numbers[sequence.local[some]]):
+            logits, total = likelihoods(model["weights"], rows)
+            score[some] += (logits[np.arange(len(true)), true] - total) / np.log(10)
+    return base[sequence.local], score
+
+
+def _scored(model, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                sequence, kinds, context, ends = sequence_of(row, m["frequent"])
-                words = row["words"].values
-                known = np.zeros(len(words) + 1, np.int64)
-                listed = row["counts"].values
-                if listed is not None and len(listed):
-                    known[listed.field("at").to_numpy()] = listed.field("c").to_numpy()
-                known[-1] = m["ends"]
-                word_class = np.append(classes_of(words.to_numpy(), row["endings"].values.to_numpy(), m["frequent"]), END)
-                own = (word_class < FREQUENT) | (word_class == END)
-                n_class, discount = np.maximum(m["tokens"][word_class], 1), m["discount"]
-                unseen = np.where(m["types"][word_class] > 0, discount * m["types"][word_class] / n_class, 1.0)
-                inner = np.where(own, 0.0, np.log10(np.where(known > 0, (known - discount) / n_class, unseen)))
-                base = np.log10((known + 1) / (m["n"] + m["v"] + 1))
-                distinct, at = np.unique(context, return_inverse=True)
-                outer = np.empty(len(sequence))
-                for lo in range(0, len(distinct), 65536):
-                    table = log_softmax(m["weights"], distinct[lo : lo + 65536]) / np.log(10)
-                    mine = (at >= lo) & (at < lo + 65536)
-                    outer[mine] = table[at[mine] - lo, kinds[mine]]
-                begin = np.concatenate(([0], ends[:-1] + 1))
-                sums = [np.add.reduceat(x, begin) for x in (base[sequence], outer + inner[sequence], (known > 0)[sequence].astype(np.int64))]
+                row = {c: batch.column(c)[k].as_py() for c in ("n", "sizes", "tokens", "words", "endings", "counts")}
+                sequence = Sequence(row)
+                order, cut = ranged(sequence.words, ranges)
+                known = np.zeros(row["n"], np.int64)
+                for x in row["counts"] or ():
+                    at = order[cut[x["range"]] : cut[x["range"] + 1]]
+                    known[at] = from_planes(x["counts"], len(at))
+                sums = [np.add.reduceat(x, sequence.begin) for x in scores_of(sequence, m, np.frombuffer(row["endings"], "<i2"), known)]
+                is_known = np.append(known, m["ends"])[sequence.local] > 0
+                sums.append(np.add.reduceat(is_known.astype(np.int64), sequence.begin))
+                sizes = np.array(row["sizes"], np.int64) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        row["ids"].values, row["held"].values, pa.array(ends - begin + 1, pa.int64()), pa.array(sums[2], pa.int64()),
-                        pa.array([m["n"]] * len(begin), pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
+                        batch.column("ids")[k].values, batch.column("held")[k].values, pa.array(sizes), pa.array(sums[2]),
+                        pa.array(np.full(len(sizes), m["n"])), pa.array(sums[0]), pa.array(sums[1]),
                     ],
                     names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -280,6 +435,22 @@ def _scored(model):
     return run
 
 
+def model_of(chunks: DataFrame, stats: dict, rounds: int) -> dict:
+    """What scoring needs of the whole corpus; its size is fixed."""
+    top = stats["top"]
+    tokens, types = stats["tokens"].copy(), stats["types"].copy()
+    np.subtract.at(tokens, top[2], top[1])  # frequent tokens are members of their own
+    np.subtract.at(types, top[2], 1)
+    ends = int(chunks.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0)
+    once, twice = stats["few"].tolist()
+    frequent = top[0].view(np.uint64)
+    return {
+        "frequent": frequent, "weights": train(chunks, frequent, rounds), "tokens": tokens, "types": types, "ends": ends,
+        "discount": min(0.95, max(0.05, once / max(1, once + 2 * twice))),
+        "n": int(stats["tokens"].sum()) + ends, "v": int(stats["types"].sum()) + (ends > 0),
+    }
+
+
 def score_texts(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -289,38 +460,18 @@ def score_texts(
     those whose crc32(id as text) mod ``folds`` is not ``held_fold``.  base_score is the add-one
     unigram log10 probability, score the model's.  Null and empty texts consist of their end; null
     ids count as the empty text for the fold; repeated rows are learnt and scored each; with nothing
-    to learn from all counts are zero; an empty table stays empty.
+    to learn from all counts are zero; an empty table stays empty.  Other columns play no part.
     """
     spark = df.sparkSession
     bound_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
-    source = df.select(F.col(id_col).alias("_id"), fold.alias("_held"), text_or_empty(text_col).alias("_text"))
+    part = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), F.length(text_or_empty(text_col))), F.lit(rounds)).cast("tinyint")
+    source = df.select(F.col(id_col).alias("_id"), fold.alias("_held"), part.alias("_part"), text_or_empty(text_col).alias("_text"))
     kind = dict(source.dtypes)["_id"]
-    columns = "chunk long, ids array<{}>, held array<boolean>, sizes array<int>, tokens binary, words array<long>, endings array<smallint>, seen array<int>"
-    chunks = materialize(source.mapInArrow(_chunked, columns.format(kind)), "chunks")
-    distinct = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "endings", "seen")).alias("at", "w"))
-    distinct = distinct.select("chunk", "at", F.col("w.words").alias("word"), F.col("w.endings").alias("ending"), F.col("w.seen").alias("seen"))
-    vocabulary = distinct.where("seen > 0").groupBy("word").agg(F.sum("seen").alias("c"), F.first("ending").alias("ending"))
-    vocabulary = materialize(vocabulary, "vocabulary")
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = np.array([r.word for r in top], np.int64)
-    totals = vocabulary.where(~F.col("word").isin([int(x) for x in frequent])) if top else vocabulary
-    totals = totals.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    once, twice = vocabulary.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    ends = chunks.select(F.sum(F.size(F.filter("held", lambda x: ~x))).alias("n")).first().n or 0
-    tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in totals:
-        tokens[FREQUENT + r.ending], types[FREQUENT + r.ending] = r.n, r.v
-    grams = chunks.select("held", "sizes", "tokens", "words", "endings").mapInArrow(_counted(frequent), "keys binary, times binary")
-    weights = train(materialize(grams, "grams"), rounds)
-    model = spark.sparkContext.broadcast(
-        {
-            "frequent": frequent, "weights": weights, "tokens": tokens, "types": types, "ends": int(ends),
-            "discount": min(0.95, max(0.05, once / max(1, once + 2 * twice))),
-            "n": int(tokens.sum() + sum(r.c for r in top) + ends), "v": int(types.sum() + len(top) + (ends > 0)),
-        }
-    )
-    counts = distinct.select("chunk", "at", "word").join(vocabulary.select("word", "c"), "word").groupBy("chunk")
-    counts = counts.agg(F.collect_list(F.struct("at", "c")).alias("counts"))
+    chunks = materialize(source.mapInArrow(_chunked, CHUNK_SCHEMA.format(kind)), "chunks")
+    counted, stats, ranges = count_tokens(chunks)
+    model = spark.sparkContext.broadcast(model_of(chunks, stats, rounds))
+    counts = counted.groupBy("chunk").agg(F.collect_list(F.struct("range", "counts")).alias("counts"))
     schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.drop("seen").join(counts, "chunk", "left").mapInArrow(_scored(model), schema).withColumnRenamed("_id", id_col)
+    ready = chunks.drop("parts", "seen").join(counts, "chunk", "left")
+    return ready.mapInArrow(_scored(model, ranges), schema).withColumnRenamed("_id", id_col)

@@ -101,25 +101,70 @@ def test_base_scores_equal_brute_force_and_the_model_is_better(spark):
     assert all(r.score < 0 for r in some)
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    weights = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
-    table = lm_score.log_softmax(weights, rng.integers(0, lm_score.CLASSES**3, 50))
-    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-4)
+def lm_history(rng, n):
+    words = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    return [words[rng.integers(0, 40, n)] for _ in range(3)]
 
 
-def test_expected_counts_equal_a_plain_sum():
+def test_probabilities_of_a_small_vocabulary_sum_to_one():
+    """Every known token and one unseen token per member, in any history, by brute force."""
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
+    words = [f"w{i}".encode() for i in range(3000)]
+    hashes = rng.integers(0, 2**64, len(words), dtype=np.uint64)
+    endings, counts = rng.integers(0, lm_score.ENDINGS, len(words)), rng.integers(1, 50, len(words))
+    order = np.argsort(-counts, kind="stable")
+    top = order[: lm_score.FREQUENT]
+    tokens, types = np.bincount(endings, counts, lm_score.ENDINGS), np.bincount(endings, minlength=lm_score.ENDINGS)
+    np.subtract.at(tokens, endings[top], counts[top])
+    np.subtract.at(types, endings[top], 1)
+    model = {"frequent": hashes[top], "weights": weights, "tokens": tokens, "types": types, "ends": 7, "discount": 0.4, "n": int(counts.sum()) + 7, "v": 3001}
+    # one unseen token for each member of endings
+    unseen = rng.integers(0, 2**64, lm_score.ENDINGS, dtype=np.uint64)
+    for history in (rng.integers(0, 2**64, 3, dtype=np.uint64) for _ in range(3)):
+        one = lm_score.Sequence.__new__(lm_score.Sequence)
+        one.words = np.concatenate((hashes, unseen))
+        n = len(one.words) + 1
+        one.local, one.place = np.arange(n), np.full(n, 9)
+        one.word = np.append(one.words, lm_score.END_WORD)
+        one.history = [np.full(n, h) for h in history]
+        known = np.concatenate((counts, np.zeros(lm_score.ENDINGS, np.int64)))
+        _, score = lm_score.scores_of(one, model, np.concatenate((endings, np.arange(lm_score.ENDINGS))), known)
+        assert (10.0**score).sum() == pytest.approx(1, abs=2e-3)
+
+
+def test_draws_follow_the_softmax_and_observed_counts_are_exact():
     rng = np.random.default_rng(3)
     weights = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
-    keys, times = np.unique(rng.integers(0, lm_score.CLASSES**4, 300)), None
-    times = rng.integers(1, 5, len(keys))
-    context = keys // lm_score.CLASSES
-    prob = np.exp(lm_score.log_softmax(weights, context))
-    want = np.zeros((lm_score.ROWS, lm_score.CLASSES))
-    for rows in lm_score.context_rows(context):
-        for r, p, n in zip(rows, prob, times, strict=True):
-            want[r] += p * n
-    assert np.allclose(lm_score.feature_sums(weights, [(keys, times)]) / lm_score.SHARE, want, atol=0.02)
+    rows = lm_score.feature_rows(lm_history(rng, 1), None)
+    logits, total = lm_score.likelihoods(weights, rows)
+    assert np.allclose(logits[0], sum(weights[int(r[0])] for r in rows), atol=1e-5)
+    draws = lm_score.drawn(np.repeat(logits, 200_000, axis=0), rng.random(200_000, dtype=np.float32))
+    share = np.bincount(draws, minlength=lm_score.CLASSES) / len(draws)
+    assert np.abs(share - np.exp(logits[0] - total)).max() < 0.004
+    words = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    row = {"words": words.tobytes(), "sizes": [4000, 0, 2000], "tokens": lm_score.in_planes(rng.integers(0, 50, 6000))}
+    sequence, numbers = lm_score.Sequence(row), np.append(rng.integers(0, lm_score.END, 50), lm_score.END)
+    seen, met = (np.zeros(lm_score.ROWS * lm_score.CLASSES, np.int64) for _ in range(2))
+    lm_score.feature_counts(sequence, numbers, None, seen, met)
+    want = Counter()
+    begins = [0, 4001, 4002]
+    for i, w in enumerate(sequence.local.tolist()):
+        first = max(b for b in begins if b <= i)
+        back = [np.array([sequence.word[i - k] if i - k >= first else lm_score.START], np.uint64) for k in (1, 2, 3)]
+        c, m = divmod(int(numbers[w]), lm_score.MEMBERS)
+        want.update((int(r[0]), c) for r in lm_score.feature_rows(back, None))
+        want.update((int(r[0]), m) for r in lm_score.feature_rows(back, np.array([c])))
+    got = seen.reshape(lm_score.ROWS, -1)
+    assert {(int(r), int(c)): int(got[r, c]) for r, c in zip(*np.nonzero(got), strict=True)} == dict(want)
+    assert met.sum() == 4 * len(sequence)
+
+
+def test_held_out_documents_beat_the_base_by_a_tenth(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = [r for r in lm_score.score_texts(docs).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in some)
+    assert sum(r.score for r in some) / tokens > sum(r.base_score for r in some) / tokens + 0.1
 
 
 def test_language_model_edge_cases(spark):
