@@ -4,7 +4,8 @@ P(token | history) = P(class | history) * P(member | class, history) * P(token |
 A class has ``MEMBERS`` members.  The ``FREQUENT`` commonest tokens are members of their own, all others
 are dealt to the remaining members by a hash of their last three bytes; the end of a text is a member
 too.  Both softmaxes are log-linear in n-gram and skip features of the preceding words themselves (the
-first, second and third word back, the last two together; for members each together with the class),
+first, second and third word back, the last two together; for members the first, the second and both,
+each together with the class),
 hashed into a weight table of fixed size.  Within a member tokens have discounted relative frequencies
 from the counts of the whole training corpus; what the discount takes away, set by the numbers of
 tokens seen once and twice, is the share of unseen tokens, which count as one per member.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,8 +53,10 @@ COUNTED = 250_000
 SMOOTHING, DAMPING = 10, 10
 #: Share of a step that each of the features of one history takes.
 STEP = 0.25
-#: Odd multipliers of the hashed features, and the word that stands before a text.
+#: Odd multipliers of the hashed features.
 FACTORS = mix(np.arange(1, 13, dtype=np.uint64)) | np.uint64(1)
+ONE = np.int32(1)
+#: The words that stand before a text and at its end.
 START, END_WORD = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
@@ -70,12 +74,25 @@ def from_planes(data: bytes, count: int) -> np.ndarray:
     return wide.view("<i8" if len(planes) == 8 else "<i4").ravel().astype(np.int64)
 
 
-CHUNK_SCHEMA = "chunk long, ids array<{}>, held array<boolean>, parts array<tinyint>, sizes array<int>, n int, tokens binary, words binary, endings binary, seen binary"
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, a place of each, the number of each place's value, and how often each occurs."""
+    order = np.argsort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[order[1:]], values[order[:-1]], out=new[1:])
+    cut = np.flatnonzero(new)
+    local = np.empty(len(values), np.int32)
+    local[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[order[cut]], order[cut], local, np.diff(np.append(cut, len(values)))
+
+
+CHUNK_SCHEMA = "chunk long, ids array<{}>, held array<boolean>, part int, sizes array<int>, n int, tokens binary, words binary, endings binary, seen binary"
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts of one part each."""
     task, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    parted = ((k, batch.filter(pc.equal(batch.column("_part"), k))) for batch in batches for k in pc.unique(batch.column("_part")).to_pylist())
+    for part, batch in parted:
         body, offsets = arrow_bytes(batch.column("_text"))
         held = batch.column("_held").to_numpy(zero_copy_only=False)
         for lo, hi in portions(offsets, CHUNK):
@@ -90,7 +107,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 endings.append((hashed.of(np.maximum(start, end - 3), end) % np.uint64(ENDINGS)).astype(np.int16))
                 counts.append(np.bincount(row, minlength=b - a))
             every, ending, count = np.concatenate(hashes), np.concatenate(endings), np.concatenate(counts)
-            distinct, first, local, often = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+            distinct, first, local, often = grouped(every)
             order = np.argsort(-often, kind="stable")  # frequent tokens have small numbers, which pack well
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
@@ -100,9 +117,9 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.array(count, pa.int32()))
             values = (in_planes(local), distinct.tobytes(), ending[first].astype("<i2").tobytes(), in_planes(seen))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | number], pa.int64()), *(whole(batch.column(c)) for c in ("_id", "_held", "_part"))]
-                + [sizes, pa.array([len(distinct)], pa.int32())] + [pa.array([v], pa.binary()) for v in values],
-                names=["chunk", "ids", "held", "parts", "sizes", "n", "tokens", "words", "endings", "seen"],
+                [pa.array([task << 32 | number], pa.int64()), whole(batch.column("_id")), whole(batch.column("_held"))]
+                + [pa.array([part], pa.int32()), sizes, pa.array([len(distinct)], pa.int32())] + [pa.array([v], pa.binary()) for v in values],
+                names=["chunk", "ids", "held", "part", "sizes", "n", "tokens", "words", "endings", "seen"],
             )
             number += 1
 
@@ -264,18 +281,23 @@ def feature_rows(history: list[np.ndarray], classes: np.ndarray | None) -> list[
         shift, first = np.uint64(64 - MEMBER_BITS), np.uint64(MEMBER_ROWS)
         constant = CONSTANT_ROWS + classes
         salt = classes.astype(np.uint64) * k[5]
-        hashed = [one * k[6] + salt, two * k[7] + salt, three * k[8] + salt, one * k[9] + two * k[10] + salt]
-    return [constant, *((mix(h) >> shift) + first for h in hashed)]
+        hashed = [one * k[6] + salt, two * k[7] + salt, one * k[8] + two * k[9] + salt]
+    return [constant, *(((h >> shift) + first).astype(np.int64) for h in hashed)]
 
 
-def likelihoods(weights: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of all choices and the logarithm of the sum of their exponentials."""
+def logits_of(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     logits = weights[rows[0]]
     part = np.empty_like(logits)
     for r in rows[1:]:
-        logits += np.take(weights, r.astype(np.int64), axis=0, out=part, mode="clip")
-    np.clip(logits, -40, 40, out=logits)
-    return logits, np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))
+        logits += np.take(weights, r, axis=0, out=part, mode="clip")
+    return np.clip(logits, -40, 40, out=logits)
+
+
+def likelihoods(weights: np.ndarray, rows: list[np.ndarray], true: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the true choices."""
+    logits = logits_of(weights, rows)
+    chosen = logits[np.arange(len(true)), true]
+    return chosen - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
 
 
 UP_TO = np.triu(np.ones((CLASSES, CLASSES), np.float32))
@@ -283,7 +305,7 @@ UP_TO = np.triu(np.ones((CLASSES, CLASSES), np.float32))
 
 def drawn(logits: np.ndarray, u: np.ndarray) -> np.ndarray:
     """One choice of each row by its probabilities; ``u`` from 0 to 1."""
-    cumulated = np.exp(logits) @ UP_TO
+    cumulated = np.exp(logits, out=logits) @ UP_TO
     below = cumulated <= (u * cumulated[:, -1])[:, None]
     return np.minimum(np.bitwise_count(np.packbits(below, axis=1).view(np.uint64).ravel()).astype(np.int64), logits.shape[1] - 1)
 
@@ -306,38 +328,35 @@ def feature_counts(sequence: Sequence, numbers: np.ndarray, weights: np.ndarray
         place = mix(sequence.word[some] * FACTORS[11] + history[0] * FACTORS[0] + history[1] * FACTORS[1] + sequence.place[some].astype(np.uint64))
         given = None
         for rows, true in both_softmaxes(history, numbers[sequence.local[some]]):
-            logits = None if weights is None else likelihoods(weights, rows)[0]
-            at = [r.astype(np.int64) * CLASSES for r in rows]
+            at = [r * CLASSES for r in rows]
             for r in at:
-                np.add.at(seen, r + true, 1)
-            if logits is not None:
-                draw = drawn(logits, (place >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24))
+                np.add.at(seen, r + true, ONE)
+            if weights is not None:
+                draw = drawn(logits_of(weights, rows), (place >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24))
                 for r in at:
-                    np.add.at(expected, r + draw, 1)
+                    np.add.at(expected, r + draw, ONE)
             elif given is not None:
                 for r in at[1:]:
-                    np.add.at(expected, r + given, 1)
+                    np.add.at(expected, r + given, ONE)
             place, given = mix(place), true
 
 
-def _summed(frequent: np.ndarray, part: int | None, weights):
-    """Blocks of observed and, with weights, expected counts over the training texts of one part (or all)."""
+def _summed(frequent: np.ndarray, weights):
+    """Blocks of the two tables of ``feature_counts`` over training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if weights is None else weights.value
-        seen, expected = (np.zeros(ROWS * CLASSES, np.int64) for _ in range(2))
+        seen, expected = (np.zeros(ROWS * CLASSES, np.int32) for _ in range(2))  # of one task
         for batch in batches:
             for row in batch.to_pylist():
                 keep = ~np.array(row["held"], bool)
-                if part is not None:
-                    keep &= np.array(row["parts"]) == part
                 if keep.any():
                     sequence = Sequence(row, keep)
                     feature_counts(sequence, numbers_of(sequence.words, np.frombuffer(row["endings"], "<i2"), frequent), table, seen, expected)
         blocks = np.concatenate((seen, expected)).reshape(-1, BLOCK_ROWS * CLASSES)
         for k in np.flatnonzero(blocks.any(axis=1)).tolist():
-            data = np.ascontiguousarray(blocks[k].astype("<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(data.tobytes(), 1)], pa.binary())], names=["block", "sums"])
+            data = zstandard.compress(blocks[k].astype("<i8").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["block", "sums"])
 
     return run
 
@@ -347,9 +366,10 @@ def gathered(chunks: DataFrame, frequent: np.ndarray, part: int | None, weights)
     schema = "block int, sums binary"
     total = np.zeros((2 * ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES), np.int64)
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = chunks.select("held", "parts", "sizes", "tokens", "words", "endings").mapInArrow(_summed(frequent, part, weights), schema)
+    some = chunks if part is None else chunks.where(F.col("part") == part)
+    sums = some.select("held", "sizes", "tokens", "words", "endings").mapInArrow(_summed(frequent, weights), schema)
     for r in sums.repartition(tasks, "block").mapInArrow(add_blocks, schema).collect():
-        total[r.block] += np.frombuffer(r.sums, "<i8")
+        total[r.block] += np.frombuffer(zstandard.decompress(r.sums), "<i8")
     seen, expected = total.reshape(2, ROWS, CLASSES).astype(np.float64)
     return seen, expected
 
@@ -403,8 +423,7 @@ def scores_of(sequence: Sequence, model: dict, endings: np.ndarray, known: np.nd
     for lo in range(0, len(sequence), SLICE):
         some = slice(lo, lo + SLICE)
         for rows, true in both_softmaxes([h[some] for h in sequence.history], numbers[sequence.local[some]]):
-            logits, total = likelihoods(model["weights"], rows)
-            score[some] += (logits[np.arange(len(true)), true] - total) / np.log(10)
+            score[some] += likelihoods(model["weights"], rows, true) / np.log(10)
     return base[sequence.local], score
 
 
@@ -465,7 +484,7 @@ def score_texts(
     spark = df.sparkSession
     bound_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
-    part = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), F.length(text_or_empty(text_col))), F.lit(rounds)).cast("tinyint")
+    part = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), F.length(text_or_empty(text_col))), F.lit(max(1, rounds))).cast("int")
     source = df.select(F.col(id_col).alias("_id"), fold.alias("_held"), part.alias("_part"), text_or_empty(text_col).alias("_text"))
     kind = dict(source.dtypes)["_id"]
     chunks = materialize(source.mapInArrow(_chunked, CHUNK_SCHEMA.format(kind)), "chunks")
@@ -473,5 +492,5 @@ def score_texts(
     model = spark.sparkContext.broadcast(model_of(chunks, stats, rounds))
     counts = counted.groupBy("chunk").agg(F.collect_list(F.struct("range", "counts")).alias("counts"))
     schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    ready = chunks.drop("parts", "seen").join(counts, "chunk", "left")
+    ready = chunks.drop("part", "seen").join(counts, "chunk", "left")
     return ready.mapInArrow(_scored(model, ranges), schema).withColumnRenamed("_id", id_col)

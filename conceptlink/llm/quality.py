@@ -86,7 +86,7 @@ def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals[block] = totals[block] + values if block in totals else values
     if totals:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["block", "sums"]
+            [pa.array(list(totals), pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1) for v in totals.values()], pa.binary())], names=["block", "sums"]
         )
 
 
@@ -97,7 +97,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     sums = texts.mapInArrow(_context_sums, schema).repartition(tasks, "block").mapInArrow(add_blocks, schema)
     table = np.zeros((BUCKETS // BLOCK, BLOCK * DIMS), np.int64)
     for r in sums.collect():  # BUCKETS x DIMS numbers at most
-        table[r.block] += np.frombuffer(r.sums, "<i8")
+        table[r.block] += np.frombuffer(zstandard.decompress(r.sums), "<i8")
     vectors = table.reshape(BUCKETS, DIMS).astype(np.float64)
     vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
     size = np.linalg.norm(vectors, axis=1, keepdims=True)

@@ -137,15 +137,18 @@ def test_draws_follow_the_softmax_and_observed_counts_are_exact():
     rng = np.random.default_rng(3)
     weights = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
     rows = lm_score.feature_rows(lm_history(rng, 1), None)
-    logits, total = lm_score.likelihoods(weights, rows)
+    logits = lm_score.logits_of(weights, rows)
     assert np.allclose(logits[0], sum(weights[int(r[0])] for r in rows), atol=1e-5)
     draws = lm_score.drawn(np.repeat(logits, 200_000, axis=0), rng.random(200_000, dtype=np.float32))
     share = np.bincount(draws, minlength=lm_score.CLASSES) / len(draws)
-    assert np.abs(share - np.exp(logits[0] - total)).max() < 0.004
+    want = np.exp(logits[0]) / np.exp(logits[0]).sum()
+    assert np.abs(share - want).max() < 0.004
+    likely = lm_score.likelihoods(weights, [r.repeat(64) for r in rows], np.arange(64))
+    assert np.allclose(likely, np.log(want), atol=1e-4)
     words = rng.integers(0, 2**64, 50, dtype=np.uint64)
     row = {"words": words.tobytes(), "sizes": [4000, 0, 2000], "tokens": lm_score.in_planes(rng.integers(0, 50, 6000))}
     sequence, numbers = lm_score.Sequence(row), np.append(rng.integers(0, lm_score.END, 50), lm_score.END)
-    seen, met = (np.zeros(lm_score.ROWS * lm_score.CLASSES, np.int64) for _ in range(2))
+    seen, met = (np.zeros(lm_score.ROWS * lm_score.CLASSES, np.int32) for _ in range(2))
     lm_score.feature_counts(sequence, numbers, None, seen, met)
     want = Counter()
     begins = [0, 4001, 4002]
@@ -157,7 +160,7 @@ def test_draws_follow_the_softmax_and_observed_counts_are_exact():
         want.update((int(r[0]), m) for r in lm_score.feature_rows(back, np.array([c])))
     got = seen.reshape(lm_score.ROWS, -1)
     assert {(int(r), int(c)): int(got[r, c]) for r, c in zip(*np.nonzero(got), strict=True)} == dict(want)
-    assert met.sum() == 4 * len(sequence)
+    assert met.sum() == 3 * len(sequence)
 
 
 def test_held_out_documents_beat_the_base_by_a_tenth(spark):
