@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, arrow_bytes, bound_batches, lowered, materialize, mix, portions, text_or_empty, word_spans
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, text_or_empty, word_spans
 
 #: (bits a segment, groups of segments) of each grid, from coarse to fine.
 GRIDS = ((2, 6), (1, 8), (1, 16))
@@ -71,7 +71,8 @@ def fingerprints(hashes: np.ndarray, shingles: np.ndarray, width: int = 1) -> np
         for a in range(0, len(have), 256):
             b = min(a + 256, len(have))
             part = np.unpackbits(mixed[cut[a] : cut[b]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            bits = np.add.reduceat(part, cut[a:b] - cut[a], axis=0, dtype=np.int64)
+            at = (cut[a : b + 1] - cut[a]).tolist()
+            bits = np.array([part[lo:hi].sum(axis=0, dtype=np.int32) for lo, hi in zip(at[:-1], at[1:], strict=True)])
             over = np.packbits(2 * bits > shingles[have[a:b]][:, None], axis=1)
             out[have[a:b], k] = over.view(">u8").ravel()
     return out
@@ -155,20 +156,16 @@ def links_within(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _verified(radius: int, width: int, row: int = 1):
     """Links within cells; small cells of one size are compared together.
 
-    The fingerprint is the first ``width`` of a row's ``row`` numbers.
+    A member is ``row`` numbers: the ``width`` of its fingerprint, and the last is what links name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prints")
-            flat = lists.flatten()
-            if width == 1:
-                values = flat.to_numpy().view(np.uint64).reshape(-1, 1)
-            else:
-                values = np.frombuffer(b"".join(flat.to_pylist()), "<u8").reshape(-1, row)
-            at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            values = lists.flatten().to_numpy().view(np.uint64).reshape(-1, row)
+            at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy() // row)))
             sizes = np.diff(at)
-            none = np.zeros((0, row), np.uint64)
+            none = np.zeros(0, np.uint64)
             left, right = [none], [none]
             for size in np.unique(sizes):
                 cells = np.flatnonzero(sizes == size)
@@ -178,22 +175,16 @@ def _verified(radius: int, width: int, row: int = 1):
                     for i, j in itertools.combinations(range(size), 2):
                         near = np.abs(vectors[:, i] - vectors[:, j]).sum(axis=1) <= radius
                         near[near] = differing(table[near, i, :width], table[near, j, :width]) <= radius
-                        left.append(table[near, i])
-                        right.append(table[near, j])
+                        left.append(table[near, i, -1])
+                        right.append(table[near, j, -1])
                 else:
                     for c in cells:
                         cell = values[at[c] : at[c + 1]]
                         pairs = np.array(links_within(cell[:, :width], radius), np.int64).reshape(-1, 2)
-                        left.append(cell[pairs[:, 0]])
-                        right.append(cell[pairs[:, 1]])
-            a, b = np.concatenate(left), np.concatenate(right)
-            if width == 1:
-                a, b = a.ravel().view(np.int64), b.ravel().view(np.int64)
-                columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
-            else:
-                pairs = [sorted((x.tobytes(), y.tobytes())) for x, y in zip(a, b, strict=True)]
-                columns = [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+                        left.append(cell[pairs[:, 0], -1])
+                        right.append(cell[pairs[:, 1], -1])
+            a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -242,19 +233,64 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-#: 64-bit parts of a wide fingerprint; behind them a node has two more that tell shingle sets apart.
-WIDE, NODE = 4, 6
+#: 64-bit parts of a wide fingerprint.
+WIDE, SEED_WORD = 2, 51
+STEPS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each row's node (wide fingerprint, 128-bit digest of its set) and the sorted set of its shingle hashes."""
-    for hashes, shingles in _hashed(column, words):
-        cut = np.concatenate(([0], np.cumsum(shingles)))
-        sets = [np.unique(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        # the fingerprint is the set's, so that a repeated passage does not move it
-        prints = fingerprints(np.concatenate([hashes[:0], *sets]), np.array([len(x) for x in sets], np.int64), WIDE)
-        for fp, found in zip(prints, sets, strict=True):
-            yield np.concatenate((fp, np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<u8"))), found
+def sequence_hashes(body: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the rows' ``words``-word shingles (fewer words: of the whole sequence), and their number by row."""
+    body = lowered(body)
+    start, end, row = word_spans(body, offsets, SPACED_WORD)
+    counts = np.bincount(row, minlength=len(offsets) - 1)
+    shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+    if not len(start):
+        return np.zeros(0, np.uint64), shingles
+    word = np.append(PrefixHash(body, SEED_WORD).of(start, end), np.zeros(words, np.uint64))
+    first = np.cumsum(counts) - counts
+    begin = np.repeat(first - (np.cumsum(shingles) - shingles), shingles) + np.arange(shingles.sum())
+    size = np.minimum(words, counts)[np.repeat(np.arange(len(counts)), shingles)]
+    total = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(words):
+        total += np.where(k < size, word[begin + k], 0) * STEPS[k % len(STEPS)] ** np.uint64(k // len(STEPS) + 1)
+    return mix(total), shingles
+
+
+def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Each row's sorted set of shingle hashes."""
+    body, offsets = arrow_bytes(column)
+    for lo, hi in portions(offsets, 1 << 21):
+        hashes, shingles = sequence_hashes(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+        cut = np.concatenate(([0], np.cumsum(shingles))).tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield np.unique(hashes[a:b])
+
+
+def digest_of(found: np.ndarray) -> bytes:
+    """The 128-bit node of a shingle set; its first half is the node's number in the search for candidates."""
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHashes of 64 x WIDE bits; a repeated passage does not move them, since sets have no repeats."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    return fingerprints(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes, WIDE)
+
+
+def _nodes(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                sets = list(shingle_sets(some.column("_text"), words))
+                nodes, prints = [digest_of(x) for x in sets], wide_prints(sets).view(np.int64)
+                number = np.frombuffer(b"".join(nodes), "<i8")[::2]
+                columns = [some.column("_id"), some.column("_key"), pa.array(nodes, pa.binary()), pa.array(number)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE))], names=["_id", "_key", "_fp", "number", "f0", "f1"]
+                )
+
+    return run
 
 
 def prefix_length(size: int, similarity: float) -> int:
@@ -262,18 +298,16 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def _with_prefix(words: int, similarity: float):
+def _prefixes(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, least = [], [np.zeros(0, np.uint64)]
-            for node, found in shingle_sets(batch.column("_text"), words):
-                nodes.append(node.tobytes())
-                least.append(found[: prefix_length(len(found), similarity)])
-            at = np.cumsum([len(x) for x in least])
-            cells = pa.array(np.concatenate(least).view(np.int64))
-            cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), cells)
-            columns = [batch.column("_id"), batch.column("_key"), pa.array(nodes, pa.binary()), cells]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "_fp", "cells"])
+            for lo in range(0, batch.num_rows, 1024):
+                sets = list(shingle_sets(batch.column("_text").slice(lo, 1024), words))
+                number = np.array([int.from_bytes(digest_of(x)[:8], "little", signed=True) for x in sets], np.int64)
+                least = [x[: prefix_length(len(x), similarity)] for x in sets]
+                at = np.cumsum([0, *(len(x) for x in least)])
+                cells = pa.array(np.concatenate(least).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.ListArray.from_arrays(pa.array(at, pa.int32()), cells)], names=["number", "cells"])
 
     return run
 
@@ -288,19 +322,44 @@ def block_pairs(members: DataFrame, key: str, by: str, blocks, *columns: str) ->
     return dealt.select(key, F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", *columns)
 
 
-def wide_links(nodes: DataFrame, radius: int, cell_limit: int = 2048) -> DataFrame:
-    """Links (a, b) between distinct nodes ``fp`` with a cell in common and ``radius`` bits apart at most.
+def within_radius(left: str, right: str, radius: int):
+    """The popcounts of 16-bit segments first (their Manhattan distance is a lower bound), then the exact distance."""
+    manhattan, exact = F.lit(0), F.lit(0)
+    for f in ("f0", "f1"):
+        a, b = F.col(f"{left}.{f}"), F.col(f"{right}.{f}")
+        for shift in range(0, 64, 16):
+            count = lambda x, shift=shift: F.bit_count(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(0xFFFF).cast("long")))
+            manhattan = manhattan + F.abs(count(a) - count(b))
+        exact = exact + F.bit_count(a.bitwiseXOR(b))
+    return (manhattan <= radius) & (exact <= radius)
+
+
+def wide_links(source: DataFrame, nodes: DataFrame, words: int, similarity: float, radius: int, cell_limit: int = 2048) -> DataFrame:
+    """Links (a, b) between distinct node numbers with a cell in common and ``radius`` bits apart at most.
 
-    ``cells`` are the shingles of the prefix, so no pair of the wanted similarity is without one.  A cell
-    of more than ``cell_limit`` nodes is cut into blocks and every pair of its blocks is compared.
+    A cell is a shingle of the prefix, so no pair of the wanted similarity is without one.  Copies in a
+    cell are combined before anything is shuffled.  Cells of two nodes are pairs at once.  Of the others
+    the members are fetched; a cell of more than ``cell_limit`` is cut into blocks and every pair of its
+    blocks is compared.
     """
-    cells = nodes.select(F.explode("cells").alias("cell"), "fp")
-    crowded = materialize(cells.groupBy("cell").count().where(F.col("count") > cell_limit), "crowded")
+    prefixes = source.select("_text").mapInArrow(_prefixes(words, similarity), "number long, cells array<long>")
+    cells = prefixes.select(F.explode("cells").alias("cell"), "number")
+    shared = cells.groupBy("cell").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.count("*").alias("n"))
+    shared = materialize(shared.where("lo != hi"), "shared")
+    prints = nodes.select("number", F.struct("f0", "f1").alias("p"))
+    pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(prints.select(F.col("number").alias(end), F.col("p").alias(f"p{end}")), end)
+    found = pairs.where(within_radius("pa", "pb", radius)).select("a", "b")
+    many = cells.join(shared.where("n > 2").select("cell"), "cell").distinct()
+    many = materialize(many.join(prints, "number").select("cell", "number", "p.f0", "p.f1"), "members")
+    crowded = materialize(many.groupBy("cell").count().where(F.col("count") > cell_limit), "crowded")
     blocks = F.coalesce(F.ceil(F.col("count") / cell_limit), F.lit(1))
-    lists = block_pairs(cells.join(crowded, "cell", "left"), "cell", "fp", blocks, "fp").groupBy("cell", "i", "j")
-    lists = lists.agg(F.collect_list("fp").alias("prints")).where(F.size("prints") > 1)
-    found = lists.select("prints").mapInArrow(_verified(radius, WIDE, NODE), "a binary, b binary")
-    return materialize(found.distinct(), "links")
+    lists = block_pairs(many.join(crowded, "cell", "left"), "cell", "number", blocks, "number", "f0", "f1").groupBy("cell", "i", "j")
+    lists = lists.agg(F.collect_list(F.array("f0", "f1", "number")).alias("prints")).where(F.size("prints") > 1)
+    lists = lists.select(F.flatten("prints").alias("prints"))
+    found = found.unionByName(lists.mapInArrow(_verified(radius, WIDE, WIDE + 1), "a long, b long"))
+    return materialize(found.where("a != b").distinct(), "links")
 
 
 def wide_radius(similarity: float) -> int:
@@ -340,8 +399,10 @@ def similar_within(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(node.tobytes(), found.tobytes()) for node, found in shingle_sets(batch.column("_text"), words)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.binary()) for k in (0, 1)], names=["node", "set"])
+            got = [(digest_of(found), found.tobytes()) for found in shingle_sets(batch.column("_text"), words)]
+            number = [int.from_bytes(x[0][:8], "little", signed=True) for x in got]
+            columns = [pa.array([x[k] for x in got], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *columns], names=["number", "node", "set"])
 
     return run
 
@@ -361,13 +422,13 @@ def _similar(similarity: float):
 
 
 def similar_links(groups: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = 512, most_bytes: int = 4 << 20) -> DataFrame:
-    """Links (a, b) between nodes of one group (node, root) that are similar by their whole shingle sets.
+    """Links (a, b) between nodes of one group (number, root) that are similar by their whole shingle sets.
 
     ``texts`` (_text) has a text of each node.  Groups of over ``most`` members or ``most_bytes``
     are cut into blocks and every pair of blocks is compared, so that no task's work grows with a group.
     """
-    sets = materialize(texts.mapInArrow(_sets(words), "node binary, set binary").dropDuplicates(["node"]), "sets")
-    members = groups.join(sets, "node")
+    sets = materialize(texts.mapInArrow(_sets(words), "number long, node binary, set binary").dropDuplicates(["node"]), "sets")
+    members = groups.join(sets, "number")
     sizes = members.groupBy("root").agg(F.count("*").alias("_c"), F.sum(F.octet_length("set")).alias("_b"))
     large = materialize(sizes.where((F.col("_c") > most) | (F.col("_b") > most_bytes)), "large")
     blocks = F.coalesce(F.greatest(F.ceil(F.col("_c") / most), F.ceil(F.col("_b") / most_bytes)), F.lit(1))
@@ -381,7 +442,7 @@ def link_similar(
 ) -> DataFrame:
     """Like ``link_near_duplicates``, for Jaccard similarity of shingle sets in place of a few differing bits.
 
-    Candidates share a cell and their 256-bit fingerprints differ by the similarity's mean and six
+    Candidates share a cell and their 128-bit fingerprints differ by the similarity's mean and six
     deviations at most (sets of few shingles stray further than the law has it).  Within what candidates
     connect, all pairs are compared by their whole shingle sets, and those of ``similarity`` or more are
     linked.  Rows (id, component_id, n_links); nulls, ties, repeated rows and empty tables as there.
@@ -391,14 +452,13 @@ def link_similar(
     bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.xxhash64(text_or_empty(text_col)).alias("_key"))
     kind = dict(source.dtypes)["_id"]
-    run, schema = _with_prefix(words, similarity), f"_id {kind}, _key long, _fp binary, cells array<long>"
-    prints = materialize(source.mapInArrow(run, schema), "prints")
-    least = [F.min("_id").alias("least"), F.min("_key").alias("key"), F.first("cells").alias("cells")]
+    prints = materialize(source.mapInArrow(_nodes(words), f"_id {kind}, _key long, _fp binary, number long, f0 long, f1 long"), "prints")
+    least = [F.min("_id").alias("least"), F.min("_key").alias("key"), *(F.first(c).alias(c) for c in ("number", "f0", "f1"))]
     distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(*least), "distinct")
-    groups = components(wide_links(distinct, radius, cell_limit))  # without the roots themselves
-    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    groups = components(wide_links(source, distinct, words, similarity, radius, cell_limit)).withColumnRenamed("node", "number")
+    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("number"), "root").distinct()), "groups")  # the roots too
     # one text of each node by its hash; where hashes collide the sets' own nodes tell the texts apart
-    wanted = groups.join(distinct, groups["node"] == distinct["fp"]).select("key").distinct()
+    wanted = groups.join(distinct, "number").select("key").distinct()
     texts = source.join(wanted, source["_key"] == wanted["key"], "left_semi").select("_text").distinct()
     links = similar_links(groups, texts, words, similarity)
     return _named(prints.select("_id", "_fp"), distinct.select("fp", "least"), links, id_col)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import PrefixHash, arrow_bytes, bound_batches, materialize, portions, row_key, text_or_empty
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, portions, row_key, text_or_empty
 
 GRAM, PORTION, SEED_CORE, SEED_BLOCK = 32, 1 << 21, 11, 12
 BLOCK_SCHEMA = "_k1 long, _k2 long, first int, n_windows int, left int, core long, block long"
@@ -301,7 +301,14 @@ def _refine(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition(n, "core").sortWithinPartitions("core").mapInArrow(_refined(length, 1 << 21), RUN_SCHEMA)
 
 
-def _applied(batches: Iterator[pa.RecordBatch], length: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+def words_in(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many words, whole or cut at an edge, each byte range has."""
+    inside = SPACED_WORD[text]
+    starts = np.concatenate(([0], np.cumsum(inside & ~np.concatenate(([False], inside[:-1])))))
+    return starts[end] - starts[begin + 1] + inside[begin]
+
+
+def _applied(batches: Iterator[pa.RecordBatch], length: int, least_words: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     extra = [f.name for f in out if f.name not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")]
     for batch in batches:
         body, offsets = arrow_bytes(batch.column("_text"))
@@ -317,6 +324,11 @@ def _applied(batches: Iterator[pa.RecordBatch], length: int, out: pa.Schema) ->
                 np.add.at(edge, hi + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
             begin, end = bool_runs(gone)
+            if least_words and len(begin):
+                enough = words_in(text, begin, end) >= least_words
+                for a, b in zip(begin[~enough].tolist(), end[~enough].tolist(), strict=True):
+                    gone[a:b] = False
+                begin, end = begin[enough], end[enough]
             kept = text[~gone].tobytes() if len(begin) else text.tobytes()
             values["n_bytes"].append(len(text))
             values["n_removed"].append(len(text) - len(kept))
@@ -329,10 +341,13 @@ def _applied(batches: Iterator[pa.RecordBatch], length: int, out: pa.Schema) ->
 
 
 def remove_repeated(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket_limit: int = 4096, keep: tuple[str, ...] = ()
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, least_words: int = 0, bucket_limit: int = 4096,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Remove the bytes that any repeated string of ``length`` bytes covers.
 
+    With ``least_words`` a stretch of such bytes that has fewer words (whole or cut at its edge) stays.
+
     Returns one row per input row: the id, the columns named in ``keep``, n_bytes, n_removed,
     n_spans, kept_sha256, kept (the remaining text; characters cut at a span's edge go) and spans
     (byte ranges).  Null texts count as empty, texts below ``length`` bytes are never changed, rows
@@ -349,5 +364,5 @@ def remove_repeated(
     schema = ", ".join(f"`{c}` {types[c]}" for c in names)
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<lo:long,hi:long>>"
     out = to_arrow_schema(_parse_datatype_string(schema))
-    done = docs.join(per_row, ["_k1", "_k2"], "left").mapInArrow(lambda it: _applied(it, length, out), schema)
+    done = docs.join(per_row, ["_k1", "_k2"], "left").mapInArrow(lambda it: _applied(it, length, least_words, out), schema)
     return done.withColumnsRenamed(dict(zip(names, (id_col, *keep), strict=True)))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -98,7 +99,7 @@ def test_similar_texts_are_linked_and_others_are_not(spark, limit):
     fresh = lambda n: [rng.choice(words) for _ in range(n)]
     rows, group = [], {}
     for g in range(30):
-        base = fresh(rng.randint(80, 400))
+        base = fresh(rng.randint(150, 400))
         for _ in range(3):
             copy = list(base)
             for _ in range(max(1, len(copy) // 150)):  # a similarity of about 0.93
@@ -134,15 +135,6 @@ def test_crowded_cells_lose_no_similar_pair(spark):
     assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
 
 
-def test_all_blocks_of_a_crowded_cell_meet(spark):
-    rng = np.random.default_rng(6)
-    nodes = rng.integers(0, 2**64, (40, simhash.NODE), dtype=np.uint64)
-    nodes[1::2, : simhash.WIDE] = nodes[::2, : simhash.WIDE] ^ np.uint64(1)
-    df = spark.createDataFrame([(x.tobytes(), [7]) for x in nodes], "fp binary, cells array<long>")
-    got = {(bytes(r.a), bytes(r.b)) for r in simhash.wide_links(df, 10, 3).collect()}
-    assert got == {tuple(sorted((nodes[k].tobytes(), nodes[k + 1].tobytes()))) for k in range(0, 40, 2)}
-
-
 @pytest.mark.parametrize("limit", [2048, 3])
 def test_similar_texts_around_the_threshold_equal_brute_force(spark, limit):
     rng = random.Random(limit)
@@ -171,6 +163,28 @@ def test_similar_texts_around_the_threshold_equal_brute_force(spark, limit):
 def test_blocks_of_a_group_are_all_compared(spark):
     words = [" ".join(f"w{i // 2}x{k}" for k in range(30)) + f" {i}" for i in range(20)]
     df = spark.createDataFrame([(w,) for w in words], "_text string")
-    nodes = [r.node for r in df.mapInArrow(simhash._sets(5), "node binary, set binary").collect()]
-    groups = spark.createDataFrame([(n, nodes[0]) for n in nodes], "node binary, root binary")
+    numbers = [r.number for r in df.mapInArrow(simhash._sets(5), "number long, node binary, set binary").collect()]
+    groups = spark.createDataFrame([(n, numbers[0]) for n in numbers], "number long, root long")
     assert simhash.similar_links(groups, df, 5, 0.8, most=3).count() == 10
+
+
+def test_shingles_of_texts_of_all_lengths_are_told_apart():
+    column = pa.array(["a b c d e f", "b c d e f", "a b c", "A  B\tc", "", None, "a b c d e"])
+    sets = [set(x.tolist()) for x in simhash.shingle_sets(column, 5)]
+    assert [len(x) for x in sets] == [2, 1, 1, 1, 0, 0, 1]
+    assert sets[1] < sets[0] and sets[6] < sets[0] and sets[2] == sets[3] and not sets[2] & sets[0]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.82, 0.85])
+def test_every_pair_at_the_threshold_is_found(spark, similarity):
+    """Pairs whose sets have just this similarity, with crowded cells forced: recall is one."""
+    rng = random.Random(round(100 * similarity))
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for i in range(60):
+        n = rng.choice([60, 300, 900])
+        base = [rng.choice(words) for _ in range(n)]
+        more = int((n - 4) / similarity) - (n - 4)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [rng.choice(words) for _ in range(more)]))]
+    got = simhash.link_similar(spark.createDataFrame(rows, "doc_id long, text string"), cell_limit=1).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
