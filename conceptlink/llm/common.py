@@ -95,25 +95,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 class PrefixHash:
     """Polynomial hashes modulo 2**64 of any substring, from one pass over the bytes.
 
-    Bytes first go through a table of random 64-bit values; ``seed`` chooses table and base.
+    Bytes first go through a table of random 64-bit values, which ``seed`` chooses.
     """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    #: Powers of the base and of its inverse, of all seeds and as far as they were needed.
+    _powers: tuple[np.ndarray, np.ndarray] | None = None
+    BASE = 0x5851F42D4C957F2D
 
     def __init__(self, body: np.ndarray, seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        table = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        base = (int(rng.integers(0, 2**64, dtype=np.uint64)) & ~7) | 5
+        table = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
         n, self.seed = len(body), np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
-        have = self._powers.get(seed)
+        have = self._powers
         if have is None or len(have[0]) < n + 1:
             size = max(n + 1, 1 << 20)
-            inverse = pow(base, -1, 2**64)
-            up, down = (np.full(size, x, np.uint64) for x in (base, inverse))
+            up, down = (np.full(size, x, np.uint64) for x in (self.BASE, pow(self.BASE, -1, 2**64)))
             up[0] = down[0] = 1
             have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-            if size <= 1 << 23:  # longer ones serve one very long text only
-                self._powers[seed] = have
+            if size <= 1 << 22:  # longer ones serve one very long text only
+                PrefixHash._powers = have
         self.down = have[1]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(table[body] * have[0][:n], out=self.sums[1:])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, portions, row_key, word_spans
 
 SEED_TERM = 21
-PORTION = 1 << 22
+PORTION = 1 << 21
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -214,9 +214,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; each step's links are written out.
     """
-    edges = links
+    edges, sums = links.select("a", "b"), None
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b")
         large = materialize(large.distinct(), "large-star")
@@ -224,17 +224,17 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("node").agg(F.min("below").alias("m"))
         small = down.join(least, "node").select(F.col("m").alias("a"), F.col("below").alias("b")).where("a < b")
         small = small.unionByName(least.select(F.col("m").alias("a"), F.col("node").alias("b"))).distinct()
-        after = materialize(small, "small-star")
-        # a forest of stars on the same edges twice over: nothing moved
-        moved = after.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(after, ["a", "b"], "left_anti").limit(1).count()
-        edges = after
-        if not moved:
+        edges = materialize(small, "small-star")
+        # two sums of hashes tell whether the edges are those of the step before: then nothing moved
+        before, sums = sums, edges.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(k), "a", "b").cast("decimal(20)")) for k in (1, 2))).first()
+        if sums == before:
             break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 #: 64-bit parts of a wide fingerprint.
-WIDE, SEED_WORD = 2, 51
+WIDE, SEED_WORD = 4, 51
+PRINTS = tuple(f"f{k}" for k in range(WIDE))
 STEPS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -287,7 +287,7 @@ def _nodes(words: int):
                 number = np.frombuffer(b"".join(nodes), "<i8")[::2]
                 columns = [some.column("_id"), some.column("_key"), pa.array(nodes, pa.binary()), pa.array(number)]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE))], names=["_id", "_key", "_fp", "number", "f0", "f1"]
+                    [*columns, *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE))], names=["_id", "_key", "_fp", "number", *PRINTS]
                 )
 
     return run
@@ -325,7 +325,7 @@ def block_pairs(members: DataFrame, key: str, by: str, blocks, *columns: str) ->
 def within_radius(left: str, right: str, radius: int):
     """The popcounts of 16-bit segments first (their Manhattan distance is a lower bound), then the exact distance."""
     manhattan, exact = F.lit(0), F.lit(0)
-    for f in ("f0", "f1"):
+    for f in PRINTS:
         a, b = F.col(f"{left}.{f}"), F.col(f"{right}.{f}")
         for shift in range(0, 64, 16):
             count = lambda x, shift=shift: F.bit_count(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(0xFFFF).cast("long")))
@@ -346,17 +346,17 @@ def wide_links(source: DataFrame, nodes: DataFrame, words: int, similarity: floa
     cells = prefixes.select(F.explode("cells").alias("cell"), "number")
     shared = cells.groupBy("cell").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.count("*").alias("n"))
     shared = materialize(shared.where("lo != hi"), "shared")
-    prints = nodes.select("number", F.struct("f0", "f1").alias("p"))
+    prints = nodes.select("number", F.struct(*PRINTS).alias("p"))
     pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("number").alias(end), F.col("p").alias(f"p{end}")), end)
     found = pairs.where(within_radius("pa", "pb", radius)).select("a", "b")
     many = cells.join(shared.where("n > 2").select("cell"), "cell").distinct()
-    many = materialize(many.join(prints, "number").select("cell", "number", "p.f0", "p.f1"), "members")
+    many = materialize(many.join(prints, "number").select("cell", "number", "p.*"), "members")
     crowded = materialize(many.groupBy("cell").count().where(F.col("count") > cell_limit), "crowded")
     blocks = F.coalesce(F.ceil(F.col("count") / cell_limit), F.lit(1))
-    lists = block_pairs(many.join(crowded, "cell", "left"), "cell", "number", blocks, "number", "f0", "f1").groupBy("cell", "i", "j")
-    lists = lists.agg(F.collect_list(F.array("f0", "f1", "number")).alias("prints")).where(F.size("prints") > 1)
+    lists = block_pairs(many.join(crowded, "cell", "left"), "cell", "number", blocks, "number", *PRINTS).groupBy("cell", "i", "j")
+    lists = lists.agg(F.collect_list(F.array(*PRINTS, "number")).alias("prints")).where(F.size("prints") > 1)
     lists = lists.select(F.flatten("prints").alias("prints"))
     found = found.unionByName(lists.mapInArrow(_verified(radius, WIDE, WIDE + 1), "a long, b long"))
     return materialize(found.where("a != b").distinct(), "links")
@@ -367,29 +367,32 @@ def wide_radius(similarity: float) -> int:
     return round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def similar_within(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Index pairs of sorted sets whose Jaccard similarity is ``similarity`` or more, which tie together all such pairs."""
+def similar_between(sets: list[np.ndarray], names: list[bytes], some: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs, one of each among ``some``, of sorted sets whose Jaccard similarity is ``similarity`` or more.
+
+    Of all such pairs those are given which tie together what the pairs connect; equal ``names`` are one set.
+    """
     sizes = np.array([len(x) for x in sets])
     n, flat, owner = len(sets), np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    if n == 2:
-        common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))], [0, 0]])
-    else:
-        values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = times > 1  # what one set alone has is in no intersection
-        place = np.cumsum(shared) - 1
-        keep = shared[column]
-        row, column = owner[keep], place[column[keep]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common, step = np.zeros((n, n), np.float32), max(256, (1 << 23) // n)
-        for lo in range(0, int(shared.sum()), step):
-            a, b = np.searchsorted(column, (lo, lo + step))
-            part = np.zeros((n, min(step, int(shared.sum()) - lo)), np.float32)
-            part[row[a:b], column[a:b] - lo] = 1
-            common += part @ part.T
-    near = np.triu(common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6, 1)
-    label, links = np.arange(n), []
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1  # what one set alone has is in no intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total, step = int(shared.sum()), max(256, (1 << 22) // n)
+    common = np.zeros((len(some), n), np.float32)
+    for lo in range(0, total, step):
+        a, b = np.searchsorted(column, (lo, lo + step))
+        part = np.zeros((n, min(step, total - lo)), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        common += part[some] @ part.T
+    near = common >= similarity * (sizes[some][:, None] + sizes[None, :] - common) - 1e-6
+    _, label = np.unique(np.array(names, object), return_inverse=True)
+    links = []
     for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        i = int(some[i])
         if label[i] != label[j]:
             links.append((i, j))
             label[label == label[j]] = label[i]
@@ -399,10 +402,13 @@ def similar_within(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(digest_of(found), found.tobytes()) for found in shingle_sets(batch.column("_text"), words)]
-            number = [int.from_bytes(x[0][:8], "little", signed=True) for x in got]
-            columns = [pa.array([x[k] for x in got], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *columns], names=["number", "node", "set"])
+            for lo in range(0, batch.num_rows, 1024):
+                sets = list(shingle_sets(batch.column("_text").slice(lo, 1024), words))
+                nodes = [digest_of(x) for x in sets]
+                number = [int.from_bytes(x[:8], "little", signed=True) for x in nodes]
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(nodes, pa.binary()), held], names=["number", "node", "set"])
 
     return run
 
@@ -410,31 +416,49 @@ def _sets(words: int):
 def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = []
-            for members in batch.column("members"):
-                members = members.as_py()
-                sets = [np.frombuffer(m["set"], np.uint64) for m in members]
-                for i, j in similar_within(sets, similarity):
-                    pairs.append(sorted((members[i]["node"], members[j]["node"])))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            for k in range(batch.num_rows):
+                members = batch.column("members")[k].values
+                names, values = members.field("node").to_pylist(), members.field("set")
+                sets = [values[i].values.to_numpy().view(np.uint64) for i in range(len(values))]
+                some = np.flatnonzero(members.field("open").to_numpy(zero_copy_only=False))
+                pairs = [sorted((names[i], names[j])) for i, j in similar_between(sets, names, some, similarity)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def similar_links(groups: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = 512, most_bytes: int = 4 << 20) -> DataFrame:
+def similar_links(
+    groups: DataFrame, candidates: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = 1024, most_bytes: int = 4 << 20
+) -> DataFrame:
     """Links (a, b) between nodes of one group (number, root) that are similar by their whole shingle sets.
 
-    ``texts`` (_text) has a text of each node.  Groups of over ``most`` members or ``most_bytes``
-    are cut into blocks and every pair of blocks is compared, so that no task's work grows with a group.
+    ``texts`` (_text) has a text of each node, ``candidates`` are the links (a, b) that made the groups.
+    First all are compared with the member that has most of these, then those that it does not link with
+    all members.  That goes by blocks of ``most`` members or ``most_bytes`` against blocks of these sizes,
+    so that no task's work grows with a group; whatever is connected by similar pairs is by these links.
     """
-    sets = materialize(texts.mapInArrow(_sets(words), "number long, node binary, set binary").dropDuplicates(["node"]), "sets")
-    members = groups.join(sets, "number")
-    sizes = members.groupBy("root").agg(F.count("*").alias("_c"), F.sum(F.octet_length("set")).alias("_b"))
-    large = materialize(sizes.where((F.col("_c") > most) | (F.col("_b") > most_bytes)), "large")
-    blocks = F.coalesce(F.greatest(F.ceil(F.col("_c") / most), F.ceil(F.col("_b") / most_bytes)), F.lit(1))
-    lists = block_pairs(members.join(large, "root", "left"), "root", "node", blocks, "node", "set").groupBy("root", "i", "j")
-    lists = lists.agg(F.collect_list(F.struct("node", "set")).alias("members")).where(F.size("members") > 1)
-    return materialize(lists.select("members").mapInArrow(_similar(similarity), "a binary, b binary").distinct(), "similar")
+    sets = materialize(texts.mapInArrow(_sets(words), "number long, node binary, set array<long>").dropDuplicates(["node"]), "sets")
+    members = materialize(groups.join(sets, "number"), "members")
+    degree = candidates.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("d"))
+    middle = groups.join(degree, "number").groupBy("root").agg(F.max_by("number", F.struct("d", "number")).alias("number"))
+    middle = members.join(middle, ["root", "number"]).groupBy("root").agg(F.min_by(F.struct("node", "set"), "node").alias("m"))
+    common = F.size(F.array_intersect("set", "m.set"))
+    near = common >= similarity * (F.size("set") + F.size("m.set") - common) - 1e-6
+    judged = members.join(middle, "root").where(F.col("node") != F.col("m.node")).select("root", "node", F.col("m.node").alias("middle"), near.alias("near"))
+    judged = materialize(judged, "judged")
+    found = judged.where("near").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
+    rest = members.join(judged.where("not near").select("node"), "node")
+    parts = lambda df, name: df.groupBy("root").agg(
+        F.ceil(F.greatest(F.count("*") / most, F.sum(F.size("set")) * 8 / most_bytes)).cast("long").alias(name)
+    )
+    sizes = materialize(parts(rest, "_i").join(parts(members, "_j"), "root"), "open")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rest.join(sizes, "root").select("root", "node", "set", F.lit(True).alias("open"), block("_i").alias("i"), each("_j").alias("j"))
+    right = members.join(sizes, "root").select("root", "node", "set", F.lit(False).alias("open"), each("_i").alias("i"), block("_j").alias("j"))
+    lists = left.unionByName(right).groupBy("root", "i", "j").agg(F.collect_list(F.struct("node", "set", "open")).alias("members"))
+    found = found.unionByName(lists.select("members").mapInArrow(_similar(similarity), "a binary, b binary"))
+    return materialize(found.distinct(), "similar")
 
 
 def link_similar(
@@ -442,25 +466,25 @@ def link_similar(
 ) -> DataFrame:
     """Like ``link_near_duplicates``, for Jaccard similarity of shingle sets in place of a few differing bits.
 
-    Candidates share a cell and their 128-bit fingerprints differ by the similarity's mean and six
+    Candidates share a cell and their 256-bit fingerprints differ by the similarity's mean and six
     deviations at most (sets of few shingles stray further than the law has it).  Within what candidates
-    connect, all pairs are compared by their whole shingle sets, and those of ``similarity`` or more are
-    linked.  Rows (id, component_id, n_links); nulls, ties, repeated rows and empty tables as there.
+    connect, whole shingle sets are compared, and those of ``similarity`` or more are linked.  Rows (id, component_id, n_links); nulls, ties, repeated rows and empty tables as there.
     """
     bits = wide_radius(similarity)
     radius = bits + round(6 * math.sqrt(bits * (1 - bits / (64 * WIDE))))
     bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.xxhash64(text_or_empty(text_col)).alias("_key"))
     kind = dict(source.dtypes)["_id"]
-    prints = materialize(source.mapInArrow(_nodes(words), f"_id {kind}, _key long, _fp binary, number long, f0 long, f1 long"), "prints")
-    least = [F.min("_id").alias("least"), F.min("_key").alias("key"), *(F.first(c).alias(c) for c in ("number", "f0", "f1"))]
+    prints = materialize(source.mapInArrow(_nodes(words), f"_id {kind}, _key long, _fp binary, number long, " + ", ".join(f"{f} long" for f in PRINTS)), "prints")
+    least = [F.min("_id").alias("least"), F.min("_key").alias("key"), *(F.first(c).alias(c) for c in ("number", *PRINTS))]
     distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(*least), "distinct")
-    groups = components(wide_links(source, distinct, words, similarity, radius, cell_limit)).withColumnRenamed("node", "number")
+    candidates = wide_links(source, distinct, words, similarity, radius, cell_limit)
+    groups = components(candidates).withColumnRenamed("node", "number")
     groups = materialize(groups.unionByName(groups.select(F.col("root").alias("number"), "root").distinct()), "groups")  # the roots too
     # one text of each node by its hash; where hashes collide the sets' own nodes tell the texts apart
     wanted = groups.join(distinct, "number").select("key").distinct()
     texts = source.join(wanted, source["_key"] == wanted["key"], "left_semi").select("_text").distinct()
-    links = similar_links(groups, texts, words, similarity)
+    links = similar_links(groups, candidates, texts, words, similarity)
     return _named(prints.select("_id", "_fp"), distinct.select("fp", "least"), links, id_col)
 
 

@@ -161,11 +161,13 @@ def test_similar_texts_around_the_threshold_equal_brute_force(spark, limit):
 
 
 def test_blocks_of_a_group_are_all_compared(spark):
+    """Ten pairs in one group: the middle links to one text, the others are found block by block."""
     words = [" ".join(f"w{i // 2}x{k}" for k in range(30)) + f" {i}" for i in range(20)]
     df = spark.createDataFrame([(w,) for w in words], "_text string")
-    numbers = [r.number for r in df.mapInArrow(simhash._sets(5), "number long, node binary, set binary").collect()]
-    groups = spark.createDataFrame([(n, numbers[0]) for n in numbers], "number long, root long")
-    assert simhash.similar_links(groups, df, 5, 0.8, most=3).count() == 10
+    numbers = [r.number for r in df.mapInArrow(simhash._sets(5), "number long, node binary, set array<long>").collect()]
+    groups = spark.createDataFrame([(n, min(numbers)) for n in numbers], "number long, root long")
+    chain = spark.createDataFrame([(min(numbers), n) for n in numbers if n != min(numbers)], "a long, b long")
+    assert simhash.similar_links(groups, chain, df, 5, 0.8, most=3).count() == 10
 
 
 def test_shingles_of_texts_of_all_lengths_are_told_apart():
