@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import string
 import zlib
 from array import array
@@ -167,14 +168,15 @@ class Encoder:
 
     The byte-level pattern of the vocabulary always cuts before a space that a visible character
     follows, and between a letter and the marks at the end of such a stretch; so these pieces can be
-    encoded alone.
+    encoded alone.  A text with one of the vocabulary's added tokens goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         self.known = Remembered(self.tokenizer.encode)
 
     def pieces(self, text: str) -> list[str]:
@@ -194,6 +196,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if self.added.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 

@@ -12,7 +12,6 @@ from conceptlink.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 ENCODER = packing.Encoder(PATH)
 
 
@@ -26,10 +25,11 @@ def test_pieces_encode_as_the_whole_text(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
 
 
-def test_special_strings_are_text_and_generations_turn(monkeypatch):
+def test_special_tokens_keep_their_ids_and_generations_turn(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     encoder = packing.Encoder(PATH)
-    for text in ("<|endoftext|> it's  they're ", "a b c d e f g a b c", "x" * 5000, " lead", "'s 'll don't."):
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    for text in ("a <|endoftext|> b", "a<|endoftext|>b  <|endoftext|>", "<|endoftext|> it's  they're ", "a b c d e f g a b c", "x" * 5000, " lead", "'s 'll don't."):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(text)
         assert len(encoder.known) <= 3 and len(encoder.known.older) <= 3
 
