@@ -14,6 +14,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 # HTML's element groups.
@@ -48,7 +50,6 @@ BOILERPLATE = frozenset(
 )
 CONTENT = frozenset("article articlebody blog body content entry main page post prose read reader story text".split())
 REMARKS = frozenset("comment comments discussion reply replies respond disqus responses reviews".split())
-MOST_DEPTH = 200
 
 
 class Tree:
@@ -57,19 +58,23 @@ class Tree:
     def __init__(self, page: str) -> None:
         self.tag, self.parent, self.words, self.depth = ["#page"], [-1], [()], [0]
         self.texts: list[tuple[int, str, bool]] = []  # element, text, whether a block begins before it
+        self.open: Counter[str] = Counter()  # elements of each name on the stack
         stack, fresh, at, n = [0], True, 0, len(page)
         while at < n:
-            found = TOKEN.search(page, at)
+            found = MARKUP.search(page, at)
             upto = found.start() if found else n
             if upto > at:
                 self.texts.append((stack[-1], html.unescape(page[at:upto]), fresh))
                 fresh = False
             if not found:
                 break
-            at = found.end()
             name = found[2]
             if name is None:
+                end = page.find("-->" if found[0] == "<!--" else ">", found.end())
+                at = n if end < 0 else end + (3 if found[0] == "<!--" else 1)
                 continue
+            at = tag_end(page, found.end())
+            attributes = page[found.end() : at - 1]
             name = name.lower()
             if found[1]:
                 fresh |= name in BLOCK
@@ -82,27 +87,33 @@ class Tree:
                 continue
             if name in VOID:
                 continue
-            if name in RAW or name == "head":
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if name != "head" else None
-                if name != "head":
-                    # a raw element without an end runs to the end of the page, as in browsers
-                    at = end.end() if end else n
-                    continue
-            if name in CLOSES_P and "p" in (self.tag[k] for k in stack[-8:]):
+            if name in RAW:
+                # a raw element without an end runs to the end of the page, as in browsers
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+                continue
+            if name in CLOSES_P:
                 self._close(stack, "p")
             if name in SELF_CLOSING:
                 self._imply(stack, name)
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.depth.append(self.depth[stack[-1]] + 1)
-            self.words.append(_attribute_words(found[3]) if found[3] else ())
-            if not found[3].endswith("/") and len(stack) < MOST_DEPTH:
+            self.words.append(_attribute_words(attributes) if attributes else ())
+            if not attributes.endswith("/"):
                 stack.append(len(self.tag) - 1)
+                self.open[name] += 1
+
+    def _cut(self, stack: list[int], k: int) -> None:
+        self.open.subtract(self.tag[i] for i in stack[k:])
+        del stack[k:]
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == name:
-                del stack[k:]
+                self._cut(stack, k)
                 return
             if name not in BLOCK and self.tag[stack[k]] in BLOCK:
                 return
@@ -110,14 +121,30 @@ class Tree:
                 return
 
     def _imply(self, stack: list[int], name: str) -> None:
+        if not any(self.open[x] for x in SELF_CLOSING[name]):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] in SELF_CLOSING[name]:
-                del stack[k:]
+                self._cut(stack, k)
                 return
             if self.tag[stack[k]] in SCOPE[name]:
                 return
 
 
+def tag_end(page: str, at: int) -> int:
+    """One past the ``>`` that ends a tag and stands in no quoted value; past the next one where a quote is left open."""
+    k, first = at, -1
+    while (found := QUOTE_OR_END.search(page, k)) is not None:
+        if found[0] == ">":
+            return found.end()
+        if first < 0 and (first := page.find(">", at)) < 0:
+            break
+        k = page.find(found[0], found.end()) + 1
+        if not k:
+            return first + 1
+    return len(page)  # a tag that does not end takes the rest, as in browsers
+
+
 def _attribute_words(raw: str) -> tuple[str, ...]:
     out = []
     for m in ATTRIBUTE.finditer(raw):
@@ -252,14 +279,17 @@ def decode(tree: Tree, logits: np.ndarray) -> np.ndarray:
     """The best consistent states of all elements.
 
     Kept scores log P(main), dropped log P(not), weighted by the text that stands directly in the
-    element; undecided elements score nothing and their own text is dropped at a price.
+    element; in undecided elements their own text is dropped at a price.  An element that only wraps
+    one other is undecided for nothing, so that no depth of wrappers speaks against what is in them.
     """
     n = len(tree.tag)
     weight = np.full(n, 0.3)
     for node, value, _ in tree.texts:
         weight[node] += min(3.0, len(value.strip()) / 20)
+    wraps = (np.bincount(np.array(tree.parent[1:], np.int64), minlength=n) == 1) & (weight == 0.3)
     main, other = -np.logaddexp(0, -logits), -np.logaddexp(0, logits)
-    score = np.stack([np.minimum(-0.4 * weight, other * weight * 0.5 - 0.2), main * weight, other * weight], axis=1)
+    price = np.where(wraps, 0.0, np.minimum(-0.4 * weight, other * weight * 0.5 - 0.2))
+    score = np.stack([price, main * weight, other * weight], axis=1)
     choice = np.zeros((n, 3), np.int8)
     for k in range(n - 1, 0, -1):
         p = tree.parent[k]
@@ -412,7 +442,6 @@ def trained(pages: int = 700, seed: int = 9) -> BoostedTrees:
     for _ in range(pages):
         page, truth = compose_page(rng)
         tree = Tree(page)
-        wanted = {w for t in truth for w in (t, *t.split())}
         good, text = np.zeros(len(tree.tag)), np.zeros(len(tree.tag))
         spans = _truth_sizes(tree, truth)
         for node, size, kept in spans:
@@ -426,7 +455,6 @@ def trained(pages: int = 700, seed: int = 9) -> BoostedTrees:
         xs.append(features(tree)[have])
         ys.append(good[have] / text[have] > 0.5)
         ws.append(0.3 + np.minimum(1.5, own[have] / 40))
-        del wanted
     return BoostedTrees(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
 
 

@@ -148,6 +148,9 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: What one page may declare.
+MOST_PAGE_BYTES = 1 << 28
+
 ENCODERS = {NONE: lambda b: b, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda b: zlib.compress(b, 1)}
 
 
@@ -172,6 +175,8 @@ def walk(data: bytes) -> Iterator[dict[int, tuple[int, ...]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             if kind not in TYPES or TYPES[kind] == "c":
                 continue
+            if count * struct.calcsize(TYPES[kind]) > len(data):
+                raise ValueError("an entry has more values than the file has bytes")
             form = f"{order}{count}{TYPES[kind]}"
             inline = at + 10 + 12 * k
             place = inline if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", data, inline)[0]
@@ -180,8 +185,11 @@ def walk(data: bytes) -> Iterator[dict[int, tuple[int, ...]]]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def decode_pages(data: bytes) -> Iterator[Page]:
-    """Every page with its samples as they were before prediction and compression."""
+def decode_pages(data: bytes, most_bytes: int = MOST_PAGE_BYTES) -> Iterator[Page]:
+    """Every page with its samples as they were before prediction and compression.
+
+    A page whose directory is not sound, or that declares more than ``most_bytes``, raises ValueError.
+    """
     for index, tags in enumerate(walk(data)):
         one = lambda tag, default=None, tags=tags: tags.get(tag, (default,))[0]
         width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
@@ -191,11 +199,20 @@ def decode_pages(data: bytes) -> Iterator[Page]:
         if compression not in DECODERS or predictor not in (1, 2):
             raise ValueError(f"compression {compression} with predictor {predictor} is not read")
         tiled = TILE_AT in tags
+        missing = {WIDTH, HEIGHT} | ({TILE_WIDTH, TILE_HEIGHT, TILE_BYTES} if tiled else {STRIP_AT, STRIP_BYTES})
+        if absent := sorted(missing - {k for k, v in tags.items() if v}):
+            raise ValueError(f"a directory without entries {absent}")
         across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_A_STRIP, height), height))
         starts, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
-        pixels = np.zeros((height, width, samples), np.uint8)
+        if not all(isinstance(x, int) and x > 0 for x in (width, height, samples, across, down)):
+            raise ValueError("a page of no size")
+        if max(width * height, across * down) * samples > most_bytes:
+            raise ValueError(f"a page of over {most_bytes} bytes")
         columns = -(-width // across)
-        for k, (at, size) in enumerate(zip(starts, sizes, strict=True)):
+        if len(starts) != len(sizes) or len(starts) < columns * -(-height // down):
+            raise ValueError("strips or tiles are missing")
+        pixels = np.zeros((height, width, samples), np.uint8)
+        for k, (at, size) in enumerate(zip(starts[: columns * -(-height // down)], sizes, strict=False)):
             top, left = k // columns * down, k % columns * across
             rows = down if tiled else min(down, height - top)
             raw = DECODERS[compression](data[at : at + size], rows * across * samples)
@@ -277,11 +294,11 @@ def page_features(page: np.ndarray) -> tuple[float, float, str]:
 PAGE_SCHEMA = "page long, width long, height long, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
 
-def decode_tiff(df: DataFrame, id_col: str = "id", bytes_col: str = "media") -> DataFrame:
+def decode_tiff(df: DataFrame, id_col: str = "id", bytes_col: str = "media", most_bytes: int = MOST_PAGE_BYTES) -> DataFrame:
     """One row per page of each file: the id, page number, size, how it was stored and its samples.
 
-    A null, empty or broken file gives one row with page -1, its other columns null, and ``error``;
-    pages before the broken one are kept.  Repeated rows are decoded each, an empty table stays empty.
+    A null, empty or broken file gives one row with page -1, its other columns null, and ``error``, and so
+    does one with a page that declares over ``most_bytes``; pages before the broken one are kept.  Repeated rows are decoded each, an empty table stays empty.
     """
     source = df.select(F.col(id_col).alias("_id"), F.col(bytes_col).alias("_bytes"))
 
@@ -290,12 +307,12 @@ def decode_tiff(df: DataFrame, id_col: str = "id", bytes_col: str = "media") ->
             for k in range(batch.num_rows):
                 rows = []
                 try:
-                    for p in decode_pages(batch.column("_bytes")[k].as_py() or b""):
+                    for p in decode_pages(batch.column("_bytes")[k].as_py() or b"", most_bytes):
                         rows.append((p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None))
-                except (ValueError, KeyError, struct.error, zlib.error) as broken:
+                except (ValueError, KeyError, TypeError, IndexError, OverflowError, struct.error, zlib.error) as broken:
                     rows.append((-1, *[None] * 7, str(broken)))
                 if not rows:
-                    continue
+                    rows.append((-1, *[None] * 7, "no image directory"))
                 types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.binary(), pa.string()]
                 ids = batch.column("_id").take(pa.array([k] * len(rows)))
                 yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,6 @@
 """Sharding, media, URL rules, HTML: round trips and brute force."""
 
+import time
 import hashlib
 import html
 import random
@@ -88,6 +89,34 @@ def test_pages_round_trip(compression, tile, order, predictor):
     assert all(p.tiled == bool(tile) and p.predictor == predictor for p in got)
 
 
+@pytest.mark.parametrize("tile", [0, 16])
+@pytest.mark.parametrize("compression", [media_tiff.PACKBITS, media_tiff.LZW, media_tiff.DEFLATE])
+def test_texts_come_back_from_every_way_of_storing(compression, tile):
+    for text in ("", "one", "a long text with ünïcode. " * 400):
+        payload = media_tiff.payload_of(text.encode())
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, 24, 1)
+        media = media_tiff.encode_pages([pixels[k : k + 96] for k in range(0, len(pixels), 96)], compression, 2, 20, tile)
+        assert b"".join(p.pixels.tobytes() for p in media_tiff.decode_pages(media)) == payload
+
+
+def test_no_broken_file_fails_a_task(spark):
+    """Every byte of a directory changed to extremes, files cut short, and headers that lie about sizes."""
+    rng = np.random.default_rng(4)
+    good = media_tiff.encode_pages([np.arange(60, dtype=np.uint8).reshape(5, 4, 3)], media_tiff.LZW, 2, 2)
+    files = [good[:k] for k in range(0, len(good), 7)]
+    for at in range(4, len(good)):
+        files += [good[:at] + bytes([value]) + good[at + 1 :] for value in (0, 1, 127, 255)]
+    for _ in range(300):
+        data = bytearray(good)
+        for at in rng.integers(0, len(data), 4):
+            data[at] = rng.integers(0, 256)
+        files.append(bytes(data))
+    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "id long, media binary").repartition(4)
+    got = media_tiff.decode_tiff(df, most_bytes=1 << 24).collect()
+    assert {r.id for r in got} == set(range(len(files)))
+    assert all((r.page == -1) == (r.error is not None) and len(r.pixels or b"") <= 1 << 24 for r in got)
+
+
 def test_tiff_rows(spark):
     good = media_tiff.encode_pages([np.zeros((2, 3, 1), np.uint8)] * 2)
     rows = [(1, good), (2, None), (3, b""), (4, b"II*\0\xff\xff\xff\x7f"), (5, good[:-40]), (1, good)]
@@ -218,3 +247,37 @@ def test_nothing_below_a_dropped_element_is_kept():
             above = state[tree.parent[k]]
             assert not (above == html_extract.DROPPED and state[k] != html_extract.DROPPED)
             assert not (above == html_extract.KEPT and state[k] == html_extract.UNDECIDED)
+
+
+ARTICLE = "<article><h1>The title</h1>" + "".join(f"<p>Sentence {i} of the article, with some words. And one more.</p>" for i in range(8)) + "</article>"
+WANTED = "The title\n" + "\n".join(f"Sentence {i} of the article, with some words. And one more." for i in range(8))
+
+
+@pytest.mark.parametrize("depth", [3, 260, 1000])
+def test_an_article_below_many_elements_comes_whole(depth):
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{'<div>' * depth}{ARTICLE}{'</div>' * depth}<footer>All rights.</footer></body></html>"
+    assert html_extract.extract_batch([page], html_extract.trained()) == [WANTED]
+
+
+def test_pages_written_by_hand():
+    """Pages that the training pages' generator did not make, with the text that a reader would call the article."""
+    pages = [
+        "<html><body><header><a href=/>Site</a></header><main><h1>On formulas</h1><p>The formula <math><mi>E</mi>=<mn>mc2</mn></math> shows energy, as everyone knows.</p>"
+        "<p>A second paragraph &amp; more text follows here, so that there is an article.</p></main><aside class='related'><a href=x>Read more</a></aside></body></html>",
+        "<body><div class='cookie-notice'>We use cookies. <button>OK</button></div><div class='post-content'><p>First part of the story, told at length."
+        "<p>Second   part\nof the story, told at length.<ul><li>An item of a list.<li>Another item of it.</ul></div><div id='comments'><p>Nice story, thanks!</p></div></body>",
+    ]
+    want = [
+        "On formulas\nThe formula E=mc2 shows energy, as everyone knows.\nA second paragraph & more text follows here, so that there is an article.",
+        "First part of the story, told at length.\nSecond part of the story, told at length.\nAn item of a list.\nAnother item of it.",
+    ]
+    assert html_extract.extract_batch(pages, html_extract.trained()) == want
+
+
+def test_broken_markup_takes_time_in_proportion():
+    for page in ('<a "' * 250_000, "<x>" * 100_000 + "</y>" * 100_000, "<li><div>" * 50_000, "<a \"'>" * 100_000, "<!--" * 100_000):
+        begin = time.perf_counter()
+        html_extract.Tree(page)
+        assert time.perf_counter() - begin < 2
+    tree = html_extract.Tree("<p class='x>Hello</p> world <b title=\"a>b\">!</b>")
+    assert "".join(t for _, t, _ in tree.texts) == "Hello world !"
