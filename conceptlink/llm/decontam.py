@@ -1,13 +1,13 @@
-"""Benchmark decontamination with a positional inverted index.
-
-The index is distributed by documents: each task indexes the tokens of its own documents, a portion
-at a time, as postings (term -> sorted token positions).  Terms that no benchmark item has can match
-nothing and get no postings.  A phrase is answered from the postings alone: its terms are taken from
-the rarest on, their lists are shifted by the term's place in the phrase and intersected; what is
-left are the starts of exact matches.  Proximity queries intersect the same lists with a tolerance.
-Since documents never meet each other there is no shuffle.  The benchmark travels to the tasks as one
-broadcast value if it is at most ``broadcast_bytes`` long; a longer one is applied in blocks of items
-of that size, one after the other, and the hits of the blocks are merged per document.
+"""Benchmark decontamination with a stored positional inverted index.
+
+The index is a table of segments, each the postings of the tokens of a few megabytes of whole documents:
+every term (its 64-bit hash) with the sorted positions of its tokens.  It is partitioned by documents, so
+a frequent term is split over all segments and building it needs no shuffle.  It is written to the shared
+folder once and can be asked again and again.  A phrase is answered from the postings alone: its terms are
+taken from the rarest on, their lists are shifted by the term's place in the phrase and intersected; what
+is left are the starts of exact matches.  Proximity queries intersect the same lists with a tolerance.
+The benchmark travels to the tasks as one broadcast value if it is at most ``broadcast_bytes`` long; a
+longer one is asked in blocks of items of that size, one after the other, and the hits are merged.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, portions, row_key, word_spans
+from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, word_spans
 
 SEED_TERM = 21
-PORTION = 1 << 21
+PORTION = 1 << 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,6 +35,11 @@ def words_of(text: str | None) -> list[bytes]:
     return [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
+def term_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words; their lengths are part of them."""
+    return mix(PrefixHash(body, SEED_TERM).of(start, end) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Phrases:
     """The test side: distinct windows of term numbers and the items that have them."""
 
@@ -46,37 +53,33 @@ class Phrases:
                 windows.setdefault(tuple(ids[i : i + width]), set()).add(k)
         self.windows = list(windows)
         self.owners = [sorted(x) for x in windows.values()]
-        self.terms = list(terms)
-        body = np.frombuffer(b"".join(self.terms), np.uint8)
-        at = np.concatenate(([0], np.cumsum([len(t) for t in self.terms]))).astype(np.int64)
-        hashes = PrefixHash(body, SEED_TERM).of(at[:-1], at[1:]) if self.terms else np.zeros(0, np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-
-    def numbers(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The term number of each token by 64-bit hash and length, -1 for terms that no item has."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        found = self.order[at]
-        sizes = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
-        return np.where((self.hashes[at] == hashes) & (sizes[found] == end - start), found, -1)
+        at = np.concatenate(([0], np.cumsum([len(t) for t in terms]))).astype(np.int64)
+        body = np.frombuffer(b"".join(terms), np.uint8)
+        self.hashes = term_hashes(body, at[:-1], at[1:]) if terms else np.zeros(0, np.uint64)
+        #: Term numbers of each window, shorter ones filled up with their first term.
+        self.table = np.array([w + w[:1] * (width - len(w)) for w in self.windows], np.int64).reshape(len(windows), width)
+
+    def present(self, index: PositionalIndex) -> list[int]:
+        """Windows all of whose terms occur in the index."""
+        return np.flatnonzero((index.sizes[self.table] > 0).all(axis=1)).tolist() if len(self.windows) else []
 
 
 class PositionalIndex:
-    """Postings of one portion: for each term the sorted positions of its tokens.
+    """Postings of one segment: for each of the asked terms the sorted positions of its tokens.
 
-    Positions run on through the portion; ``bounds`` are the first positions of the documents.
+    Positions run on through the segment; ``bounds`` are the first positions of the documents.
     """
 
-    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, n_terms: int) -> None:
-        known = np.flatnonzero(tokens >= 0)
-        self.places = known[np.argsort(tokens[known], kind="stable")]
-        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(tokens[known], minlength=n_terms))))
-        self.bounds = bounds
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, places: np.ndarray, bounds: np.ndarray, asked: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(terms, asked), max(0, len(terms) - 1))
+        found = terms[at] == asked if len(terms) else np.zeros(len(asked), bool)
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        self.first = cuts[at] if len(terms) else np.zeros(len(asked), np.int64)
+        self.sizes = np.where(found, counts[at], 0) if len(terms) else np.zeros(len(asked), np.int64)
+        self.places, self.bounds = places, bounds
 
     def postings(self, term: int) -> np.ndarray:
-        return self.places[self.cuts[term] : self.cuts[term + 1]]
+        return self.places[self.first[term] : self.first[term] + self.sizes[term]]
 
     def _within(self, starts: np.ndarray, length: int) -> np.ndarray:
         starts = starts[starts >= 0]
@@ -85,7 +88,7 @@ class PositionalIndex:
 
     def phrase(self, terms: tuple[int, ...]) -> np.ndarray:
         """Positions at which the terms stand one after the other in one document."""
-        sizes = [self.cuts[t + 1] - self.cuts[t] for t in terms]
+        sizes = [int(self.sizes[t]) for t in terms]
         if not min(sizes):
             return np.zeros(0, np.int64)
         order = sorted(range(len(terms)), key=sizes.__getitem__)
@@ -104,7 +107,7 @@ class PositionalIndex:
 
         A match is a stretch of ``span`` tokens that holds every term at least once.
         """
-        distinct = sorted(set(terms), key=lambda t: self.cuts[t + 1] - self.cuts[t])
+        distinct = sorted(set(terms), key=lambda t: int(self.sizes[t]))
         rarest = self.postings(distinct[0])
         found = np.zeros(len(rarest), bool)
         doc = np.searchsorted(self.bounds, rarest, "right")
@@ -120,29 +123,81 @@ class PositionalIndex:
         return rarest[found]
 
 
-def index_portion(body: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[PositionalIndex, np.ndarray]:
-    """The index of these documents and the numbers of their words."""
-    start, end, row = word_spans(body, offsets, ALNUM_WORD)
-    counts = np.bincount(row, minlength=len(offsets) - 1)
-    bounds = np.concatenate(([0], np.cumsum(counts)))
-    tokens = phrases.numbers(PrefixHash(body, SEED_TERM).of(start, end), start, end)
-    return PositionalIndex(tokens, bounds, len(phrases.terms)), counts
+def postings_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct terms, how often each occurs, and the positions term by term."""
+    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
+    # sorted by the hash's first bits and the position; runs of one hash are the terms
+    places = (np.sort(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    terms = hashes[places]
+    if (terms[1:] < terms[:-1]).any():  # two terms agree in those bits
+        places = np.argsort(hashes, kind="stable")
+        terms = hashes[places]
+    cut = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else np.zeros(0, np.int64)
+    return terms[cut], np.diff(np.append(cut, len(terms))), places
 
 
-def _matched(phrases_of, near: int | None, kept: list[str]):
+def _indexed(columns: list[str]):
+    """Segments: the rows' ``columns`` as lists, words by document, and the postings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = phrases_of()
+        task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             body, offsets = arrow_bytes(batch.column("_text"))
             body = lowered(body)
-            columns = {"n_words": [], "items": [], "spans": [], "near_items": []}
             for lo, hi in portions(offsets, PORTION):
                 at = offsets[lo : hi + 1]
-                index, counts = index_portion(body[at[0] : at[-1]], at - at[0], phrases)
-                items: list[set[int]] = [set() for _ in range(hi - lo)]
-                close: list[set[int]] = [set() for _ in range(hi - lo)]
+                start, end, row = word_spans(body[at[0] : at[-1]], at - at[0], ALNUM_WORD)
+                counts = np.bincount(row, minlength=hi - lo)
+                terms, often, places = postings_of(term_hashes(body[at[0] : at[-1]], start, end))
+                # positions as distances within a term
+                gaps = np.diff(places, prepend=0)
+                first = np.cumsum(often) - often
+                gaps[first] = places[first]
+                whole = lambda c, lo=lo, n=hi - lo: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c.slice(lo, n))
+                values = [counts.astype("<i4").tobytes(), terms.tobytes(), packed(often), packed(gaps)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task << 32 | number], pa.int64()), *(whole(batch.column(c)) for c in columns), *(pa.array([v], pa.binary()) for v in values)],
+                    names=["segment", *columns, "words", "terms", "counts", "gaps"],
+                )
+                number += 1
+
+    return run
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2**31, compressed, all low bytes first, then the higher ones."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
+def read_segment(row: dict, asked: np.ndarray) -> PositionalIndex:
+    often = unpacked(row["counts"])
+    gaps = unpacked(row["gaps"])
+    total, first = np.cumsum(gaps), np.cumsum(often) - often
+    places = total - np.repeat(total[first] - gaps[first], often) if len(gaps) else gaps
+    bounds = np.concatenate(([0], np.cumsum(np.frombuffer(row["words"], "<i4"), dtype=np.int64)))
+    return PositionalIndex(np.frombuffer(row["terms"], np.uint64), often, places, bounds, asked)
+
+
+def _matched(phrases_of, near: int | None, kept: list[str]):
+    """One row per document of each segment: its place there, ``kept`` columns, and what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases: Phrases = phrases_of()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in ("segment", "words", "terms", "counts", "gaps")}
+                index = read_segment(row, phrases.hashes)
+                n = len(index.bounds) - 1
+                items: list[set[int]] = [set() for _ in range(n)]
+                close: list[set[int]] = [set() for _ in range(n)]
                 edge = np.zeros(int(index.bounds[-1]) + 1, np.int64)
-                for terms, owners in zip(phrases.windows, phrases.owners, strict=True):
+                for w in phrases.present(index):
+                    terms, owners = phrases.windows[w], phrases.owners[w]
                     starts = index.phrase(terms)
                     if len(starts):
                         np.add.at(edge, starts, 1)
@@ -153,27 +208,55 @@ def _matched(phrases_of, near: int | None, kept: list[str]):
                         for d in np.unique(np.searchsorted(index.bounds, index.proximity(terms, near), "right") - 1):
                             close[d].update(owners)
                 hit = np.cumsum(edge[:-1]) > 0
-                for d in range(hi - lo):
-                    mine = hit[index.bounds[d] : index.bounds[d + 1]]
-                    step = np.diff(np.concatenate(([0], mine.astype(np.int8), [0])))
-                    columns["n_words"].append(int(counts[d]))
-                    columns["spans"].append(
-                        [{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
-                    )
-                    columns["items"].append(sorted({phrases.items[k] for k in items[d]}))
-                    columns["near_items"].append(sorted({phrases.items[k] for k in close[d]}))
-            span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-            names = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept)]
-                + [pa.array(columns["n_words"], pa.int64()), pa.array(columns["spans"], span)]
-                + [pa.array(columns["items"], names), pa.array(columns["near_items"], names)],
-                names=[*kept, "n_words", "spans", "items", "near_items"],
-            )
+                step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+                spans: list[list[dict]] = [[] for _ in range(n)]
+                for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
+                    d = int(np.searchsorted(index.bounds, a, "right")) - 1
+                    while a < b:  # a run of hits may go on in the next document
+                        upto = min(b, int(index.bounds[d + 1]))
+                        if a < upto:
+                            spans[d].append({"lo": a - int(index.bounds[d]), "hi": upto - int(index.bounds[d])})
+                        a, d = upto, d + 1
+                names = lambda found: pa.array([sorted({phrases.items[i] for i in x}) for x in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()), *(batch.column(c)[k].values for c in kept)]
+                    + [pa.array(np.diff(index.bounds)), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]
+                    + [names(items), names(close)],
+                    names=["segment", "doc", *kept, "n_words", "spans", "items", "near_items"],
+                )
 
     return run
 
 
+def build_index(docs: DataFrame, text_col: str, stored: dict[str, str]) -> DataFrame:
+    """Writes and returns the segments of an index over ``text_col``.
+
+    ``stored`` names the columns that a segment carries for its documents (new name: column); a null text has no words.
+    """
+    bound_batches(docs.sparkSession)
+    names = list(stored)
+    extra = [] if "_text" in names else [F.col(text_col).cast("string").alias("_text")]
+    base = docs.select(*(F.col(c).alias(n) for n, c in stored.items()), *extra)
+    types = dict(base.dtypes)
+    schema = "segment long, " + "".join(f"`{c}` array<{types[c]}>, " for c in names) + "words binary, terms binary, counts binary, gaps binary"
+    return materialize(base.mapInArrow(_indexed(names), schema), "postings")
+
+
+def search_index(index: DataFrame, block: list[tuple[str, str]], kept: list[str], width: int, near: int | None = None) -> DataFrame:
+    """One row per indexed document: segment, doc (its place there), ``kept`` columns, n_words, spans, items and near_items."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
+    cached: list[Phrases] = []
+
+    def phrases_of() -> Phrases:
+        if not cached:
+            cached.append(Phrases(shared.value, width))
+        return cached[0]
+
+    types = {f.name: f.dataType.elementType.simpleString() for f in index.schema if f.name in kept}
+    schema = "segment long, doc int, " + "".join(f"`{c}` {types[c]}, " for c in kept) + HIT_SCHEMA
+    return index.mapInArrow(_matched(phrases_of, near, kept), schema)
+
+
 HIT_SCHEMA = "n_words long, spans array<struct<lo:int,hi:int>>, items array<string>, near_items array<string>"
 
 
@@ -197,32 +280,22 @@ def find_contamination(
     words is one window; one without words has none.  Null texts have no words; null item ids count
     as the empty name; repeated rows are judged alike; an empty benchmark hits nothing.
     """
-    bound_batches(docs.sparkSession)
-    # the text goes to the workers once, also where it is kept
+    # a kept text is the one that is indexed
     named = {f"_c{i}": c for i, c in enumerate((id_col, *(c for c in keep if c != text_col)))}
-    carried = [F.col(c).alias(n) for n, c in named.items()]
-    base = docs.select(*row_key(id_col, text_col), *carried, F.col(text_col).cast("string").alias("_text"))
     named |= {"_text": text_col} if text_col in keep else {}
     names = list(named)
     test = items.select(F.col(item_id_col).cast("string").alias("name"), F.col(item_text_col).cast("string").alias("text"))
-    blocks = item_blocks(test, broadcast_bytes)
+    index = build_index(docs, text_col, named)
     merged = None
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        cached: list[Phrases] = []
-
-        def phrases_of(shared=shared, cached=cached) -> Phrases:
-            if not cached:
-                cached.append(Phrases(shared.value, width))
-            return cached[0]
-
-        types = dict(base.dtypes)
-        columns = [c for c in base.columns if c != "_text" or c in names]
-        schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", " + HIT_SCHEMA
-        part = base.mapInArrow(_matched(phrases_of, near, columns), schema)
-        merged = part if merged is None else merged.unionByName(part)
-    if len(blocks) > 1:
-        merged = _merged_blocks(merged, names, len(blocks))
+    for block, last in item_blocks(test, broadcast_bytes):
+        if last and merged is None:
+            merged = search_index(index, block, names, width, near)
+            break
+        found = search_index(index, block, [], width, near).where("size(items) > 0 or size(near_items) > 0")
+        found = materialize(found, "hits")
+        merged = found if merged is None else merged.unionByName(found)
+        if last:
+            merged = _merged_blocks(search_index(index, [], names, width).drop("spans", "items", "near_items"), merged)
     spans = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
     done = merged.select(
         *names, "n_words", "spans", "items", "near_items", spans.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -231,24 +304,22 @@ def find_contamination(
     return done.withColumn("contaminated", F.col("n_hit") > 0).withColumnsRenamed(named)
 
 
-def item_blocks(test: DataFrame, most: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of about ``most`` bytes; one block at a time is on the driver."""
+def item_blocks(test: DataFrame, most: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The items in blocks of about ``most`` bytes, and whether it is the last; one at a time is on the driver."""
     size = test.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.count("*")).first()
     n = max(1, -(-int(size[0] or 0) // most))
-    if n == 1:
-        return [[(r.name, r.text) for r in test.collect()]]
     number = F.pmod(F.xxhash64("name", "text"), F.lit(n))
-    return [[(r.name, r.text) for r in test.where(number == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.name, r.text) for r in (test if n == 1 else test.where(number == k)).collect()], k == n - 1
 
 
-def _merged_blocks(parts: DataFrame, names: list[str], n_blocks: int) -> DataFrame:
-    """One row per document from one per document and block of items; repeated rows stay repeated."""
-    together = materialize(parts, "hits").groupBy("_k1", "_k2").agg(
-        *(F.first(c).alias(c) for c in names), F.first("n_words").alias("n_words"), F.count("*").alias("_n"),
+def _merged_blocks(documents: DataFrame, hits: DataFrame) -> DataFrame:
+    """The documents with what all blocks of items found in them."""
+    together = hits.groupBy("segment", "doc").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("_all"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-    )
+    )
     last = lambda acc: F.element_at(acc, -1)
     joined = F.aggregate(
         "_all",
@@ -261,6 +332,7 @@ def _merged_blocks(parts: DataFrame, names: list[str], n_blocks: int) -> DataFra
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    copies = F.sequence(F.lit(1), (F.col("_n") / n_blocks).cast("int"))
-    return together.select(*names, "n_words", joined.alias("spans"), "items", "near_items", F.explode(copies).alias("_copy"))
-
+    found = together.select("segment", "doc", joined.alias("spans"), "items", "near_items")
+    empty = {"spans": "array<struct<lo:int,hi:int>>", "items": "array<string>", "near_items": "array<string>"}
+    done = documents.join(found, ["segment", "doc"], "left")
+    return done.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in empty.items()})

@@ -80,5 +80,24 @@ def test_proximity(spark):
 
 
 def test_phrases_stay_inside_documents():
-    index = decontam.PositionalIndex(np.array([0, 1, 0, 1, 1]), np.array([0, 1, 1, 3, 5]), 2)
+    hashes = np.array([7, 2**63, 7, 2**63, 2**63], np.uint64)
+    terms, often, places = decontam.postings_of(hashes)
+    assert terms.tolist() == [7, 2**63] and often.tolist() == [2, 3] and places.tolist() == [0, 2, 1, 3, 4]
+    index = decontam.PositionalIndex(terms, often, places, np.array([0, 1, 1, 3, 5]), np.array([7, 2**63, 5], np.uint64))
     assert index.phrase((0, 1)).tolist() == [] and index.phrase((1, 0)).tolist() == [1] and index.phrase((1, 1)).tolist() == [3]
+    assert index.phrase((0, 2)).tolist() == []
+
+
+def test_terms_that_agree_in_their_first_bits_are_told_apart():
+    hashes = np.array([9, 8, 9, 8, 2**40, 9], np.uint64)
+    terms, often, places = decontam.postings_of(hashes)
+    assert terms.tolist() == [8, 9, 2**40] and often.tolist() == [2, 3, 1] and places.tolist() == [1, 3, 0, 2, 5, 4]
+
+
+def test_the_stored_index_is_asked_more_than_once(spark):
+    docs, items = corpus(9)
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"), "text", {"doc_id": "doc_id"})
+    want = brute(docs, items[:12]), brute(docs, items[12:])
+    for some, truth in zip((items[:12], items[12:]), want, strict=True):
+        got = decontam.search_index(index, some, ["doc_id"], 10).collect()
+        assert {r.doc_id: (r.n_words, sum(s.hi - s.lo for s in r.spans), len(r["items"])) for r in got} == {i: t[:3] for i, t in truth.items()}
