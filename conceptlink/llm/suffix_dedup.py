@@ -7,11 +7,13 @@ the smallest 32-gram hash in it, so equal windows have equal anchors at equal pl
 windows with one anchor form a block.  All windows of one block share a guaranteed core, and only
 blocks with equal cores can hold equal windows: blocks are bucketed by the hash of their core.
 A bucket of one block is done (nothing repeats), so is one whose blocks are all equal (everything
-repeats).  For the rest one text per distinct block is gathered, and the suffixes in the bucket are
-refined: 5-gram buckets first, each refined by sorting on the bucket numbers at later offsets, which
-the last refinement has already updated, until buckets stand for ``min_length`` bytes.  A bucket
-with more distinct blocks than ``bucket_limit`` is first split into finer blocks (an eighth of the
-windows each), again and again, down to single windows, where equality of hashes decides alone.
+repeats); that, and that a block has copies, is told by two 64-bit hashes of its bytes.  For the rest
+one text per distinct block is gathered, and the suffixes in the bucket are refined: 4-gram buckets
+first, each refined by sorting on the bucket pointers of later offsets, which refinements before it in
+the same round have already updated, until buckets stand for ``min_length`` bytes.  A bucket with more
+distinct blocks than ``bucket_limit`` is first split into finer blocks (an eighth of the windows each),
+again and again, down to single windows, where equality of hashes decides alone.  A text may have
+2^27 bytes at most; a longer one is refused with an error.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql.types import _parse_datatype_string
 from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, portions, row_key, text_or_empty
 
 GRAM, PORTION, SEED_CORE, SEED_BLOCK = 32, 1 << 21, 11, 12
+#: Bytes of the first buckets, and shares in which a round refines the open ones.
+Q, SHARES = 4, 8
 BLOCK_SCHEMA = "_k1 long, _k2 long, first int, n_windows int, left int, core long, block long"
 CONTEXT_SCHEMA = "core long, block long, copies long, _k1 long, _k2 long, first int, n_windows int, left int, body binary"
 RUN_SCHEMA = "_k1 long, _k2 long, lo int, hi int"
@@ -43,6 +47,8 @@ def window_blocks(body: np.ndarray, offsets: np.ndarray, length: int, step: int)
     lengths = np.diff(offsets)
     if len(body) < length or lengths.max(initial=0) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    if len(body) > 1 << 27:
+        raise ValueError("a text of over 2^27 bytes")
     core_hash, block_hash = PrefixHash(body, SEED_CORE), PrefixHash(body, SEED_BLOCK)
     low = np.uint64(27)
     grams = core_hash.every(GRAM)
@@ -79,45 +85,94 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+class Buckets:
+    """Suffixes of some texts in buckets, and for each suffix a pointer to its bucket (the bucket's first place).
+
+    ``lanes`` keep suffixes apart that nobody asks about: only those of one lane share a bucket.
+    """
+
+    def __init__(self, texts: list[bytes], lanes: np.ndarray) -> None:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1  # each text has an end, which is a place too
+        self.starts = np.cumsum(sizes) - sizes
+        self.body = np.frombuffer(b"\0".join(texts) + bytes(Q + 1), np.uint8)
+        n = int(sizes.sum())
+        self.end = np.repeat(self.starts + sizes - 1, sizes)
+        real = np.flatnonzero(np.arange(n) < self.end)
+        gram = np.zeros(len(real), np.int64)
+        for k in range(Q):  # the end is the smallest symbol
+            gram = gram * 257 + np.where(real + k < self.end[real], self.body[real + k].astype(np.int64) + 1, 0)
+        key = lanes * np.int64(257**Q) + gram
+        order = np.argsort(key, kind="stable")
+        self.places, key = real[order], key[order]
+        self.pointer = np.full(n, -1, np.int64)
+        self.first_key = np.full(n, -1, np.int64)
+        self.first_key[self.places] = key
+        self._point(np.arange(len(key)), key)
+
+    def _point(self, at: np.ndarray, key: np.ndarray) -> None:
+        """The suffixes at ``at`` are sorted by ``key``: each run of it is a bucket."""
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.pointer[self.places[at]] = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+
+    def open(self) -> np.ndarray:
+        """Places of the suffixes whose bucket has others, bucket by bucket."""
+        bucket = self.pointer[self.places]
+        same = bucket[1:] == bucket[:-1]
+        shared = np.zeros(len(bucket), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        return np.flatnonzero(shared)
+
+    def refine(self, depth: int) -> bool:
+        """Buckets that stand for ``depth`` bytes are sorted by the buckets of the suffixes ``depth`` later.
+
+        They are taken a share at a time, and each share finds the pointers as the shares before it left
+        them, so that what one refinement found is used by the next.  False if nothing was left to do.
+        """
+        rest = self.open()
+        if not len(rest):
+            return False
+        bucket = self.pointer[self.places[rest]]
+        begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        cuts = np.unique(begins[np.searchsorted(begins, np.arange(SHARES) * len(rest) // SHARES, "right") - 1])
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(rest)), strict=True):
+            at = rest[lo:hi]
+            suffix = self.places[at]
+            later = self.pointer[np.minimum(suffix + depth, self.end[suffix])]
+            key = self.pointer[suffix] * np.int64(len(self.pointer) + 1) + later + 1
+            order = np.argsort(key, kind="stable")
+            self.places[at] = suffix[order]
+            self._point(at, key[order])
+        return True
+
+
 def refine_buckets(texts: list[bytes], groups: np.ndarray, lefts: np.ndarray, length: int) -> list[np.ndarray]:
     """For each text, which of its windows also occur in another text of its group.
 
     ``lefts`` are the distances of the first windows to the anchor: windows of a group can only be
-    equal at equal distances, so group and distance are part of the first bucket keys.  Buckets of
-    5 bytes are refined to 10, 20, ... bytes by sorting on (own bucket, bucket at the later offset).
+    equal at equal distances, so group and distance are the lane.  Buckets of Q bytes are refined until
+    they stand for ``length`` bytes or have one suffix.  Refinement may have told suffixes apart by what
+    follows the window, so neighbours in the order that began in one bucket are compared byte by byte.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    body = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-    n = int(starts[-1])
     text_of = np.repeat(np.arange(len(texts)), sizes)
-    column = np.arange(n) - starts[text_of] - lefts[text_of]
-    _, lane = np.unique(groups[text_of] * np.int64(1 << 32) + column, return_inverse=True)
-    gram = np.zeros(n, np.uint64)
-    for k in range(5):
-        gram = (gram << np.uint64(8)) | body[k : k + n]
-    _, gram = np.unique(gram, return_inverse=True)
-    _, bucket = np.unique(lane.astype(np.int64) * (int(gram.max(initial=0)) + 1) + gram, return_inverse=True)
-    have = 5
-    while have < length:
-        ahead = min(have, length - have)
-        later = np.zeros(n, np.int64)
-        later[: n - ahead] = bucket[ahead:]
-        # single buckets need no further sorting: they stay single whatever follows
-        shared = np.bincount(bucket)[bucket] > 1
-        key = bucket * np.int64(n + 1)
-        key[shared] += later[shared]
-        _, bucket = np.unique(key, return_inverse=True)
-        have += ahead
-    found = []
-    valid = np.zeros(n, bool)
-    for k in range(len(texts)):
-        valid[starts[k] : starts[k] + max(0, sizes[k] - length + 1)] = True
-    repeated = np.zeros(n, bool)
-    repeated[valid] = np.bincount(bucket[valid], minlength=1)[bucket[valid]] > 1
-    for k in range(len(texts)):
-        found.append(repeated[starts[k] : starts[k] + max(0, sizes[k] - length + 1)])
-    return found
+    column = np.arange(sizes.sum()) - (np.cumsum(sizes) - sizes)[text_of] - lefts[text_of]
+    _, lanes = np.unique(groups[text_of] * np.int64(1 << 32) + column, return_inverse=True)
+    buckets, depth = Buckets(texts, lanes.astype(np.int64)), Q
+    while depth < length and buckets.refine(depth):
+        depth *= 2
+    windows = buckets.places[buckets.end[buckets.places] - buckets.places >= length]
+    before, after = windows[:-1], windows[1:]
+    same = buckets.pointer[before] == buckets.pointer[after]
+    ask = np.flatnonzero(~same & (buckets.first_key[before] == buckets.first_key[after]))
+    body = np.lib.stride_tricks.sliding_window_view(buckets.body, length) if len(buckets.body) >= length else None
+    for lo in range(0, len(ask), 4096):
+        some = ask[lo : lo + 4096]
+        same[some] = (body[before[some]] == body[after[some]]).all(axis=1)
+    repeated = np.zeros(len(buckets.pointer), bool)
+    repeated[before[same]] = repeated[after[same]] = True
+    return [repeated[s : s + max(0, n - length + 1)] for s, n in zip(buckets.starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def bool_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -187,10 +187,17 @@ def test_pipeline_stages(spark):
     words = clean.text.split(" ")
     words[len(words) // 2] = "altered"
     more = [(10_001, clean.text), (10_002, " ".join(words))]
+    # a passage of 55 words in two good documents that share nothing else
+    passage = " ".join(max((r for r in rows if r.lang == "en" and r.doc_id != clean.doc_id), key=lambda r: r.n_chars).text.split()[:55])
+    hosts = [r for r in rows if r.lang == "en" and 1500 < r.n_chars < 9000 and r.doc_id != clean.doc_id][:8]
+    halves = [(r.text[: len(r.text) // 2], r.text[len(r.text) // 2 :]) for r in hosts]
+    more += [(10_010 + k, f"{halves[k][0]} {passage} {halves[k - 1][1]}") for k in range(len(hosts))]
     kept = docs.unionByName(spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in more], docs.schema))
     seen = []
     for name, stage in corpus_pipeline.STAGES[:4]:
         before = kept
+        if name == "suffix-array dedup":
+            assert sum(passage in r.text for r in before.collect()) >= 2
         kept = corpus_pipeline.materialize(stage(spark, before, "/root/testdata/sf0.001"), "test")
         assert kept.columns == list(corpus_pipeline.COLUMNS), name
         seen.append({r.doc_id for r in kept.collect()})
@@ -200,5 +207,7 @@ def test_pipeline_stages(spark):
     assert clean.doc_id in seen[1] or not {10_001, 10_002} & seen[1]
     assert not {10_001, 10_002} & seen[1]
     assert seen[2] == seen[1] and seen[3] <= seen[2]
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    assert all(passage not in t for t in texts.values())
     done = corpus_pipeline.STAGES[4][1](spark, kept, "/root/testdata/sf0.001")
     assert {r.doc_id for r in done.select("doc_id").collect()} == seen[3]

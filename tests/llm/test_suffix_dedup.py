@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from conceptlink.llm.suffix_dedup import refine_buckets, remove_repeated
 
@@ -72,3 +74,24 @@ def test_refinement_keeps_groups_and_distances_apart():
     assert same[0].sum() == same[1].sum() == 101 and not same[0][:50].any()
     assert not any(x.any() for x in refine_buckets([a, b], np.array([0, 1]), np.array([50, 50]), 400))
     assert not any(x.any() for x in refine_buckets([a, b], np.array([0, 0]), np.array([50, 51]), 400))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"\0", b"a", b"ab", b"aab", b"\xff"]), max_size=25).map(b"".join), min_size=1, max_size=6))
+def test_refinement_equals_brute_force(texts):
+    """Windows of six bytes of texts with repeats, ends and zero bytes; a window meets those at its own distance."""
+    got = refine_buckets(texts, np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 6)
+    for k, t in enumerate(texts):
+        want = [any(u[i : i + 6] == t[i : i + 6] for j, u in enumerate(texts) if j != k and i + 6 <= len(u)) for i in range(max(0, len(t) - 5))]
+        assert got[k].tolist() == want
+
+
+def test_stretches_of_few_words_stay(spark):
+    rng = random.Random(7)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long, short = fresh(60), fresh(40)
+    texts = [f"{fresh(30)} {long} {fresh(20)}", f"{fresh(10)} {long} {fresh(9)}", f"{fresh(30)} {short} {fresh(20)}", f"{fresh(10)} {short} {fresh(9)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in remove_repeated(df, length=200, least_words=51).collect()}
+    assert all(rows[i].n_spans == 1 and long not in rows[i].kept and rows[i].n_removed >= len(long) for i in (0, 1))
+    assert all(rows[i].kept == texts[i] and rows[i].n_removed == 0 for i in (2, 3))
