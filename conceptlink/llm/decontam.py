@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, word_spans
+from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, tidy, word_spans
 
 SEED_TERM = 21
 PORTION = 1 << 22
@@ -239,7 +239,7 @@ def build_index(docs: DataFrame, text_col: str, stored: dict[str, str]) -> DataF
     base = docs.select(*(F.col(c).alias(n) for n, c in stored.items()), *extra)
     types = dict(base.dtypes)
     schema = "segment long, " + "".join(f"`{c}` array<{types[c]}>, " for c in names) + "words binary, terms binary, counts binary, gaps binary"
-    return materialize(base.mapInArrow(_indexed(names), schema), "postings")
+    return materialize(base.mapInArrow(tidy(_indexed(names)), schema), "postings")
 
 
 def search_index(index: DataFrame, block: list[tuple[str, str]], kept: list[str], width: int, near: int | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def search_index(index: DataFrame, block: list[tuple[str, str]], kept: list[str]
 
     types = {f.name: f.dataType.elementType.simpleString() for f in index.schema if f.name in kept}
     schema = "segment long, doc int, " + "".join(f"`{c}` {types[c]}, " for c in kept) + HIT_SCHEMA
-    return index.mapInArrow(_matched(phrases_of, near, kept), schema)
+    return index.mapInArrow(tidy(_matched(phrases_of, near, kept)), schema)
 
 
 HIT_SCHEMA = "n_words long, spans array<struct<lo:int,hi:int>>, items array<string>, near_items array<string>"

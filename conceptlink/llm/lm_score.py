@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, text_or_empty, word_spans
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, tidy, text_or_empty, word_spans
 from .quality import add_blocks
 
 CLASSES, MEMBERS, FREQUENT = 64, 64, 2048
@@ -214,14 +214,13 @@ def count_tokens(chunks: DataFrame) -> tuple[DataFrame, dict, int]:
     spark = chunks.sparkSession
     ranges = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // COUNTED))
     tasks = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = chunks.select("chunk", "n", "words", "endings", "seen").mapInArrow(
-        _dealt(ranges), "range int, chunk long, words binary, endings binary, seen binary"
-    )
-    counted = materialize(dealt.repartition(tasks, "range").mapInArrow(_counted, "chunk long, range int, counts binary"), "counted")
+    dealt = chunks.select("chunk", "n", "words", "endings", "seen")
+    dealt = dealt.mapInArrow(tidy(_dealt(ranges)), "range int, chunk long, words binary, endings binary, seen binary")
+    counted = materialize(dealt.repartition(tasks, "range").mapInArrow(tidy(_counted), "chunk long, range int, counts binary"), "counted")
     stats = counted.where("chunk = -1").select("counts")
     while tasks > 64:  # at most 64 rows of fixed size come to the driver
         tasks = -(-tasks // 64)
-        stats = materialize(stats.repartition(tasks).mapInArrow(_merged, "counts binary"), "stats")
+        stats = materialize(stats.repartition(tasks).mapInArrow(tidy(_merged), "counts binary"), "stats")
     found = [unpacked_stats(r.counts) for r in stats.collect()]
     none = {"top": np.zeros((3, 0), np.int64), "tokens": np.zeros(ENDINGS, np.int64), "types": np.zeros(ENDINGS, np.int64), "few": np.zeros(2, np.int64)}
     return counted.where("chunk >= 0"), merged_stats([none, *found]), ranges
@@ -367,8 +366,8 @@ def gathered(chunks: DataFrame, frequent: np.ndarray, part: int | None, weights)
     total = np.zeros((2 * ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES), np.int64)
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = chunks if part is None else chunks.where(F.col("part") == part)
-    sums = some.select("held", "sizes", "tokens", "words", "endings").mapInArrow(_summed(frequent, weights), schema)
-    for r in sums.repartition(tasks, "block").mapInArrow(add_blocks, schema).collect():
+    sums = some.select("held", "sizes", "tokens", "words", "endings").mapInArrow(tidy(_summed(frequent, weights)), schema)
+    for r in sums.repartition(tasks, "block").mapInArrow(tidy(add_blocks), schema).collect():
         total[r.block] += np.frombuffer(zstandard.decompress(r.sums), "<i8")
     seen, expected = total.reshape(2, ROWS, CLASSES).astype(np.float64)
     return seen, expected
@@ -487,10 +486,10 @@ def score_texts(
     part = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), F.length(text_or_empty(text_col))), F.lit(max(1, rounds))).cast("int")
     source = df.select(F.col(id_col).alias("_id"), fold.alias("_held"), part.alias("_part"), text_or_empty(text_col).alias("_text"))
     kind = dict(source.dtypes)["_id"]
-    chunks = materialize(source.mapInArrow(_chunked, CHUNK_SCHEMA.format(kind)), "chunks")
+    chunks = materialize(source.mapInArrow(tidy(_chunked), CHUNK_SCHEMA.format(kind)), "chunks")
     counted, stats, ranges = count_tokens(chunks)
     model = spark.sparkContext.broadcast(model_of(chunks, stats, rounds))
     counts = counted.groupBy("chunk").agg(F.collect_list(F.struct("range", "counts")).alias("counts"))
     schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     ready = chunks.drop("part", "seen").join(counts, "chunk", "left")
-    return ready.mapInArrow(_scored(model, ranges), schema).withColumnRenamed("_id", id_col)
+    return ready.mapInArrow(tidy(_scored(model, ranges)), schema).withColumnRenamed("_id", id_col)

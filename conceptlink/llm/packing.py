@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, materialize, text_or_empty
+from .common import bound_batches, materialize, tidy, text_or_empty
 
 #: Pieces whose ids a worker remembers, in each of two generations.
 REMEMBERED = 400_000
@@ -270,7 +270,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
     types = dict(pieces.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in pieces.columns) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_looked_up(ranges), schema)
+    return ranked.mapInArrow(tidy(_looked_up(ranges)), schema)
 
 
 def pack_documents(
@@ -286,5 +286,5 @@ def pack_documents(
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     kind = dict(source.dtypes)["_id"]
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = materialize(source.mapInArrow(_pieces(tokenizer_path, end_id, capacity), schema), "pieces")
+    pieces = materialize(source.mapInArrow(tidy(_pieces(tokenizer_path, end_id, capacity)), schema), "pieces")
     return pack_pieces(pieces, capacity).withColumnRenamed("_id", id_col)

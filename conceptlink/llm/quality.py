@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, mix, portions
+from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, mix, portions, tidy
 
 BUCKETS, DIMS, NONZERO, REACH, BLOCK = 1 << 14, 64, 4, 2, 64
 #: 1 for the bytes of words, 2 for those of marks, 0 for white space.
@@ -94,7 +94,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     """The table of word vectors from all texts in column _text; rows of length one or zero."""
     schema = "block int, sums binary"
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = texts.mapInArrow(_context_sums, schema).repartition(tasks, "block").mapInArrow(add_blocks, schema)
+    sums = texts.mapInArrow(tidy(_context_sums), schema).repartition(tasks, "block").mapInArrow(tidy(add_blocks), schema)
     table = np.zeros((BUCKETS // BLOCK, BLOCK * DIMS), np.int64)
     for r in sums.collect():  # BUCKETS x DIMS numbers at most
         table[r.block] += np.frombuffer(zstandard.decompress(r.sums), "<i8")
@@ -242,7 +242,7 @@ def score_quality(
     types = dict(docs.dtypes)
     sample = docs.select("_c0", "_text").join(F.broadcast(known), "_c0")  # max_labels rows at most
     sample = sample.select(F.xxhash64("_text").alias("_order"), "_label", "_text")
-    sample = sample.mapInArrow(_featured(vectors, ["_order", "_label"]), "_order long, _label double, _last binary")
+    sample = sample.mapInArrow(tidy(_featured(vectors, ["_order", "_label"])), "_order long, _label double, _last binary")
     sample = sample.orderBy("_order", "_label", "_last").limit(max_labels)  # also where ids repeat
     rows = sorted(sample.collect(), key=lambda r: (r._order, r._label, r._last))
     features = np.array([np.frombuffer(r._last, "<f4") for r in rows], np.float64).reshape(-1, FEATURES)
@@ -251,6 +251,6 @@ def score_quality(
     network = Network(features if len(rows) else np.zeros((1, FEATURES)), np.array([r._label for r in rows]))
     columns = [*named, "held_out"]
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", _last double"
-    done = docs.mapInArrow(_featured(vectors, columns, network), schema).withColumnRenamed("_last", "score")
+    done = docs.mapInArrow(tidy(_featured(vectors, columns, network)), schema).withColumnRenamed("_last", "score")
     done = done.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     return done.withColumnsRenamed(named)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, text_or_empty, word_spans
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, tidy, text_or_empty, word_spans
 
 #: (bits a segment, groups of segments) of each grid, from coarse to fine.
 GRIDS = ((2, 6), (1, 8), (1, 16))
@@ -198,7 +198,7 @@ def near_links(prints: DataFrame, radius: int = 3, cell_limit: int = 4096) -> Da
         counted = materialize(cells.groupBy("grid", "cell").count().where("count > 1"), "cells")
         small = counted if finest else counted.where(F.col("count") <= cell_limit)
         lists = cells.join(small.drop("count"), ["grid", "cell"]).groupBy("grid", "cell")
-        found = lists.agg(F.collect_list("fp").alias("prints")).select("prints").mapInArrow(_verified(radius, 1), "a long, b long")
+        found = lists.agg(F.collect_list("fp").alias("prints")).select("prints").mapInArrow(tidy(_verified(radius, 1)), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if finest:
             break
@@ -342,7 +342,7 @@ def wide_links(source: DataFrame, nodes: DataFrame, words: int, similarity: floa
     the members are fetched; a cell of more than ``cell_limit`` is cut into blocks and every pair of its
     blocks is compared.
     """
-    prefixes = source.select("_text").mapInArrow(_prefixes(words, similarity), "number long, cells array<long>")
+    prefixes = source.select("_text").mapInArrow(tidy(_prefixes(words, similarity)), "number long, cells array<long>")
     cells = prefixes.select(F.explode("cells").alias("cell"), "number")
     shared = cells.groupBy("cell").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.count("*").alias("n"))
     shared = materialize(shared.where("lo != hi"), "shared")
@@ -358,7 +358,7 @@ def wide_links(source: DataFrame, nodes: DataFrame, words: int, similarity: floa
     lists = block_pairs(many.join(crowded, "cell", "left"), "cell", "number", blocks, "number", *PRINTS).groupBy("cell", "i", "j")
     lists = lists.agg(F.collect_list(F.array(*PRINTS, "number")).alias("prints")).where(F.size("prints") > 1)
     lists = lists.select(F.flatten("prints").alias("prints"))
-    found = found.unionByName(lists.mapInArrow(_verified(radius, WIDE, WIDE + 1), "a long, b long"))
+    found = found.unionByName(lists.mapInArrow(tidy(_verified(radius, WIDE, WIDE + 1)), "a long, b long"))
     return materialize(found.where("a != b").distinct(), "links")
 
 
@@ -437,7 +437,7 @@ def similar_links(
     all members.  That goes by blocks of ``most`` members or ``most_bytes`` against blocks of these sizes,
     so that no task's work grows with a group; whatever is connected by similar pairs is by these links.
     """
-    sets = materialize(texts.mapInArrow(_sets(words), "number long, node binary, set array<long>").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.mapInArrow(tidy(_sets(words)), "number long, node binary, set array<long>").dropDuplicates(["node"]), "sets")
     members = materialize(groups.join(sets, "number"), "members")
     degree = candidates.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("d"))
     middle = groups.join(degree, "number").groupBy("root").agg(F.max_by("number", F.struct("d", "number")).alias("number"))
@@ -457,7 +457,7 @@ def similar_links(
     left = rest.join(sizes, "root").select("root", "node", "set", F.lit(True).alias("open"), block("_i").alias("i"), each("_j").alias("j"))
     right = members.join(sizes, "root").select("root", "node", "set", F.lit(False).alias("open"), each("_i").alias("i"), block("_j").alias("j"))
     lists = left.unionByName(right).groupBy("root", "i", "j").agg(F.collect_list(F.struct("node", "set", "open")).alias("members"))
-    found = found.unionByName(lists.select("members").mapInArrow(_similar(similarity), "a binary, b binary"))
+    found = found.unionByName(lists.select("members").mapInArrow(tidy(_similar(similarity)), "a binary, b binary"))
     return materialize(found.distinct(), "similar")
 
 
@@ -475,7 +475,7 @@ def link_similar(
     bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.xxhash64(text_or_empty(text_col)).alias("_key"))
     kind = dict(source.dtypes)["_id"]
-    prints = materialize(source.mapInArrow(_nodes(words), f"_id {kind}, _key long, _fp binary, number long, " + ", ".join(f"{f} long" for f in PRINTS)), "prints")
+    prints = materialize(source.mapInArrow(tidy(_nodes(words)), f"_id {kind}, _key long, _fp binary, number long, " + ", ".join(f"{f} long" for f in PRINTS)), "prints")
     least = [F.min("_id").alias("least"), F.min("_key").alias("key"), *(F.first(c).alias(c) for c in ("number", *PRINTS))]
     distinct = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(*least), "distinct")
     candidates = wide_links(source, distinct, words, similarity, radius, cell_limit)
@@ -492,7 +492,7 @@ def _distinct_prints(df: DataFrame, id_col: str, text_col: str, words: int) -> t
     bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     kind = dict(source.dtypes)["_id"]
-    prints = materialize(source.mapInArrow(_fingerprinted(words), f"_id {kind}, _fp long"), "prints")
+    prints = materialize(source.mapInArrow(tidy(_fingerprinted(words)), f"_id {kind}, _fp long"), "prints")
     return prints, materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least")), "distinct")
 
 

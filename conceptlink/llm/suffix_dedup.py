@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, portions, row_key, text_or_empty
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, portions, row_key, tidy, text_or_empty
 
 GRAM, PORTION, SEED_CORE, SEED_BLOCK = 32, 1 << 21, 11, 12
 #: Bytes of the first buckets, and shares in which a round refines the open ones.
@@ -293,7 +293,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 409
     ``docs`` has _k1, _k2 and _text.
     """
     step = (length - GRAM + 2) // 2
-    blocks = materialize(docs.mapInArrow(_blocks(length, step), BLOCK_SCHEMA), "blocks")
+    blocks = materialize(docs.mapInArrow(tidy(_blocks(length, step)), BLOCK_SCHEMA), "blocks")
     cores = (
         blocks.groupBy("core")
         .agg(F.count("*").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
@@ -304,19 +304,18 @@ def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 409
     found = materialize(blocks.join(materialize(cores, "cores"), "core"), "shared")
     last = (F.col("first") + F.col("n_windows") - 1).alias("hi")
     run_of = lambda df: df.select("_k1", "_k2", F.col("first").alias("lo"), last)
-    runs = [run_of(found.where(~F.col("mixed")))]
-    mixed = found.where("mixed").drop("mixed")
     one = F.struct("_k1", "_k2", "first", "n_windows", "left")
-    distinct = mixed.groupBy("core", "block").agg(F.count("*").alias("copies"), F.min(one).alias("one"))
-    again = distinct.where("copies > 1").select("core", "block")
-    runs.append(run_of(mixed.join(again, ["core", "block"], "left_semi")))
+    kinds = found.groupBy("core", "block").agg(F.count("*").alias("copies"), F.min(one).alias("one"), F.first("mixed").alias("mixed"))
+    kinds = materialize(kinds, "kinds")
+    runs = [run_of(found.join(kinds.where("copies > 1").select("core", "block"), ["core", "block"], "left_semi"))]
     wanted = (
-        distinct.select("core", "block", "copies", "one.*")
+        kinds.where("mixed")
+        .select("core", "block", "copies", "one.*")
         .groupBy("_k1", "_k2")
         .agg(F.collect_list(F.struct("core", "block", "copies", "first", "n_windows", "left")).alias("wanted"))
     )
     contexts = (
-        docs.join(wanted, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "wanted").mapInArrow(_contexts(length), CONTEXT_SCHEMA)
+        docs.join(wanted, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "wanted").mapInArrow(tidy(_contexts(length)), CONTEXT_SCHEMA)
     )
     contexts = materialize(contexts, "contexts").dropDuplicates(["core", "block"])
     hot = lambda df: df.groupBy("core").count().where(F.col("count") > bucket_limit).select("core")
@@ -327,7 +326,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 409
             break
         step = max(1, -(-step // 8))
         finer = materialize(
-            contexts.join(crowded, "core", "left_semi").mapInArrow(_split(length, step), CONTEXT_SCHEMA), "finer"
+            contexts.join(crowded, "core", "left_semi").mapInArrow(tidy(_split(length, step)), CONTEXT_SCHEMA), "finer"
         )
         # equal finer blocks of different blocks repeat each other; only one of them is needed on
         per_block = finer.groupBy("core", "block").agg(F.count("*").alias("blocks"), F.max("copies").alias("_copies"))
@@ -353,7 +352,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 409
 
 def _refine(contexts: DataFrame, length: int) -> DataFrame:
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(n, "core").sortWithinPartitions("core").mapInArrow(_refined(length, 1 << 21), RUN_SCHEMA)
+    return contexts.repartition(n, "core").sortWithinPartitions("core").mapInArrow(tidy(_refined(length, 1 << 21)), RUN_SCHEMA)
 
 
 def words_in(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -419,5 +418,5 @@ def remove_repeated(
     schema = ", ".join(f"`{c}` {types[c]}" for c in names)
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<lo:long,hi:long>>"
     out = to_arrow_schema(_parse_datatype_string(schema))
-    done = docs.join(per_row, ["_k1", "_k2"], "left").mapInArrow(lambda it: _applied(it, length, least_words, out), schema)
+    done = docs.join(per_row, ["_k1", "_k2"], "left").mapInArrow(tidy(lambda it: _applied(it, length, least_words, out)), schema)
     return done.withColumnsRenamed(dict(zip(names, (id_col, *keep), strict=True)))
