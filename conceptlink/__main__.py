@@ -42,8 +42,8 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--top-k", type=int, default=10)
     serve = commands.add_parser("serve", help="answer /map and /search over HTTP")
     serve.add_argument("--root", required=True)
-    serve.add_argument("--host", default="127.0.0.1")
-    serve.add_argument("--port", type=int, default=8000)
+    serve.add_argument("--host")
+    serve.add_argument("--port", type=int)
     return top
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +22,31 @@ def reserve(n_docs: int, rate: float, next_allowed: float, now: float) -> tuple[
     return start - now, start + n_docs * 60 / rate
 
 
+#: Tasks that share a rate; each has its part of it.
+PACED_TASKS = 4
+
+
+class Pacer:
+    """Waits so that a task and its threads send ``rate`` documents a minute at most; None: never waits."""
+
+    def __init__(self, rate: float | None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.rate, self.clock, self.sleep, self.next, self.lock = rate, clock, sleep, 0.0, threading.Lock()
+
+    def wait(self, n_docs: int = 1) -> None:
+        if self.rate is None:
+            return
+        with self.lock:
+            seconds, self.next = reserve(n_docs, self.rate, self.next, self.clock())
+        if seconds > 0:
+            self.sleep(seconds)
+
+
+def paced(df: DataFrame, rate_limit: int | None) -> tuple[DataFrame, float | None]:
+    """The frame in as many tasks as share the rate, and the rate of each."""
+    check_rate(rate_limit)
+    return (df, None) if rate_limit is None else (df.repartition(PACED_TASKS), rate_limit / PACED_TASKS)
+
+
 def schedule(batches: DataFrame, rate: float, group: str | None = None, order: str = "batch", size: str = "n_docs") -> DataFrame:
     """start_s of each batch: the documents of all batches before it at ``rate`` a minute."""
     check_rate(rate)

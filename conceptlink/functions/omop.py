@@ -94,7 +94,7 @@ def register_model(model: RecordModel) -> RecordModel:
     return model
 
 
-for _m in (CONDITION, DRUG, DEVICE):
+for _m in (CONDITION, DRUG, DEVICE, FULL_CONDITION, FULL_DRUG, FULL_DEVICE):
     register_model(_m)
 
 
@@ -126,16 +126,18 @@ def _parsed(raw: Column, kind: str) -> Column:
     return raw.try_cast("double")
 
 
-def violations(json: Column, model: RecordModel) -> Column:
-    """What is wrong with a record given as JSON text, as an array of short texts; empty if nothing is."""
-    raw = raw_fields(json, model)
+def violations(json: Column, model: RecordModel, raw: Column, parsed: Column) -> Column:
+    """What is wrong with a record given as JSON text, as an array of short texts; empty if nothing is.
+
+    ``raw`` are its fields as they stand (``raw_fields``), ``parsed`` the typed ones (``record``).
+    """
     found = [F.when(raw.isNull(), F.lit("not a JSON object"))]
     keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
     found.append(F.when(F.size(F.array_except(keys, F.array(*map(F.lit, model.fields)))) > 0, F.lit("unknown field")))
     values = {}
     for name, (kind, longest) in model.fields.items():
         text = raw[name]
-        values[name] = _parsed(text, kind)
+        values[name] = parsed[name]
         if kind != "str":
             found.append(F.when(text.isNotNull() & values[name].isNull(), F.lit(f"{name}: not a {kind}")))
         if longest:
@@ -152,9 +154,8 @@ def violations(json: Column, model: RecordModel) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def record(json: Column, model: RecordModel) -> Column:
-    """The typed record; fields that cannot be read are null."""
-    raw = raw_fields(json, model)
+def record(raw: Column, model: RecordModel) -> Column:
+    """The typed record of raw fields; those that cannot be read are null."""
     return F.struct(*(_parsed(raw[n], k).cast(_KINDS[k]).alias(n) for n, (k, _) in model.fields.items()))
 
 
@@ -166,4 +167,6 @@ def validated(df: DataFrame, json_col: str, model: str | RecordModel) -> DataFra
         df = df.withColumn("_json", F.explode_outer(each))
     else:
         df = df.withColumn("_json", F.col(json_col))
-    return df.withColumns({"record": record(F.col("_json"), found), "violations": violations(F.col("_json"), found)}).drop("_json")
+    # each step is a projection of its own, so that the text is parsed once
+    df = df.withColumn("_raw", raw_fields(F.col("_json"), found)).withColumn("record", record(F.col("_raw"), found))
+    return df.withColumn("violations", violations(F.col("_json"), found, F.col("_raw"), F.col("record"))).drop("_json", "_raw")

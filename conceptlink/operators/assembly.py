@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import make_dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,14 @@ def assemble(
     return joined.select("query_id", *MAPPED)
 
 
+#: One mapped source concept as an object.
+MappedConcept = make_dataclass("MappedConcept", [(c, "str | float | None", None) for c in MAPPED], frozen=True)
+
+
+def objects(mapped: DataFrame) -> list[MappedConcept]:
+    return [MappedConcept(*(r[c] for c in MAPPED)) for r in mapped.orderBy("query_id").collect()]
+
+
 def save_mapped(mapped: DataFrame, output_dir: str) -> str:
     """mapped_source_concepts.csv with a header, in query order, without query_id."""
     path = f"{output_dir.rstrip('/')}/mapped_source_concepts.csv"

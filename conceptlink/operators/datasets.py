@@ -65,6 +65,19 @@ def mapped_synonyms(concept: DataFrame, relationship: DataFrame, synonym: DataFr
     return joined.select(*_shape("s.concept_synonym_name", "r.concept_id_1", "t"))
 
 
+def mapped_under_all_names(concept: DataFrame, relationship: DataFrame, synonym: DataFrame, vocabularies: Sequence[str]) -> DataFrame:
+    """Concepts that map to a standard concept, under their names and synonyms, with the origin; the edges are made once."""
+    names, synonyms = ORIGINS[2:]
+    edges = _maps_to(concept, relationship, vocabularies).select(*_shape("o.concept_name", "r.concept_id_1", "t"))
+    each = edges.withColumn("expression_origin", F.explode(F.array(F.lit(names), F.lit(synonyms))))
+    wanted = (F.col("expression_origin") == synonyms) & (F.col("expression_concept_id") == F.col("s.concept_id"))
+    joined = each.join(synonym.select("concept_id", "concept_synonym_name").alias("s"), wanted, "left")
+    joined = joined.where((F.col("expression_origin") == names) | F.col("s.concept_id").isNotNull())
+    return joined.withColumn("expression", F.when(F.col("expression_origin") == names, F.col("expression")).otherwise(F.col("s.concept_synonym_name"))).drop(
+        "concept_id", "concept_synonym_name"
+    )
+
+
 def expression_dataset(
     concept: DataFrame, synonym: DataFrame, relationship: DataFrame, vocabularies: Sequence[str], origins: Sequence[str] = ORIGINS
 ) -> DataFrame:
@@ -79,6 +92,9 @@ def expression_dataset(
     if unknown:
         raise ValueError(f"unknown origins {sorted(unknown)}; known are {list(parts)}")
     total = None
+    if set(ORIGINS[2:]) <= set(origins):
+        total = mapped_under_all_names(concept, relationship, synonym, vocabularies)
+        origins = [o for o in origins if o not in ORIGINS[2:]]
     for origin in origins:
         part = parts[origin]().withColumn("expression_origin", F.lit(origin))
         total = part if total is None else total.unionByName(part)

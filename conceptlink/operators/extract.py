@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.omop import RecordModel, model_of, validated
 from ..functions.prompts import check_args, fill, json_schema
+from .store import stored
 
 
 @dataclass(frozen=True)
@@ -28,16 +31,20 @@ class ExtractionTask:
 
 
 def extract(spark: SparkSession, tasks: Sequence[ExtractionTask], load: Callable[[], Callable[[list[dict]], str]]) -> DataFrame:
-    """Rows (task_id, text_idx, text, reply, record, violations); tasks must share one model."""
+    """Rows (task_id, text_idx, text, reply, record, violations).
+
+    ``record`` is typed where all tasks ask for one model; with several it is JSON text, and every task's
+    replies are checked against its own model.  The model is asked once per text, while this runs.
+    """
     if isinstance(tasks, ExtractionTask) or not all(isinstance(t, ExtractionTask) for t in tasks):
         raise TypeError("give a list of extraction tasks")
-    if not tasks or len({str(t.model) for t in tasks}) > 1:
-        raise ValueError("give tasks of one model at a time")
-    model, many = model_of(tasks[0].model)
-    form = json_schema(model.schema)
-    form = json.dumps({"type": "object", "properties": {"records": {"type": "array", "items": form}}} if many else form)
+    if not tasks:
+        raise ValueError("give at least one task")
     rows = []
     for k, task in enumerate(tasks):
+        model, many = model_of(task.model)
+        form = json_schema(model.schema)
+        form = json.dumps({"type": "object", "properties": {"records": {"type": "array", "items": form}}} if many else form)
         for i, text in enumerate(task.texts):
             args = task.args if isinstance(task.args, Mapping) or task.args is None else task.args[i]
             rows.append((k, i, text, json.dumps(fill(task.template, {"text": text, "json_format": form, **(args or {})}))))
@@ -48,5 +55,13 @@ def extract(spark: SparkSession, tasks: Sequence[ExtractionTask], load: Callable
         for batch in batches:
             yield batch[["task_id", "text_idx", "text"]].assign(reply=[ask(json.loads(p)) for p in batch["prompt"]])
 
-    replies = asked.mapInPandas(run, "task_id int, text_idx int, text string, reply string")
-    return validated(replies, "reply", tasks[0].model)
+    replies = stored(asked.mapInPandas(run, "task_id int, text_idx int, text string, reply string"), "replies")
+    kinds = list(dict.fromkeys(str(t.model) for t in tasks))
+    if len(kinds) == 1:
+        return validated(replies, "reply", tasks[0].model)
+    parts = []
+    for kind in kinds:
+        mine = [k for k, t in enumerate(tasks) if str(t.model) == kind]
+        done = validated(replies.where(F.col("task_id").isin(mine)), "reply", tasks[mine[0]].model)
+        parts.append(done.withColumn("record", F.to_json("record")))
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import stored
+
 NEEDED = ("query_id", "query", "expression_id", "expression", "retrieval_rank")
 
 
@@ -90,7 +92,7 @@ def yes_probability(no_logit: Column, yes_logit: Column) -> Column:
 
 
 def pair_prompt(task: str, query: Column, document: Column) -> Column:
-    """The instruction, query and document that a judging model reads."""
+    """The instruction, query and document that a judging model reads (fixed values: the form its training gave it)."""
     return F.concat(F.lit(f"<Instruct>: {task}\n<Query>: "), query, F.lit("\n<Document>: "), document)
 
 
@@ -105,7 +107,7 @@ def left_padded(rows: list[list[int]], pad: int) -> list[list[int]]:
 
 
 def rerank_with_model(candidates: DataFrame, scorer: Callable[[], Callable[[list[str]], list[float]]], task: str) -> DataFrame:
-    """Scores by a model: ``scorer`` is called once per task and gives a function of prompts to scores."""
+    """Scores by a model: ``scorer`` is called once per task and gives a function of prompts to scores; they are written once."""
     check_candidates(candidates)
     text = F.coalesce(F.col("expression"), F.raise_error(F.lit("a candidate has no expression")).cast("string"))
     prompts = candidates.select("query_id", "expression_id", pair_prompt(task, F.col("query"), text).alias("prompt"))
@@ -116,4 +118,4 @@ def rerank_with_model(candidates: DataFrame, scorer: Callable[[], Callable[[list
             yield batch[["query_id", "expression_id"]].assign(rerank_score=[float(x) for x in score(batch["prompt"].tolist())])
 
     schema = "query_id long, expression_id string, rerank_score double"
-    return with_scores(candidates, prompts.mapInPandas(run, schema))
+    return with_scores(candidates, stored(prompts.mapInPandas(run, schema), "scores"))

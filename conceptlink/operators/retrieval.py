@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +62,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def _least(found: pa.Table, k: int) -> pa.Table:
+    """Of each query the k rows with the least distances, ties by key."""
+    _, rank = np.unique(np.array(found.column("_key").to_pylist(), object), return_inverse=True)
+    ids = found.column("query_id").to_numpy()
+    order = np.lexsort((rank, found.column("distance").to_numpy(), ids))
+    ids = ids[order]
+    first = np.concatenate(([True], ids[1:] != ids[:-1]))
+    place = np.arange(len(ids)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return found.take(pa.array(order[place < k]))
+
+
 def _nearest(shared, metric: str, k: int):
-    """The k nearest rows of each Arrow batch for each query: the partial side of the top-k."""
+    """The k nearest rows of a task for each query: the partial side of the top-k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for part in near(batches):
+            held, rows = [*held, part], rows + part.num_rows
+            if rows > 4 * k * len(shared.value[0]):
+                kept = _least(pa.Table.from_batches(held), k)
+                held, rows = kept.to_batches(), kept.num_rows
+        if rows:
+            yield from _least(pa.Table.from_batches(held), k).to_batches()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         for batch in batches:
             if not batch.num_rows or not len(ids):
@@ -104,7 +126,7 @@ def top_k(
     """Rows (query_id, key, ``carry``, distance, retrieval_rank): the k nearest index rows of each query.
 
     ``queries`` has query_id (long) and the vector column.  Queries go in passes of fixed size, each
-    against all rows; every task keeps k rows per query and batch, and ranks are made from those.
+    against all rows; every task keeps k rows per query, and ranks are made from those.
     Ties are broken by key; ranks begin at 0.
     """
     if metric not in METRICS:
@@ -146,11 +168,15 @@ def retrieve(
 class InvertedFile:
     """Approximate search: every row belongs to the list of its nearest centre; queries probe some lists.
 
-    Centres are fitted by k-means on at most ``sample`` vectors; all rows are indexed.
+    Centres are fitted by k-means on at most ``sample`` vectors; all rows are indexed.  By default there are as
+    many lists as the square root of the rows, one for every 16 sampled vectors at most.  ``probes`` is the number
+    of lists by which sampled queries find ``recall`` of their ten nearest in the sample; searches probe so many.
     """
 
-    def __init__(self, index: DataFrame, lists: int = 32, sample: int = 20_000, key: str = "vec_id", vector: str = "embedding", seed: int = 7):
+    def __init__(self, index: DataFrame, lists: int | None = None, sample: int = 20_000, key: str = "vec_id", vector: str = "embedding", seed: int = 7, recall: float = 0.95):
         self.key, self.vector = key, vector
+        if lists is None:
+            lists = max(1, min(round(index.count() ** 0.5), sample // 16))
         some = index.select(key, vector).dropna().orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).collect()
         x = np.array([r[1] for r in some], np.float64)
         rng = np.random.default_rng(seed)
@@ -160,22 +186,31 @@ class InvertedFile:
             for c in range(len(centres)):
                 if (nearest == c).any():
                     centres[c] = x[nearest == c].mean(axis=0)
-        self.centres = centres
+        self.centres, self.probes = centres, len(centres)
+        if len(x) > 10:
+            asked = x[rng.choice(len(x), min(256, len(x)), replace=False)]
+            near = distances(asked, x, "l2").argpartition(10, axis=1)[:, :10]
+            order = distances(asked, centres, "l2").argsort(axis=1).argsort(axis=1)  # the place of each list for a query
+            places = np.take_along_axis(order, distances(x, centres, "l2").argmin(axis=1)[near], axis=1)
+            self.probes = int(np.quantile(places, recall, method="higher")) + 1
         shared = index.sparkSession.sparkContext.broadcast(centres)
 
         @F.pandas_udf("int")
         def nearest_list(v):
-            return v.map(lambda row: int(((shared.value - np.asarray(row)) ** 2).sum(axis=1).argmin()))
+            return pd.Series(distances(np.stack(v.to_numpy()), shared.value, "l2").argmin(axis=1) if len(v) else [], dtype="int32")
 
-        self.rows = index.withColumn("list", nearest_list(vector))
+        self.rows = index.where(F.col(vector).isNotNull()).withColumn("list", nearest_list(vector))
 
-    def top_k(self, queries: DataFrame, k: int = 10, probes: int = 8, metric: str = "l2") -> DataFrame:
+    def top_k(self, queries: DataFrame, k: int = 10, probes: int | None = None, metric: str = "l2") -> DataFrame:
         """Like the exact search, over the ``probes`` nearest lists of each query."""
+        probes = probes or self.probes
         shared, vector, key = queries.sparkSession.sparkContext.broadcast(self.centres), self.vector, self.key
 
         @F.pandas_udf("array<int>")
         def nearest_lists(v):
-            return v.map(lambda row: ((shared.value - np.asarray(row)) ** 2).sum(axis=1).argsort()[:probes].astype("int32"))
+            if not len(v):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(distances(np.stack(v.to_numpy()), shared.value, "l2").argsort(axis=1)[:, :probes].astype("int32")))
 
         probed = queries.select("query_id", F.col(vector).alias("_q"), F.explode(nearest_lists(vector)).alias("list"))
         pairs = probed.join(self.rows.select(key, F.col(vector).alias("_v"), "list"), "list")

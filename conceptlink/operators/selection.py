@@ -9,19 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.limits import Pacer, paced
 from ..functions.prompts import fill_prompt
 from ..schemas import EXPRESSION
+from .store import stored
 
 SELECTED = [*EXPRESSION.names, "distance", "rerank_score"]
 
 SELECT_PROMPT = [
     {
         "role": "system",
-        "content": "Choose the candidate expression that means the same as the query. All candidates belong to standard concepts. "
-        'Answer with a JSON object of this form: {json_format}. If none fits, answer {"expression_id": null}.',
+        "content": "A coder has to file one term of a local code list under a standard vocabulary. You get the term and a JSON array of entries, "
+        "each an expression of a standard concept with its expression_id. Compare meaning, not wording: a narrower, wider or merely "
+        "related entry is not a match. Reply in JSON only, by the schema {json_format}; expression_id is null when no entry matches.",
     },
-    {"role": "user", "content": "Query: '{query}'\n\nCandidates: {expressions}"},
+    {"role": "user", "content": "TERM\n{query}\n\nENTRIES\n{expressions}"},
 ]
+#: Prompts that go to a judge together.
+PROMPTS_AT_ONCE = 16
 
 
 def _one_row_per_query(queries: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -80,15 +85,25 @@ def select_with_judge(
     judge: Callable[[], Callable[[list[list[dict]]], list[str]]],
     template: list[dict] | None = None,
     system_as_user: bool = False,
+    rate_limit: int | None = None,
 ) -> DataFrame:
-    """A model picks: ``judge`` is called once per task and maps a batch of prompts to JSON replies."""
+    """A model picks: ``judge`` is called once per task and maps a batch of prompts to JSON replies.
+
+    The replies are written when this is called, ``rate_limit`` prompts a minute at most; each query is asked once.
+    """
+    asked, rate = paced(judge_prompts(candidates, template), rate_limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = judge()
+        ask, pacer = judge(), Pacer(rate)
         for batch in batches:
             prompts = [[{"role": "user" if system_as_user else m["role"], "content": m["content"]} for m in p] for p in batch["prompt"]]
-            yield batch[["query_id"]].assign(reply=list(ask(prompts)))
-
-    replies = judge_prompts(candidates, template).mapInPandas(run, "query_id long, reply string")
+            replies: list[str] = []
+            for lo in range(0, len(prompts), PROMPTS_AT_ONCE):
+                some = prompts[lo : lo + PROMPTS_AT_ONCE]
+                pacer.wait(len(some))
+                replies += ask(some)
+            yield batch[["query_id"]].assign(reply=replies)
+
+    replies = stored(asked.mapInPandas(run, "query_id long, reply string"), "verdicts")
     verdicts = replies.select("query_id", F.from_json("reply", "expression_id string")["expression_id"].alias("expression_id"))
     return apply_verdicts(queries, candidates, verdicts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import embed, limits, omop, profile, prompts
-from ..operators import assembly, datasets, identity, rerank, retrieval, selection
-from ..schemas import SOURCE
-from ..sources import concepts
+from ..operators import assembly, datasets, identity, index, rerank, retrieval, selection, translate
+from ..operators.store import fresh_path, stored
+from ..schemas import ORIGINS, SOURCE
+from ..sources import concepts, vocabulary
 from . import surrogate
 from .mapper import ConceptMapper, Retriever
 from .surrogate import SQL, VOCABULARIES, table
@@ -99,7 +101,7 @@ def dedup_by_id(spark, d):
 
 @query(f"{IDS} SELECT expression_id, expression FROM ids WHERE expression_id NOT IN (SELECT {ID} FROM data WHERE expression_origin = 'standard_concept')")
 def index_antijoin(spark, d):
-    every = _expressions(spark, d)
+    every = stored(_expressions(spark, d).select("expression_id", "expression", "expression_origin"), "expressions")
     return identity.not_indexed(every, every.where("expression_origin = 'standard_concept'")).select("expression_id", "expression")
 
 
@@ -150,10 +152,18 @@ def knn_where_label(spark, d):
     return _knn(spark, d, "l2", {"$or": [{"label": {"$gte": 2}}, {"label": 0}]})
 
 
+@query(
+    _knn_sql(SUM_SQUARES, "i.label IN (0, 1, 3) AND i.label NOT IN (1) AND i.vec_id <> 100 AND i.vec_id < 400 AND (i.label = 0 OR i.vec_id >= 50)")
+)
+def knn_where_lists(spark, d):
+    allowed = {"$and": [{"label": {"$in": [0, 1, 3]}}, {"label": {"$nin": [1]}}], "vec_id": {"$ne": 100, "$lt": 400}}
+    return _knn(spark, d, "l2", allowed | {"$or": [{"label": {"$eq": 0}}, {"vec_id": {"$gte": 50}}]})
+
+
 @query()
 def knn_inverted_file(spark, d):
     queries, rows = _vectors(spark, d)
-    return retrieval.InvertedFile(rows).top_k(queries, 10, probes=24)
+    return retrieval.InvertedFile(rows).top_k(queries, 10)
 
 
 @query()
@@ -199,9 +209,8 @@ def bm25_scores(spark, d):
     f"{BM25} SELECT query_id, expression_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN round(score, 9) = 0 THEN '-infinity'::DOUBLE ELSE round(score, 9) END DESC, retrieval_rank) - 1 AS rank FROM scored JOIN cand USING (query_id, expression_id)"
 )
 def bm25_rerank_order(spark, d):
-    candidates = _candidates(spark, d)
-    scores = rerank.bm25_scores(candidates).withColumn("rerank_score", F.round("rerank_score", 9))
-    return rerank.with_scores(candidates, scores).select("query_id", "expression_id", F.col("rank").cast("long").alias("rank"))
+    scored = rerank.bm25_scored(_candidates(spark, d))
+    return rerank.ranked(scored.where(F.col("rerank_score").isNotNull()).withColumn("rerank_score", F.round("rerank_score", 9))).select("query_id", "expression_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT p_partkey, round(1 / (1 + exp(CAST(p_size AS DOUBLE) / 10 - p_retailprice / 1000)), 9) AS score FROM part")
@@ -253,7 +262,7 @@ sel AS (SELECT p.p_partkey AS query_id, c.* EXCLUDE (query_id) FROM part p LEFT
 {CHOSEN.format('retrieval_rank')}"""
 )
 def verdict_validation(spark, d):
-    candidates = _ranked_candidates(spark, d)
+    candidates = stored(_ranked_candidates(spark, d), "candidates")
     last = candidates.groupBy("query_id").agg(F.max("expression_id").alias("m"))
     verdicts = last.select("query_id", F.when(F.col("query_id") % 3 == 1, F.col("m")).when(F.col("query_id") % 3 == 2, "unknown").alias("expression_id"))
     return _chosen(selection.apply_verdicts(_queries(spark, d), candidates, verdicts))
@@ -338,7 +347,10 @@ def prompt_fill(spark, d):
     return table(spark, d, "part").select("p_partkey", prompts.fill_column(F.lit("{type} is {name}, size {size}, {other}"), args).alias("content"))
 
 
-@query()
+SHOWN = "to_json({'expression_id': expression_id, 'expression': expression, 'concept_id': std_concept_id, 'concept_name': std_concept_name, 'vocabulary_id': std_vocabulary_id, 'domain_id': std_domain_id})"
+
+
+@query(f"{CANDIDATES} SELECT expression_id, CAST({SHOWN} AS VARCHAR) AS shown FROM cand")
 def candidate_prompt_json(spark, d):
     return _candidates(spark, d).select("expression_id", selection.prompt_object().alias("shown"))
 
@@ -437,7 +449,181 @@ def concept_fanout(spark, d):
 @query()
 def full_pipeline_map(spark, d):
     """All steps for every part whose key is divisible by 100 against the whole index."""
-    index = _expressions(spark, d).withColumn("embedding", embed.offline_vector(F.col("expression")))
+    index = stored(_expressions(spark, d).withColumn("embedding", embed.offline_vector(F.col("expression"))), "index")
     sources = _sources(spark, d).where("query_id % 100 = 0")
     mapper = ConceptMapper(spark, Retriever(index), reranker="bm25", confidence="sync")
     return mapper.map(sources.select("query_id", *SOURCE.names))
+
+
+# ---------------------------------------------------------------- models: deterministic stand-ins that answer as a service would
+
+
+@query(
+    f"""{CANDIDATES} SELECT query_id, 'TERM' || chr(10) || upper(substr(any_value(query), 1, 1)) || lower(substr(any_value(query), 2)) || chr(10) || chr(10) || 'ENTRIES' || chr(10)
+  || '[' || string_agg({SHOWN}, ', ' ORDER BY retrieval_rank) || ']' AS content FROM cand GROUP BY query_id"""
+)
+def judge_prompt_content(spark, d):
+    """The message with a query's candidates in rank order."""
+    asked = selection.judge_prompts(_ranked_candidates(spark, d))
+    return asked.select("query_id", F.col("prompt")[1]["content"].alias("content"))
+
+
+def _last_entry() -> Callable[[list[list[dict]]], list[str]]:
+    """A judge that takes the last entry of the list it is shown."""
+
+    def ask(prompts: list[list[dict]]) -> list[str]:
+        listed = (json.loads(p[1]["content"].split("ENTRIES\n", 1)[1]) for p in prompts)
+        return [json.dumps({"expression_id": x[-1]["expression_id"]}) for x in listed]
+
+    return ask
+
+
+@query(
+    f"""{CANDIDATES}, sel AS (SELECT p.p_partkey AS query_id, c.* EXCLUDE (query_id) FROM part p LEFT JOIN
+  (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY retrieval_rank DESC) = 1) c ON c.query_id = p.p_partkey) {CHOSEN.format('retrieval_rank')}"""
+)
+def judge_selection(spark, d):
+    return _chosen(selection.select_with_judge(_queries(spark, d), _ranked_candidates(spark, d), _last_entry))
+
+
+def _upper_or_fail() -> Callable[[list[dict]], str]:
+    """A translator that writes in capitals and never answers texts whose length three divides."""
+
+    def ask(messages: list[dict]) -> str:
+        text = messages[-1]["content"]
+        if len(text) % 3 == 0:
+            raise TimeoutError(text)
+        return json.dumps({"text": text.upper()})
+
+    return ask
+
+
+@query("SELECT p_partkey AS query_id, CASE WHEN length(p_name) % 3 = 0 THEN p_name ELSE upper(p_name) END AS text FROM part")
+def translate_or_keep(spark, d):
+    return translate.translate(_sources(spark, d), translate.Translator("upper", _upper_or_fail, 2))
+
+
+@query("SELECT p_partkey AS query_id, p_name AS text FROM part")
+def translate_identity(spark, d):
+    return translate.translate(_sources(spark, d))
+
+
+def _by_length() -> Callable[[list[str]], list[float]]:
+    return lambda prompts: [float(len(p)) for p in prompts]
+
+
+@query(
+    f"""{CANDIDATES}, said AS (SELECT *, CAST(length('<Instruct>: longest' || chr(10) || '<Query>: ' || query || chr(10) || '<Document>: ' || expression) AS DOUBLE) AS rerank_score FROM cand)
+SELECT query_id, expression_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, retrieval_rank) - 1 AS rank FROM said"""
+)
+def model_rerank(spark, d):
+    done = rerank.rerank_with_model(_candidates(spark, d), _by_length, "longest")
+    return done.select("query_id", "expression_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- files: written to the shared folder and read as a user's would be
+
+
+SOURCE_ROWS = """SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'long' WHEN 2 THEN 'short' WHEN 3 THEN 'empty' ELSE 'whole' END AS kind, p_brand, p_name FROM part"""
+
+
+def _source_file(spark: SparkSession, d: str, names: list[str] = SOURCE.names) -> str:
+    """A CSV of whole, too long and short rows, and rows without a description, in the order of the keys."""
+    kind = F.col("p_partkey") % 5
+    name = F.concat(F.lit('"'), F.col("p_name"), F.lit('"'))
+    ends = F.when(kind == 1, ",2020-01-01,2099-12-31,,more").when(kind == 2, "").otherwise(",2020-1-5,2099-12-31,")
+    line = F.concat(F.col("p_brand"), F.lit(","), F.col("p_partkey").cast("string"), F.lit(",LOCAL,"), F.when(kind == 3, "").otherwise(name), ends)
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), line.alias("value"))
+    header = spark.createDataFrame([(-1, ",".join(names))], "k long, value string")
+    path = fresh_path(spark, "sources") + ".csv"
+    rows.unionByName(header).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
+@query(
+    f"""WITH r AS ({SOURCE_ROWS}), read AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS query_id FROM r WHERE kind <> 'long')
+SELECT query_id, p_brand AS source_code, CAST(p_partkey AS VARCHAR) AS source_concept_id, p_name AS source_code_description,
+  CASE WHEN kind = 'short' THEN '' ELSE '2020-1-5' END AS valid_start_date, '' AS invalid_reason FROM read WHERE kind <> 'empty'"""
+)
+def source_csv(spark, d):
+    """Too long rows are skipped, short ones padded, rows without a description dropped after numbering, dates checked."""
+    read = concepts.check_dates(concepts.clean_sources(concepts.read_source_csv(spark, _source_file(spark, d))))
+    return read.select("query_id", "source_code", "source_concept_id", "source_code_description", "valid_start_date", "invalid_reason")
+
+
+@query(
+    f"""WITH r AS ({SOURCE_ROWS}), read AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS query_id FROM r WHERE kind <> 'long')
+SELECT query_id, p_brand AS source_code, p_name AS source_code_description FROM read WHERE query_id < 100 AND kind <> 'empty'"""
+)
+def source_csv_head(spark, d):
+    """The limit counts rows before those without a description are dropped; a column of another name is renamed."""
+    path = _source_file(spark, d, ["code", *SOURCE.names[1:]])
+    read = concepts.read_source_csv(spark, path, {"code": "source_code"}, limit_to=100)
+    return concepts.clean_sources(read).select("query_id", "source_code", "source_code_description")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS concept_id, p_name || ' \"q' AS concept_name, CASE WHEN p_size % 3 <> 0 THEN p_type END AS domain_id FROM part")
+def vocabulary_table(spark, d):
+    """A tab-separated table with quotes in it and empty cells, read from its folder by name."""
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("concept_id"), F.concat("p_name", F.lit(' "q')).alias("concept_name"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("domain_id")
+    )
+    folder = fresh_path(spark, "vocabulary")
+    rows.write.options(sep="\t", header=True, quote="", emptyValue="", nullValue="").csv(f"{folder}/CONCEPT.csv")
+    return vocabulary.load_vocabulary(spark, folder)["concept"]
+
+
+@query("SELECT p_brand AS source_code, p_partkey || ',' AS target FROM part")
+def comma_separated_table(spark, d):
+    """The one vocabulary table that is separated by commas, with commas in quotes."""
+    folder = fresh_path(spark, "vocabulary")
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("source_code"), F.concat(F.col("p_partkey").cast("string"), F.lit(",")).alias("target"))
+    rows.write.options(header=True).csv(f"{folder}/SOURCE_TO_CONCEPT_MAP.csv")
+    return vocabulary.load_vocabulary(spark, folder)["source_to_concept_map"]
+
+
+@query(
+    f"""{FIRST.format(1e9)} SELECT p_brand AS source_code, p_name AS source_code_description, std_concept_id AS target_concept_id,
+  CASE WHEN distance <> 0 THEN round(1 - distance, 6) END AS confidence_score FROM part JOIN sel ON sel.query_id = p_partkey"""
+)
+def result_csv(spark, d):
+    """The mapped concepts as the CSV that is saved."""
+    sources = _sources(spark, d)
+    mapped = assembly.assemble(sources, selection.select_first(_queries(spark, d), _ranked_candidates(spark, d)))
+    read = spark.read.option("header", True).csv(assembly.save_mapped(mapped, fresh_path(spark, "result")))
+    score = F.round(F.col("confidence_score").cast("double"), 6).alias("confidence_score")
+    return read.select("source_code", "source_code_description", "target_concept_id", score)
+
+
+@query(f"{IDS} SELECT expression_id, min(std_concept_id) AS std_concept_id, CAST(64 AS INTEGER) AS dim FROM ids GROUP BY 1")
+def index_repair(spark, d):
+    """An index of standard concepts, left alone by skip, then repaired twice with all expressions: each id is there once."""
+    root, data = fresh_path(spark, "root"), stored(expression_union_distinct(spark, d), "dataset")
+    standard = data.where(F.col("expression_origin") == ORIGINS[0])
+    for part, mode in ((standard, "overwrite"), (data, "skip"), (data, "repair"), (data, "repair")):
+        built = index.build_index(part, root, embed.OFFLINE, mode)
+    return built.select("expression_id", "std_concept_id", F.size("embedding").alias("dim"))
+
+
+@query(f"{DATA} SELECT expression_origin, count(*) AS n FROM data WHERE expression_origin <> 'standard_concept' GROUP BY 1")
+def saved_datasets(spark, d):
+    """The datasets as Parquet by origin; saving again with skip changes nothing."""
+    path = fresh_path(spark, "datasets")
+    data = expression_union_distinct(spark, d)
+    datasets.save_datasets(data.where(F.col("expression_origin") != ORIGINS[0]), path)
+    datasets.save_datasets(data, path, "skip")
+    read = concepts.check_members(spark.read.parquet(path), "expression_origin", ORIGINS)
+    return read.groupBy("expression_origin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey AS VARCHAR) ELSE 'None' END AS part FROM lineitem")
+def ids_as_text(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("part"))
+    return concepts.ids_as_strings(rows, ["l_orderkey", "part"], null_as_none=True)
+
+
+@query(f"{DATA} SELECT DISTINCT std_concept_id, std_concept_name FROM data WHERE std_vocabulary_code = (SELECT min(std_vocabulary_code) FROM data)")
+def lookup_by_code(spark, d):
+    rows = stored(expression_union_distinct(spark, d), "dataset")
+    code = rows.agg(F.min("std_vocabulary_code")).first()[0]
+    return index.lookup(rows, code=code).select("std_concept_id", "std_concept_name").distinct()

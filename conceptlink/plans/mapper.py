@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections import OrderedDict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -14,6 +15,7 @@ from ..functions import embed, models
 from ..functions.limits import check_rate
 from ..functions.registry import Registry
 from ..operators import assembly, index, rerank, retrieval, selection, translate
+from ..operators.store import stored
 from ..sources import concepts
 from ..sources.config import MappingTask, load_settings
 
@@ -49,6 +51,8 @@ class Retriever:
     ) -> DataFrame:
         frame = as_queries(self.index.sparkSession, queries)
         texts = embed.embedded(frame.select("query").distinct(), self.embedder, "query")
+        if self.embedder.load is not None:
+            texts = stored(texts, "query-vectors")  # a model embeds each query once
         return retrieval.retrieve(
             frame.join(texts, "query"), self.index, top_k or self.top_k, self.metric, self.where if where is None else where
         )
@@ -64,10 +68,13 @@ class Reranker:
 
 @dataclass(frozen=True)
 class Selector:
-    apply: Callable[[DataFrame, DataFrame], DataFrame]
+    """``paced`` selectors also take a rate limit: prompts a minute."""
 
-    def __call__(self, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        return self.apply(queries, candidates)
+    apply: Callable[..., DataFrame]
+    paced: bool = False
+
+    def __call__(self, queries: DataFrame, candidates: DataFrame, rate_limit: int | None = None) -> DataFrame:
+        return self.apply(queries, candidates, rate_limit) if self.paced else self.apply(queries, candidates)
 
 
 def as_queries(spark: SparkSession, queries: str | Sequence[str] | DataFrame) -> DataFrame:
@@ -86,10 +93,15 @@ TRANSLATORS, RETRIEVERS, RERANKERS, SELECTORS = (Registry(k) for k in ("translat
 EMBEDDERS = Registry("embedder")
 
 TRANSLATORS.register("empty", lambda: translate.IDENTITY)
-for _name in models.OPENAI_MODELS:
-    TRANSLATORS.register(_name, lambda model, retries=3: translate.Translator(model, models.openai_chat(model), retries), model=_name)
-for _name in ("gemini-2.5-flash", "gemini-2.5-pro"):
-    TRANSLATORS.register(_name, lambda model, retries=3: translate.Translator(model, models.gemini_chat(model), retries), model=_name)
+# The names by which components are asked for, here and below.
+for _chat, _names in ((models.openai_chat, models.OPENAI_MODELS), (models.gemini_chat, ("gemini-2.5-flash", "gemini-2.5-pro"))):
+    for _name in _names:
+        for _suffix, _at_once in (("", 1), ("-async", 16)):
+            TRANSLATORS.register(
+                _name + _suffix,
+                lambda model, chat, at_once, retries=3: translate.Translator(model, chat(model), retries, at_once=at_once),
+                model=_name, chat=_chat, at_once=_at_once,
+            )
 
 EMBEDDERS.register("offline-hash", lambda dim=64: embed.Embedder("offline-hash", None, dim, True))
 for _name, _model in (("Qwen3-0.6B", "Qwen/Qwen3-Embedding-0.6B"), ("Qwen3-4B", "Qwen/Qwen3-Embedding-4B"), ("Qwen3-8B", "Qwen/Qwen3-Embedding-8B")):
@@ -126,7 +138,7 @@ for _name in models.OPENAI_MODELS:
         SELECTORS.register(
             _name + _suffix,
             lambda model, wrap, prompt_template=None: Selector(
-                lambda q, c: selection.select_with_judge(q, c, wrap(models.openai_chat(model)), prompt_template)
+                lambda q, c, rate=None: selection.select_with_judge(q, c, wrap(models.openai_chat(model)), prompt_template, rate_limit=rate), True
             ),
             model=_name,
             wrap=_wrap,
@@ -136,7 +148,7 @@ for _name in ("gemini-2.5-flash", "gemini-2.5-pro"):
         SELECTORS.register(
             _name + _suffix,
             lambda model, wrap, prompt_template=None: Selector(
-                lambda q, c: selection.select_with_judge(q, c, wrap(models.gemini_chat(model)), prompt_template, system_as_user=True)
+                lambda q, c, rate=None: selection.select_with_judge(q, c, wrap(models.gemini_chat(model)), prompt_template, True, rate), True
             ),
             model=_name,
             wrap=_wrap,
@@ -200,12 +212,16 @@ class ConceptMapper:
         output_dir: str | None = None,
         save_to_disk: bool = False,
     ) -> DataFrame:
-        """The mapped concepts, one row per source, as a lazy frame; saved as CSV if asked for."""
+        """The mapped concepts, one row per source, as a frame; saved as CSV if asked for.
+
+        What models answer (translations, query vectors, scores, verdicts) is written once while this runs,
+        at most ``rate_limit`` texts or prompts a minute; everything else is lazy and reads that.
+        """
         given = self.sources(expressions, file_path, limit_to)
-        texts = translate.translate(given, self.translator) if self.translator else None
+        texts = translate.translate(given, self.translator, self.rate_limit) if self.translator else None
         query = given.select("query_id", F.col("source_code_description").alias("query")) if texts is None else texts.select("query_id", F.col("text").alias("query"))
         candidates = self.reranker(self.retriever(query))
-        chosen = self.selector(query, candidates)
+        chosen = self.selector(query, candidates, self.rate_limit)
         mapped = assembly.assemble(given, chosen, texts, self.confidence, self.exact_match_confidence)
         if save_to_disk:
             target = output_dir or self.output_dir
@@ -214,26 +230,34 @@ class ConceptMapper:
             assembly.save_mapped(mapped, target)
         return mapped
 
+    def map_objects(self, *args: Any, **kwargs: Any) -> list[assembly.MappedConcept]:
+        """The same as a list of objects in query order, for results that fit the driver."""
+        return assembly.objects(self.map(*args, **kwargs))
+
     def __call__(self, expression: Any) -> DataFrame:
         return self.map([expression] if isinstance(expression, (str, Mapping)) else expression)
 
 
 class ComponentCache:
-    """Loaded components by key; the least recently used goes first, its index is unpersisted."""
+    """Loaded components by key, for several threads; the least recently used goes first, its index is unpersisted."""
 
     def __init__(self, max_size: int = 20) -> None:
         if max_size < 1:
             raise ValueError("max_size must be positive")
-        self.max_size, self.held = max_size, OrderedDict()
+        self.max_size, self.held, self.lock = max_size, OrderedDict(), threading.RLock()
 
     def get(self, key: Any, make: Callable[[], Any]) -> Any:
-        if key in self.held:
-            self.held.move_to_end(key)
-            return self.held[key]
-        self.held[key] = value = make()
-        while len(self.held) > self.max_size:
-            _, old = self.held.popitem(last=False)
-            retriever = getattr(old, "retriever", old)
+        with self.lock:
+            if key in self.held:
+                self.held.move_to_end(key)
+                return self.held[key]
+            self.held[key] = value = make()
+            retriever = getattr(value, "retriever", value)
             if isinstance(retriever, Retriever):
-                retriever.index.unpersist()
-        return value
+                retriever.index.persist()
+            while len(self.held) > self.max_size:
+                _, old = self.held.popitem(last=False)
+                retriever = getattr(old, "retriever", old)
+                if isinstance(retriever, Retriever):
+                    retriever.index.unpersist()
+            return value

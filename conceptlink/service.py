@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import SparkSession
 
 from .functions.embed import OFFLINE
 from .plans.mapper import RETRIEVERS, ComponentCache, ConceptMapper
+from .sources.config import ServiceConfig
 
 CACHE = ComponentCache(20)
 
@@ -28,15 +30,15 @@ def checked_concepts(request: Mapping[str, Any]) -> list[dict]:
     return [dict(c) for c in items]
 
 
-def map_concepts(spark: SparkSession, root: str, request: Mapping[str, Any]) -> list[dict]:
+def map_concepts(spark: SparkSession, root: str, request: Mapping[str, Any], config: ServiceConfig = ServiceConfig()) -> list[dict]:
     items = checked_concepts(request)
     key = tuple(request.get(f"{k}_id") for k in ("translator", "retriever", "reranker", "selector"))
-    make = lambda: ConceptMapper(spark, key[1] or OFFLINE.name, key[0], key[2], key[3], root)
+    make = lambda: ConceptMapper(spark, key[1] or OFFLINE.name, key[0], key[2], key[3], root, rate_limit=config.rate_limit)
     rows = CACHE.get((root, *key), make).map(items).orderBy("query_id").drop("query_id").collect()
     return [r.asDict() for r in rows]
 
 
-def search(spark: SparkSession, root: str, request: Mapping[str, Any]) -> list[dict]:
+def search(spark: SparkSession, root: str, request: Mapping[str, Any], config: ServiceConfig = ServiceConfig()) -> list[dict]:
     """Candidates per query in rank order."""
     queries = request.get("queries")
     if not queries:
@@ -50,8 +52,18 @@ def search(spark: SparkSession, root: str, request: Mapping[str, Any]) -> list[d
     return out
 
 
-def serve(spark: SparkSession, root: str, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
-    """A server for POST /map and POST /search; the caller runs ``serve_forever``."""
+def stored_config(root: str) -> ServiceConfig:
+    """The settings in service.json of a local root, or the defaults."""
+    path = Path(root) / "service.json"
+    return ServiceConfig.load(path) if path.is_file() else ServiceConfig()
+
+
+def serve(spark: SparkSession, root: str, host: str | None = None, port: int | None = None) -> ThreadingHTTPServer:
+    """A server for POST /map and POST /search; the caller runs ``serve_forever``.
+
+    Settings come from service.json in the root; host and port given here go before those.
+    """
+    config = stored_config(root)
     routes = {"/map": map_concepts, "/search": search}
 
     class Handler(BaseHTTPRequestHandler):
@@ -60,7 +72,7 @@ def serve(spark: SparkSession, root: str, host: str = "127.0.0.1", port: int = 8
             if self.path in routes:
                 try:
                     body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))) or b"{}")
-                    status, answer = 200, routes[self.path](spark, root, body)
+                    status, answer = 200, routes[self.path](spark, root, body, config)
                 except ValueError as wrong:
                     status, answer = 400, {"error": str(wrong)}
             data = json.dumps(answer, default=str).encode()
@@ -73,4 +85,4 @@ def serve(spark: SparkSession, root: str, host: str = "127.0.0.1", port: int = 8
         def log_message(self, *args: Any) -> None:
             return
 
-    return ThreadingHTTPServer((host, port), Handler)
+    return ThreadingHTTPServer((config.host if host is None else host, config.port if port is None else port), Handler)

@@ -185,7 +185,7 @@ def test_selection_and_assembly(spark):
     verdicts = spark.createDataFrame([(0, "gone"), (2, "z"), (1, None)], "query_id long, expression_id string")
     assert pick(selection.apply_verdicts(queries, cand, verdicts)) == {0: (None, None), 1: (None, None), 2: ("z", 0), 3: (None, None)}
     shown = selection.judge_prompts(cand.where("query_id = 0")).first().prompt
-    assert "Query: 'Q0'" in shown[1].content and shown[1].content.index('"x"') < shown[1].content.index('"y"')
+    assert shown[1].content.startswith("TERM\nQ0\n") and shown[1].content.index('"x"') < shown[1].content.index('"y"')
     sources = concepts.sources_from_list(spark, ["chest PAIN", "b", "c", "d"])
     chosen = selection.select_first(queries, cand)
     score = lambda **k: [r.confidence_score for r in assembly.assemble(sources, chosen, **k).orderBy("query_id").collect()]
@@ -276,6 +276,9 @@ def test_extraction(spark):
     assert [r.record.condition_source_value for r in rows] == ["pain", "ache"] and not any(r.violations for r in rows)
     with pytest.raises(TypeError):
         extract.extract(spark, task, load)
+    other = extract.ExtractionTask(({"role": "user", "content": "{text} {json_format}"},), ("tube",), "device_exposure_list")
+    both = {(r.task_id, r.text_idx): r for r in extract.extract(spark, [task, other], load).collect()}
+    assert json.loads(both[0, 1].record) == {"condition_source_value": "ache"} and set(both) == {(0, 0), (0, 1), (1, 0)}
     at = spark.createDataFrame([("a pain", "pain"), ("a", "zz")], "t string, s string").select(prompts.span_offsets(F.col("t"), F.col("s")).alias("o"))
     assert [list(r.o) for r in at.collect()] == [[2, 6], [-1, 1]]
 
@@ -318,3 +321,58 @@ def test_limits_profile_registry_settings_and_stages(spark, tmp_path):
     for bad in ([], [1]):
         with pytest.raises(AssertionError):
             mapper.as_queries(spark, bad)
+
+
+def test_models_are_asked_once_and_no_faster_than_the_limit(spark, tmp_path):
+    """A translator and a judge leave a file per call: n texts, n calls, however often the result is read."""
+    calls = str(tmp_path)
+
+    def load():
+        def ask(messages):
+            __import__("tempfile").mkstemp(prefix="call-", dir=calls)
+            return json.dumps({"text": messages[1]["content"].upper()})
+
+        return ask
+
+    def judge():
+        def ask(asked):
+            for _ in asked:
+                __import__("tempfile").mkstemp(prefix="judge-", dir=calls)
+            return [json.dumps({"expression_id": "1"})] * len(asked)
+
+        return ask
+
+    made = lambda kind: sum(p.name.startswith(kind) for p in tmp_path.iterdir())
+    base = "expression_id string, expression string, expression_concept_id string, expression_origin string, std_concept_id string, std_concept_name string, std_vocabulary_id string, std_vocabulary_code string, std_domain_id string"
+    rows = spark.createDataFrame([(str(i), f"TEXT {i}", "1", "o", f"c{i}", "n", "SNOMED", "7", "D") for i in range(5)], base)
+    found = rows.withColumn("embedding", embed.offline_vector(F.col("expression")))
+    chooser = mapper.Selector(lambda q, c, rate=None: selection.select_with_judge(q, c, judge, rate_limit=rate), True)
+    m = mapper.ConceptMapper(spark, mapper.Retriever(found, top_k=5), translate.Translator("t", load, at_once=4), "bm25", chooser)
+    mapped = m.map(["text 0", "text 1", "text 2"])
+    assert mapped.count() == 3 and len(mapped.collect()) == 3
+    assert made("call-") == 3 and made("judge-") == 3
+    assert {r.source_code_description for r in mapped.collect()} == {"TEXT 0", "TEXT 1", "TEXT 2"} and {r.target_concept_id for r in mapped.collect()} == {"c1"}
+    listed = m.map_objects(["text 3"])
+    assert listed[0].source_code_description_original == "text 3" and made("call-") == 4
+    waited = []
+    pacer = limits.Pacer(120, clock=lambda: 0.0, sleep=waited.append)
+    for _ in range(3):
+        pacer.wait()
+    assert waited == [0.5, 1.0]
+    begin = __import__("time").monotonic()
+    sources = concepts.sources_from_list(spark, [f"x{i}" for i in range(9)])
+    assert translate.translate(sources, translate.Translator("t", load), rate_limit=720).count() == 9
+    assert __import__("time").monotonic() - begin > 0.6 and made("call-") == 13
+
+
+def test_rows_are_numbered_in_file_order(spark):
+    df = spark.range(1000).repartition(7).sortWithinPartitions("id").select("id")
+    got = [r.query_id for r in concepts.numbered(df).collect()]
+    assert got == list(range(1000)) and concepts.numbered(df.limit(0)).count() == 0
+
+
+def test_service_settings_and_full_row_models(tmp_path):
+    assert service.stored_config(str(tmp_path)).port == 8000
+    config.ServiceConfig(port=8123, rate_limit=60).save(tmp_path / "service.json")
+    assert (service.stored_config(str(tmp_path)).port, service.stored_config(str(tmp_path)).rate_limit) == (8123, 60)
+    assert all(omop.model_of(f"{m}_row")[0].required for m in ("condition_occurrence", "drug_exposure", "device_exposure"))
