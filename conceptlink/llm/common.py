@@ -65,6 +65,11 @@ def tidy(run):
     return tidied
 
 
+def carried_name(column: str, made: tuple[str, ...]) -> str:
+    """The name under which an input column is carried along: one that an operator makes itself gets ``_in`` behind it."""
+    return f"{column}_in" if column.lower() in made else column
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, lowered, materialize, mix, portions, tidy, word_spans
+from .common import ALNUM_WORD, PrefixHash, arrow_bytes, bound_batches, carried_name, lowered, materialize, mix, portions, tidy, word_spans
 
 SEED_TERM = 21
 PORTION = 1 << 22
@@ -278,7 +278,8 @@ def find_contamination(
     items (ids with an exact window, sorted), near_items (ids with all words of a window within
     ``near`` tokens, if asked for), n_hit, n_items, items_sha256 and contaminated.  An item of fewer
     words is one window; one without words has none.  Null texts have no words; null item ids count
-    as the empty name; repeated rows are judged alike; an empty benchmark hits nothing.
+    as the empty name; repeated rows are judged alike; an empty benchmark hits nothing.  A kept column
+    that is named like one made here gets ``_in`` behind its name.
     """
     # a kept text is the one that is indexed
     named = {f"_c{i}": c for i, c in enumerate((id_col, *(c for c in keep if c != text_col)))}
@@ -301,6 +302,8 @@ def find_contamination(
         *names, "n_words", "spans", "items", "near_items", spans.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
     )
+    made = ("n_words", "spans", "items", "near_items", "n_hit", "n_items", "items_sha256", "contaminated")
+    named = {n: c if n == "_c0" else carried_name(c, made) for n, c in named.items()}
     return done.withColumn("contaminated", F.col("n_hit") > 0).withColumnsRenamed(named)
 
 

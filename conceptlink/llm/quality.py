@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, mix, portions, tidy
+from .common import ALNUM_WORD, SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, carried_name, materialize, mix, portions, tidy
 
 BUCKETS, DIMS, NONZERO, REACH, BLOCK = 1 << 14, 64, 4, 2, 64
 #: 1 for the bytes of words, 2 for those of marks, 0 for white space.
@@ -225,7 +225,7 @@ def score_quality(
     null labels count for nothing.  Word vectors come from all
     texts.  Null and empty texts have zero features and get a score like any other; without labels
     of both kinds the score is their mean (0.5 without any); repeated rows are scored each; an
-    empty table stays empty.
+    empty table stays empty.  A kept column that is named like one made here gets ``_in`` behind its name.
     """
     spark = df.sparkSession
     bound_batches(spark)
@@ -253,4 +253,4 @@ def score_quality(
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", _last double"
     done = docs.mapInArrow(tidy(_featured(vectors, columns, network)), schema).withColumnRenamed("_last", "score")
     done = done.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return done.withColumnsRenamed(named)
+    return done.withColumnsRenamed({n: c if n == "_c0" else carried_name(c, ("held_out", "score", "predicted")) for n, c in named.items()})

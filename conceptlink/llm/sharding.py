@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import carried_name, materialize
+
+MADE = ("shard", "slot", "grown_shard")
 
 
 def shard_of(id_col: str, shards: int, seed: int):
@@ -30,8 +32,11 @@ def shuffle_into_shards(
     ``size_col`` is the bytes that a row will take in memory; all other columns are carried along.
     The shard depends on the id and the number of shards alone.  Null ids hash like a value of their
     own; rows with one id share a shard, repeated rows get a slot each; an empty table stays empty.
+    A column of the input that is named like one made here comes out with ``_in`` behind its name.
     Buckets are dealt by all columns, so repeated ids spread; rows alike in every column do not.
     """
+    df = df.withColumnsRenamed({c: carried_name(c, MADE) for c in df.columns})
+    id_col, size_col = carried_name(id_col, MADE), carried_name(size_col, MADE)
     total = df.agg(F.sum(size_col)).first()[0] or 0
     buckets = max(1, -(-int(total) // (shards * bucket_bytes)))
     columns = df.columns

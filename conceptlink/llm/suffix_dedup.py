@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, materialize, portions, row_key, tidy, text_or_empty
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, carried_name, materialize, portions, row_key, tidy, text_or_empty
 
 GRAM, PORTION, SEED_CORE, SEED_BLOCK = 32, 1 << 21, 11, 12
 #: Bytes of the first buckets, and shares in which a round refines the open ones.
@@ -406,7 +406,7 @@ def remove_repeated(
     n_spans, kept_sha256, kept (the remaining text; characters cut at a span's edge go) and spans
     (byte ranges).  Null texts count as empty, texts below ``length`` bytes are never changed, rows
     that repeat another repeat all its strings, an empty table gives an empty table; other columns
-    play no part, whatever their names.
+    play no part, whatever their names.  A kept column that is named like one made here gets ``_in`` behind its name.
     """
     bound_batches(df.sparkSession)
     carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate((id_col, *keep))]
@@ -419,4 +419,5 @@ def remove_repeated(
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<lo:long,hi:long>>"
     out = to_arrow_schema(_parse_datatype_string(schema))
     done = docs.join(per_row, ["_k1", "_k2"], "left").mapInArrow(tidy(lambda it: _applied(it, length, least_words, out)), schema)
-    return done.withColumnsRenamed(dict(zip(names, (id_col, *keep), strict=True)))
+    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
+    return done.withColumnsRenamed(dict(zip(names, (id_col, *(carried_name(c, made) for c in keep)), strict=True)))

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conceptlink.llm import html_extract, media_tiff, queries, sharding, url_filter
+from conceptlink.llm import decontam, html_extract, media_tiff, quality, queries, sharding, suffix_dedup, url_filter
 
 # ---------------------------------------------------------------- sharding
 
@@ -59,6 +59,18 @@ def test_sharding_query_writes_whole_records(spark, monkeypatch):
         assert (got[r.doc_id].size, got[r.doc_id].text_crc32) == (len(text) + 8, zlib.crc32(text))
 
 
+def test_clashing_names_are_carried_under_another(spark):
+    df = spark.createDataFrame([(i, "some words here", 7, f"s{i}", i) for i in range(20)], "doc_id long, text string, shard int, slot string, score int")
+    rows = sharding.shuffle_into_shards(df.withColumn("size", F.lit(4)), shards=3).collect()
+    assert all(r.shard_in == 7 and r.slot_in == f"s{r.doc_id}" and 0 <= r.shard < 3 for r in rows) and len(rows) == 20
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert all(r.score_in == r.doc_id and r.score == 0.5 for r in quality.score_quality(df, none, keep=("score",)).collect())
+    named = df.withColumnsRenamed({"shard": "n_words", "slot": "kept"})
+    items = spark.createDataFrame([("q", "some words")], "item_id string, text string")
+    assert all(r.n_words_in == 7 and r.n_words == 3 for r in decontam.find_contamination(named, items, keep=("n_words",)).collect())
+    assert all(r.kept_in == f"s{r.doc_id}" for r in suffix_dedup.remove_repeated(named, keep=("kept",)).collect())
+
+
 # ---------------------------------------------------------------- media
 
 
