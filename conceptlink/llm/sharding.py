@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from .common import carried_name, materialize
 
 MADE = ("shard", "slot", "grown_shard")
+#: Bucket sizes that are broadcast, of 24 bytes each; more are joined by shuffle.
+BROADCAST_BUCKETS = 100_000
 
 
 def shard_of(id_col: str, shards: int, seed: int):
@@ -25,7 +27,7 @@ def shard_of(id_col: str, shards: int, seed: int):
 
 
 def shuffle_into_shards(
-    df: DataFrame, id_col: str = "doc_id", size_col: str = "size", shards: int = 24, bucket_bytes: int = 64 << 20, seed: int = 5
+    df: DataFrame, id_col: str = "doc_id", size_col: str = "size", shards: int = 24, bucket_bytes: int = 8 << 20, seed: int = 5
 ) -> DataFrame:
     """The rows of ``df`` with shard, slot (gapless from 0 in each shard) and grown_shard.
 
@@ -47,14 +49,18 @@ def shuffle_into_shards(
     )
     # array_sort first: the seeded shuffle then has one result whatever the order of arrival
     gathered = dealt.repartition(min(shards * buckets, 10_000), "_shard", "_bucket").groupBy("_shard", "_bucket")
-    shuffled = gathered.agg(F.array_sort(F.collect_list("_row")).alias("_rows")).sortWithinPartitions("_shard", "_bucket")
-    done = materialize(shuffled.select("_shard", "_bucket", F.shuffle("_rows", seed).alias("_rows")), "buckets")
-    sizes = done.select("_shard", "_bucket", F.size("_rows").cast("long").alias("_n"))
+    sorted_rows = gathered.agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    shuffled = sorted_rows.select("_shard", "_bucket", F.shuffle("_rows", seed).alias("_rows"))
+    # from here on rows travel one by one, never a bucket at once
+    each = shuffled.select("_shard", "_bucket", F.posexplode("_rows").alias("_at", "_row"))
+    done = materialize(each.select("_shard", "_bucket", "_at", "_row.*"), "buckets")
+    sizes = done.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    slots = done.join(first, ["_shard", "_bucket"]).select("_shard", "_first", F.posexplode("_rows").alias("_at", "_row"))
+    first = F.broadcast(first) if shards * buckets <= BROADCAST_BUCKETS else first
+    slots = done.join(first, ["_shard", "_bucket"])
     return slots.select(
-        "_row.*", F.col("_shard").alias("shard"), (F.col("_first") + F.col("_at")).alias("slot"),
+        *columns, F.col("_shard").alias("shard"), (F.col("_first") + F.col("_at")).alias("slot"),
     ).withColumn("grown_shard", shard_of(id_col, shards + 1, seed))
 
 
