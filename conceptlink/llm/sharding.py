@@ -49,7 +49,8 @@ def shuffle_into_shards(
     )
     # array_sort first: the seeded shuffle then has one result whatever the order of arrival
     gathered = dealt.repartition(min(shards * buckets, 10_000), "_shard", "_bucket").groupBy("_shard", "_bucket")
-    sorted_rows = gathered.agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    # and the buckets of a task come in one order, since its generator goes on from bucket to bucket
+    sorted_rows = gathered.agg(F.array_sort(F.collect_list("_row")).alias("_rows")).sortWithinPartitions("_shard", "_bucket")
     shuffled = sorted_rows.select("_shard", "_bucket", F.shuffle("_rows", seed).alias("_rows"))
     # from here on rows travel one by one, never a bucket at once
     each = shuffled.select("_shard", "_bucket", F.posexplode("_rows").alias("_at", "_row"))
