@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import string
 import zlib
 from array import array
@@ -32,6 +33,11 @@ REMEMBERED = 400_000
 #: Marks that may end a stretch of letters.
 MARKS = string.punctuation
 ROWS_A_BUCKET = 100_000
+#: A space or none, and letters.
+LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The letter by which a byte-level vocabulary writes each byte: its own if it is visible, else the next free one from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
 
 
 class Plan:
@@ -154,7 +160,7 @@ class Remembered(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
+            ids = self.encode(piece)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -176,7 +182,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = added
-        self.known = Remembered(self.tokenizer.encode)
+        self.model = self.tokenizer.model
+        self.known = Remembered(self.piece)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Of one piece; a word of Latin letters is never cut, so the vocabulary's merges are asked at once."""
+        if LATIN.fullmatch(text) is None:
+            return self.whole(text)
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         first, *parts = text.split(" ")
@@ -196,7 +212,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         if any(a in text for a in self.added):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.whole(text)
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 

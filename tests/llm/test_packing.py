@@ -25,6 +25,13 @@ def test_pieces_encode_as_the_whole_text(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(min_codepoint=32, max_codepoint=0x250), min_size=1, max_size=12))
+def test_single_pieces_encode_as_the_tokenizer_does(text):
+    for piece in (text, " " + text, "".join(c for c in text if c.isalpha()) or "a"):
+        assert np.frombuffer(ENCODER.piece(piece), "<u4").tolist() == ids(piece)
+
+
 def test_special_tokens_keep_their_ids_and_generations_turn(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     encoder = packing.Encoder(PATH)
