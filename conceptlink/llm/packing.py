@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import string
 import zlib
 from array import array
@@ -33,8 +32,8 @@ REMEMBERED = 400_000
 #: Marks that may end a stretch of letters.
 MARKS = string.punctuation
 ROWS_A_BUCKET = 100_000
-#: A space or none, and letters.
-LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The last Latin letter of those that every version of the character tables knows.
+LAST_LATIN = "\u024f"
 #: The letter by which a byte-level vocabulary writes each byte: its own if it is visible, else the next free one from 256 on.
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
@@ -172,8 +171,8 @@ class Encoder:
     """Token ids of texts, with the ids of recurring pieces remembered.
 
     The byte-level pattern of the vocabulary always cuts before a space that a visible character
-    follows, and between a letter and the marks at the end of such a stretch; so these pieces can be
-    encoded alone.  A text with one of the vocabulary's added tokens goes to the tokenizer whole.
+    follows, between a letter and the marks at the end of such a stretch, and around a line end that
+    stands between visible characters; so these pieces can be encoded alone.  A text with one of the vocabulary's added tokens goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -190,20 +189,28 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         """Of one piece; a word of Latin letters is never cut, so the vocabulary's merges are asked at once."""
-        if LATIN.fullmatch(text) is None:
+        word = text[1:] if text[0] == " " else text
+        if not word.isalpha() or not (word.isascii() or max(word) <= LAST_LATIN):
             return self.whole(text)
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        letters = text.replace(" ", BYTE_LETTERS[32]) if word.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         first, *parts = text.split(" ")
-        out = [first] if first else []
+        out, newlines = [first] if first else [], "\n" in text
         for p in parts:
             if not p or p[0].isspace():
                 out.append(out.pop() + " " + p if out else " " + p)
                 continue
             p = " " + p
+            if newlines and "\n" in p:
+                lines = p.split("\n")
+                if not any(not q or q[-1].isspace() or (k and q[0].isspace()) for k, q in enumerate(lines)):
+                    for q in lines[:-1]:
+                        out += (q, "\n")
+                    p = lines[-1]
             head = p.rstrip(MARKS)
-            if len(head) < len(p) and head[-1].isalpha():
+            if len(head) < len(p) and head and head[-1].isalpha():
                 out.append(head)
                 p = p[len(head) :]
             out.append(p)
