@@ -33,17 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, note: str) -> DataFrame:
+def materialize(df: DataFrame, note: str, paths: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read again: lineage is cut and lost executors cost nothing.
 
     ``df`` is evaluated once; what nondeterministic order it had is then fixed.
+    The path is added to ``paths``, for who wants to ``discard`` it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/conceptlink-{note}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialize`` wrote; nothing may be left that reads them."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """From now on at most about ``most`` bytes go to a Python worker at once; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=400)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=400, passages=(200, 51))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
 
 
 def op2_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

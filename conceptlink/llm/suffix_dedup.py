@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, carried_name, materialize, portions, row_key, tidy, text_or_empty
+from .common import SPACED_WORD, PrefixHash, arrow_bytes, bound_batches, carried_name, discard, materialize, portions, row_key, tidy, text_or_empty
 
 GRAM, PORTION, SEED_CORE, SEED_BLOCK = 32, 1 << 21, 11, 12
 #: Bytes of the first buckets, and shares in which a round refines the open ones.
@@ -36,6 +37,7 @@ Q, SHARES = 4, 8
 BLOCK_SCHEMA = "_k1 long, _k2 long, first int, n_windows int, left int, core long, block long"
 CONTEXT_SCHEMA = "core long, block long, copies long, _k1 long, _k2 long, first int, n_windows int, left int, body binary"
 RUN_SCHEMA = "_k1 long, _k2 long, lo int, hi int"
+MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "n_passages", "passage_bytes")
 
 
 def window_blocks(body: np.ndarray, offsets: np.ndarray, length: int, step: int) -> tuple[np.ndarray, ...]:
@@ -287,13 +289,14 @@ def _refined(length: int, most: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 4096) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 4096, paths: list[str] | None = None) -> DataFrame:
     """Runs of windows that start elsewhere too, as rows (_k1, _k2, lo, hi) of first and last window.
 
-    ``docs`` has _k1, _k2 and _text.
+    ``docs`` has _k1, _k2 and _text.  The paths of the tables that the result reads are added to ``paths``.
     """
+    keep_as = partial(materialize, paths=paths)
     step = (length - GRAM + 2) // 2
-    blocks = materialize(docs.mapInArrow(tidy(_blocks(length, step)), BLOCK_SCHEMA), "blocks")
+    blocks = keep_as(docs.mapInArrow(tidy(_blocks(length, step)), BLOCK_SCHEMA), "blocks")
     cores = (
         blocks.groupBy("core")
         .agg(F.count("*").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
@@ -301,12 +304,12 @@ def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 409
         .select("core", (F.col("least") != F.col("most")).alias("mixed"))
     )
     # written first, so that both sides of the join are plain exchanges and a hot core can be split
-    found = materialize(blocks.join(materialize(cores, "cores"), "core"), "shared")
+    found = keep_as(blocks.join(keep_as(cores, "cores"), "core"), "shared")
     last = (F.col("first") + F.col("n_windows") - 1).alias("hi")
     run_of = lambda df: df.select("_k1", "_k2", F.col("first").alias("lo"), last)
     one = F.struct("_k1", "_k2", "first", "n_windows", "left")
     kinds = found.groupBy("core", "block").agg(F.count("*").alias("copies"), F.min(one).alias("one"), F.first("mixed").alias("mixed"))
-    kinds = materialize(kinds, "kinds")
+    kinds = keep_as(kinds, "kinds")
     runs = [run_of(found.join(kinds.where("copies > 1").select("core", "block"), ["core", "block"], "left_semi"))]
     wanted = (
         kinds.where("mixed")
@@ -317,27 +320,27 @@ def repeated_windows(docs: DataFrame, length: int = 400, bucket_limit: int = 409
     contexts = (
         docs.join(wanted, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "wanted").mapInArrow(tidy(_contexts(length)), CONTEXT_SCHEMA)
     )
-    contexts = materialize(contexts, "contexts").dropDuplicates(["core", "block"])
+    contexts = keep_as(contexts, "contexts").dropDuplicates(["core", "block"])
     hot = lambda df: df.groupBy("core").count().where(F.col("count") > bucket_limit).select("core")
     while True:
-        crowded = materialize(hot(contexts), "hot")
+        crowded = keep_as(hot(contexts), "hot")
         runs.append(_refine(contexts.join(crowded, "core", "left_anti"), length))
         if crowded.isEmpty():
             break
         step = max(1, -(-step // 8))
-        finer = materialize(
+        finer = keep_as(
             contexts.join(crowded, "core", "left_semi").mapInArrow(tidy(_split(length, step)), CONTEXT_SCHEMA), "finer"
         )
         # equal finer blocks of different blocks repeat each other; only one of them is needed on
         per_block = finer.groupBy("core", "block").agg(F.count("*").alias("blocks"), F.max("copies").alias("_copies"))
-        per_block = materialize(per_block, "finer-blocks")
+        per_block = keep_as(per_block, "finer-blocks")
         many = per_block.where("blocks > 1").select("core", "block")
         runs.append(run_of(finer.where("copies = 1").join(many, ["core", "block"], "left_semi")))
         if step == 1:
             break
         groups = per_block.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
         keep = finer.join(groups, "core", "left_semi").dropDuplicates(["core", "block"]).drop("copies")
-        contexts = materialize(
+        contexts = keep_as(
             keep.join(
                 per_block.select("core", "block", F.when(F.col("blocks") > 1, F.lit(2).cast("long")).otherwise(F.col("_copies")).alias("copies")),
                 ["core", "block"],
@@ -362,21 +365,27 @@ def words_in(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return starts[end] - starts[begin + 1] + inside[begin]
 
 
-def _applied(batches: Iterator[pa.RecordBatch], length: int, least_words: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    extra = [f.name for f in out if f.name not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")]
+def covered(size: int, runs: pa.StructArray | None, length: int) -> np.ndarray:
+    """The bytes of a text of ``size`` bytes that lie in a window of these runs."""
+    edge = np.zeros(size + 1, np.int64)
+    if runs is not None and len(runs):
+        lo, hi = (runs.field(c).to_numpy() for c in ("lo", "hi"))
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, hi + length, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _applied(
+    batches: Iterator[pa.RecordBatch], length: int, least_words: int, passages: tuple[int, int] | None, out: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    extra = [f.name for f in out if f.name not in MADE]
     for batch in batches:
         body, offsets = arrow_bytes(batch.column("_text"))
         runs = batch.column("_runs")
-        values = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
+        values = {c: [] for c in MADE}
         for k in range(batch.num_rows):
             text = body[offsets[k] : offsets[k + 1]]
-            got = runs[k].values
-            edge = np.zeros(len(text) + 1, np.int64)
-            if got is not None and len(got):
-                lo, hi = (got.field(c).to_numpy() for c in ("lo", "hi"))
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, hi + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = covered(len(text), runs[k].values, length)
             begin, end = bool_runs(gone)
             if least_words and len(begin):
                 enough = words_in(text, begin, end) >= least_words
@@ -390,13 +399,18 @@ def _applied(batches: Iterator[pa.RecordBatch], length: int, least_words: int, o
             values["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             values["kept"].append(kept.decode("utf-8", "ignore") if len(begin) else kept.decode())
             values["spans"].append([{"lo": int(a), "hi": int(b)} for a, b in zip(begin, end, strict=True)])
+            if passages:
+                begin, end = bool_runs(covered(len(text), batch.column("_shorter")[k].values, passages[0]))
+                enough = words_in(text, begin, end) >= passages[1] if len(begin) else np.zeros(0, bool)
+                values["n_passages"].append(int(enough.sum()))
+                values["passage_bytes"].append(int((end - begin)[enough].sum()))
         columns = [batch.column(c) if c in extra else pa.array(values[c], out.field(c).type) for c in out.names]
         yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([f.with_type(c.type) for f, c in zip(out, columns, strict=True)]))
 
 
 def remove_repeated(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, least_words: int = 0, bucket_limit: int = 4096,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), passages: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Remove the bytes that any repeated string of ``length`` bytes covers.
 
@@ -407,17 +421,36 @@ def remove_repeated(
     (byte ranges).  Null texts count as empty, texts below ``length`` bytes are never changed, rows
     that repeat another repeat all its strings, an empty table gives an empty table; other columns
     play no part, whatever their names.  A kept column that is named like one made here gets ``_in`` behind its name.
+
+    ``passages`` (bytes below ``length``, words) adds n_passages and passage_bytes: how many stretches of bytes
+    that repeated strings of so many bytes cover have so many words (whole or cut at an edge), and their bytes.
+    They are told of the input and change nothing that is removed.
     """
+    if passages and passages[0] >= length:
+        raise ValueError("passages are looked for by strings shorter than those removed")
     bound_batches(df.sparkSession)
     carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate((id_col, *keep))]
     docs = df.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("_text"), *carried)
-    runs = repeated_windows(docs.select("_k1", "_k2", "_text"), length, bucket_limit)
-    per_row = runs.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
+    key, keyed, run = ["_k1", "_k2"], docs.select("_k1", "_k2", "_text"), F.struct("lo", "hi")
+    if passages:
+        paths: list[str] = []
+        shorter = materialize(repeated_windows(keyed, passages[0], bucket_limit, paths), "shorter")
+        discard(df.sparkSession, paths)
+        # a window that repeats holds so many shorter ones, and all of them repeat: other rows have none
+        holds = shorter.groupBy(key).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n")).where(F.col("n") > length - passages[0])
+        keyed = materialize(keyed.join(holds, key, "left_semi"), "holds")
+    runs = repeated_windows(keyed, length, bucket_limit)
+    if passages:
+        runs = runs.withColumn("short", F.lit(False)).unionByName(shorter.withColumn("short", F.lit(True)))
+        lists = [F.collect_list(F.when(~F.col("short"), run)).alias("_runs"), F.collect_list(F.when(F.col("short"), run)).alias("_shorter")]
+    else:
+        lists = [F.collect_list(run).alias("_runs")]
+    per_row = runs.groupBy(key).agg(*lists)
     types = dict(docs.dtypes)
     names = [f"_c{i}" for i in range(len(carried))]
     schema = ", ".join(f"`{c}` {types[c]}" for c in names)
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<lo:long,hi:long>>"
+    schema += ", n_passages long, passage_bytes long" if passages else ""
     out = to_arrow_schema(_parse_datatype_string(schema))
-    done = docs.join(per_row, ["_k1", "_k2"], "left").mapInArrow(tidy(lambda it: _applied(it, length, least_words, out)), schema)
-    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
-    return done.withColumnsRenamed(dict(zip(names, (id_col, *(carried_name(c, made) for c in keep)), strict=True)))
+    done = docs.join(per_row, key, "left").mapInArrow(tidy(lambda it: _applied(it, length, least_words, passages, out)), schema)
+    return done.withColumnsRenamed(dict(zip(names, (id_col, *(carried_name(c, MADE) for c in keep)), strict=True)))

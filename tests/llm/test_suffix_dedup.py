@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from conceptlink.llm.queries import op1_suffix_array_dedup
 from conceptlink.llm.suffix_dedup import refine_buckets, remove_repeated
 
 
@@ -86,6 +87,39 @@ def test_refinement_equals_brute_force(texts):
         assert got[k].tolist() == want
 
 
+def test_passages_below_the_removed_length_are_told(spark):
+    """Passages of over 50 words below 400 bytes: the query tells them and removes none of their bytes."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    over, under, longer = fresh(60), fresh(45), fresh(120)
+    texts = [f"{fresh(30)} {x} {fresh(20)}" for x in (over, over, under, under, longer, longer)] + [fresh(200), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in remove_repeated(df, passages=(200, 51)).collect()}
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows.items()}
+    assert got == dict(enumerate(brute(texts, 400)))
+    assert [rows[i].n_passages for i in range(9)] == [1, 1, 0, 0, 1, 1, 0, 0, 0]
+    assert all(rows[i].n_removed == 0 and len(over) <= rows[i].passage_bytes < 400 for i in (0, 1))
+    assert all(rows[i].n_removed >= 400 and rows[i].passage_bytes >= rows[i].n_removed for i in (4, 5))
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_removal_is_the_same_with_passages(spark, limit):
+    texts = corpus(limit + 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = remove_repeated(df, bucket_limit=limit, passages=(200, 51)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == dict(enumerate(brute(texts, 400)))
+
+
+def test_query_tells_repeated_passages_of_over_50_words(spark, tmp_path):
+    rng = random.Random(10)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = fresh(60)
+    texts = [f"{fresh(30)} {passage} {fresh(20)}", f"{fresh(9)} {passage} {fresh(40)}", fresh(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op1_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [(rows[i].n_removed, rows[i].n_passages) for i in range(3)] == [(0, 1), (0, 1), (0, 0)]
+
+
 def test_stretches_of_few_words_stay(spark):
     rng = random.Random(7)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
